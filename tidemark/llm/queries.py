@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, lines, packing, simhash, tokens
+from tidemark.llm import decontaminate, language, lines, packing, quality, secrets, simhash, tokens, toxicity, windows
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,10 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents whose quality is confirmed."""
+    return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.score(table(spark, sf_dir, "documents"), trusted(spark, sf_dir)))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.remove_repeated_windows(table(spark, sf_dir, "documents"), size=200, with_text=False)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), owner_col="source"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_ids(tokens.write_ids(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0))
 
@@ -32,16 +53,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents"), n_words=4, radius=4, seed=42))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1, length=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_line_dedup": op3_line_dedup,
+        "op4_secrets": op4_secrets,
+        "op5_language": op5_language,
         "op6_token_ids": op6_token_ids,
         "op7_decontamination": op7_decontamination,
         "op8_simhash": op8_simhash,
+        "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
     }
 

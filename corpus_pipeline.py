@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, lines, packing, quality, simhash
-from tidemark.llm.common import stage
+from tidemark.llm.common import settled, stage
 from tidemark.llm.queries import TOKENIZER, table, trusted
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that has nothing left goes; one that loses nothing is unchanged.
     """
-    kept = lines.drop_common_lines(docs, min_docs=10, min_chars=1)
+    kept = settled(lines.drop_common_lines(docs, min_docs=10, min_chars=1), ["n_dropped", "kept_text"])
     changed = F.col("n_dropped") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     length = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))

@@ -59,6 +59,15 @@ def text_of(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def settled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with columns last, each computed once: filters on them are not moved into their expressions.
+
+    Without it, a filter on a result that is built step by step is rewritten with every step's
+    expression in place of its name, and grows with each of them.
+    """
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*columns))))
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each; a longer text comes alone."""
     if not batch.num_rows:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, text_of
+from tidemark.llm.common import BLANKS, settled, text_of
 
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 14
@@ -119,7 +119,7 @@ def score(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = base.withColumn("base_failed", failed).withColumn("llr", F.when(F.col("n_words") > 0, summed / n_grams))
     kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))
-    return out.withColumn("kept", kept).select(*[c for c in docs.columns if c not in ADDED], *ADDED)
+    return settled(out.withColumn("kept", kept).select(*[c for c in docs.columns if c not in ADDED], *ADDED), ADDED)
 
 
 def digest(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:

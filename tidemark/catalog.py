@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import cleaning, index
+from tidemark.plans import analytics, cleaning, index
 
-_PLANS = (index, cleaning)
+_PLANS = (index, cleaning, analytics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -59,6 +59,15 @@ def text_of(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def nest(df: DataFrame, *extra: Column) -> DataFrame:
+    """df's row as one column `_row`, beside extra: no column of df can clash with a step's own names."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), *extra)
+
+
+def unnest(columns: list[str]) -> list[Column]:
+    return [F.col("_row")[c].alias(c) for c in columns]
+
+
 def settled(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with columns last, each computed once: filters on them are not moved into their expressions.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hashing
-from tidemark.llm.common import map_chunks, row_key, utf8
+from tidemark.llm.common import map_chunks, nest, row_key, unnest, utf8
 
 #: Byte classes and lower case: digits, a-z and every byte of a non-ASCII character make words.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -233,7 +232,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     """
     hits = find_hits(docs, benchmark, id_col, text_col, **options)
     bad = hits.filter(contaminated(F.col("n_hit"), F.col("n_words"))).select("_k1", "_k2").distinct()
-    return docs.select("*", *row_key(docs, id_col, text_col)).join(bad, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    return nest(docs, *row_key(docs, id_col, text_col)).join(bad, ["_k1", "_k2"], "left_anti").select(*unnest(docs.columns))
 
 
 #: The digest as SQL over documents and benchmark, by exact words.

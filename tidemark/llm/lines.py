@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, LOWER, UPPER, row_key, text_of
+from tidemark.llm.common import BLANKS, LOWER, UPPER, nest, row_key, text_of, unnest
 
 
 def line_key(line: Column) -> Column:
@@ -49,14 +49,14 @@ def drop_common_lines(
         .agg(F.collect_set("_pos").alias("_drop"))
     )
     added = {"n_lines", "n_dropped", "kept_text"}
-    keyed = docs.select("*", k1, k2).join(dropped, ["_k1", "_k2"], "left")
-    lines = F.split(F.coalesce(keyed[text_col].cast("string"), F.lit("")), "\n", -1)
+    keyed = nest(docs, k1, k2).join(dropped, ["_k1", "_k2"], "left")
+    lines = F.split(F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")), "\n", -1)
     keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_drop", F.array().cast("array<int>")))
     return (
         keyed.withColumn("_lines", lines)
         .withColumn("_keep", keep)
         .select(
-            *[keyed[c] for c in docs.columns if c not in added],
+            *unnest([c for c in docs.columns if c not in added]),
             F.size("_lines").cast("long").alias("n_lines"),
             (F.size("_lines") - F.size("_keep")).cast("long").alias("n_dropped"),
             F.array_join(F.transform("_keep", lambda i: F.get(F.col("_lines"), i)), "\n").alias("kept_text"),

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, settled, text_of
+from tidemark.llm.common import BLANKS, nest, settled, text_of, unnest
 
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 14
@@ -92,8 +92,8 @@ def score(
     ratios = log_ratios(docs, trusted, id_col, text_col, buckets, smoothing)
     table = F.from_json(F.lit("[" + ",".join(map(repr, ratios)) + "]"), "array<double>")
     text = text_of(docs, text_col)
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x09-\x0D ]"))
-    base = docs.select(*[docs[c] for c in docs.columns if c not in ADDED], text.alias("_text")).select(
+    lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x09-\x0D ]"))
+    base = nest(docs, text.alias("_text")).select(
         "*",
         F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h"),
         F.char_length(F.translate("_text", BLANKS, "")).cast("long").alias("word_chars"),
@@ -119,7 +119,7 @@ def score(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = base.withColumn("base_failed", failed).withColumn("llr", F.when(F.col("n_words") > 0, summed / n_grams))
     kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))
-    return settled(out.withColumn("kept", kept).select(*[c for c in docs.columns if c not in ADDED], *ADDED), ADDED)
+    return settled(out.withColumn("kept", kept).select(*unnest([c for c in docs.columns if c not in ADDED]), *ADDED), ADDED)
 
 
 def digest(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_chunks, row_key, ship, stage, utf8
+from tidemark.llm.common import map_chunks, nest, row_key, ship, stage, unnest, utf8
 
 TILE = 8192
 BLOCK = 256
@@ -251,5 +251,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_duplicates(docs, id_col, text_col, **options)
     first = F.struct(F.col(id_col).isNull(), F.col(id_col), "_k1", "_k2")
     stay = found.groupBy("_group").agg(F.min(first).alias("_first")).select("_first._k1", "_first._k2")
-    keyed = docs.select("*", *row_key(docs, id_col, text_col)).join(stay.distinct(), ["_k1", "_k2"], "left_semi")
-    return keyed.dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    keyed = nest(docs, *row_key(docs, id_col, text_col)).join(stay.distinct(), ["_k1", "_k2"], "left_semi")
+    return keyed.dropDuplicates(["_k1", "_k2"]).select(*unnest(docs.columns))

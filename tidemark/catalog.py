@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import analytics, cleaning, index
+from tidemark.plans import analytics, cleaning, index, streams
 
-_PLANS = (index, cleaning, analytics)
+_PLANS = (index, cleaning, analytics, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,17 +47,31 @@ def hilbert_key(points: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 def _directions(size: int) -> np.ndarray:
-    return np.random.default_rng(71).choice(np.array([-1, 1], np.int8), (size, DIMENSIONS))
+    """For each token bucket, DIMENSIONS random bits in lanes of 16 bits of one integer."""
+    bits = np.random.default_rng(71).integers(0, 2, (size, DIMENSIONS), np.uint64)
+    return (bits << (np.arange(DIMENSIONS, dtype=np.uint64) * np.uint64(16))).sum(axis=1, dtype=np.uint64)
 
 
 def curve_point(ids: np.ndarray, directions: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """A document's grid point: its token counts, projected on random signs, by the share of its length."""
+    """A document's grid point: its token counts, projected on random signs, by the share of its length.
+
+    The number of directions is a power of two.
+    """
     if not len(ids):
         return np.full(DIMENSIONS, 1 << (order - 1))
-    spread = directions[ids % len(directions)].sum(axis=0, dtype=np.int64) / len(ids)
+    lanes, ups = directions[ids & np.uint32(len(directions) - 1)], np.zeros(DIMENSIONS, np.int64)
+    for i in range(0, len(lanes), 65_535):  # as many bits as a lane can count
+        ups += lanes[i : i + 65_535].sum(keepdims=True).view("<u2")
+    spread = (2 * ups - len(ids)) / len(ids)
     return np.clip((np.tanh(4 * spread) + 1) / 2 * (1 << order), 0, (1 << order) - 1).astype(np.int64)
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Ids of 32 bits as 16 bits each if all fit; else as they are behind one byte, so that their length is odd."""
+    wide = np.frombuffer(ids, "<u2")
+    return b"\0" + ids if wide[1::2].any() else wide[::2].tobytes()
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -86,8 +100,7 @@ def pack(
         enc, end, directions = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), _directions(1 << 14)
         found = [enc.encode(text or "") for text in batch.column(3).to_pylist()]
         points = np.array([curve_point(np.frombuffer(x, "<u4"), directions) for x in found])
-        small = [np.frombuffer(x + end, "<u4") for x in found]
-        packed = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\0" + x.tobytes() for x in small]
+        packed = [_narrow(x + end) for x in found]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array(hilbert_key(points)), pa.array(packed, pa.binary())],
             names=["_id", "_k1", "_k2", "_key", "_ids"],

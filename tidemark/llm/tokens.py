@@ -6,6 +6,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,20 +70,24 @@ class Encoder:
             pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         )
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.pieces = _Words(self._piece, "")
         self.first, self.later = _Words(self._word, ""), _Words(self._word, " ")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(_STAND_INS)
-        return np.array([x.id for x in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        plain = piece.isascii() and piece.removeprefix(" ").isalnum()
+        spelled = piece.replace(" ", "\u0120") if plain else piece.encode().decode("latin-1").translate(_STAND_INS)
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if word.removeprefix(" ").isalpha():
             return self._piece(word)
-        return b"".join([self.pieces[x] for x in _PIECES.findall(word)])
+        pieces = _PIECES.findall(word)
+        if len(pieces) == 1:
+            return self._piece(word)
+        # a word and its comma: the word may be known without it
+        return b"".join([self.later[x[1:]] if x[0] == " " and len(x) > 1 else self.first[x] for x in pieces])
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""

@@ -17,7 +17,7 @@ def monthly(spark, d):
     return quotes(spark, d).withColumn("month", F.date_trunc("month", "day").cast("date"))
 
 
-TIE = [F.col("order_id"), F.col("line_no")]
+TIE = ["order_id", "line_no"]
 KEPT = ["product", "month", "source_type", "day", "fare", "order_id", "line_no"]
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import analytics, cleaning, index, streams
+from tidemark.plans import analytics, cleaning, governance, index, streams
 
-_PLANS = (index, cleaning, analytics, streams)
+_PLANS = (index, cleaning, analytics, governance, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

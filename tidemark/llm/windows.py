@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import hashing
 from tidemark.llm.common import map_chunks, row_key, stage, text_of, utf8
 
-#: Bits of a filter that tasks hold: 16 MB, however many keys it has seen.
+#: The most bits of a filter that tasks hold, as a power of two.
 FILTER_BITS = 27
 _PLACE = np.uint64((1 << 30) - 1)
 BLOCK = 16
@@ -69,29 +69,37 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _seen(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of the keys' upper bits, of fixed size: it may pass a key that is not there, never lose one."""
-    bit = F.shiftrightunsigned(column, 64 - FILTER_BITS)
-    words = keys.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")
-    )
-    found = words.toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return out
+class Seen:
+    """A bitmap of the lower bits of keys: it may pass a key that is not there, never lose one.
+
+    It has 16 bits a key, 2**FILTER_BITS (16 MB) at most, so that what tasks hold is bounded; a
+    fuller bitmap passes more keys to the next step, which is exact. The upper bits of leading
+    grams would not do: those grams are the least of many.
+    """
 
+    def __init__(self, keys: DataFrame, column: str):
+        place = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        words = keys.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
+        words = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+        on = np.unpackbits(words["bits"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        row, bit = np.nonzero(on)
+        places = (words["w"].to_numpy(np.int64)[row] << 6) | bit
+        flags = np.zeros(1 << min(FILTER_BITS, max(10, (16 * len(places)).bit_length())), np.uint8)
+        flags[places & (len(flags) - 1)] = 1
+        self.mask = np.uint64(len(flags) - 1)
+        self.bitmap = np.packbits(flags, bitorder="little")
 
-def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = keys >> np.uint64(64 - FILTER_BITS)
-    return (bitmap.view(np.uint64)[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        place = (keys & self.mask).astype(np.int64)
+        return (self.bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
 def _with_text(slim: DataFrame, per_doc: DataFrame) -> DataFrame:
     """The texts of the documents in per_doc, beside its columns. Other texts are left out before the shuffle, by a bitmap."""
-    held = slim.sparkSession.sparkContext.broadcast(_seen(per_doc, "_k1"))
+    held = slim.sparkSession.sparkContext.broadcast(Seen(per_doc, "_k1"))
 
     def few(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(_passes(held.value, batch.column(0).to_numpy().view(np.uint64))))
+        return batch.filter(pa.array(held.value.passes(batch.column(0).to_numpy().view(np.uint64))))
 
     texts = map_chunks(slim, "_text", "_k1 long, _k2 long, _text string", few)
     return texts.join(per_doc, ["_k1", "_k2"])
@@ -107,12 +115,12 @@ def repeated_spans(slim: DataFrame, size: int, gram: int) -> DataFrame:
 
     # first digit: the leading gram. Runs of a gram that occurs once end here.
     shared = map_chunks(slim, "_text", "_g long", grams).groupBy("_g").count().filter("count > 1")
-    open_grams = spark.sparkContext.broadcast(_seen(shared, "_g"))
+    open_grams = spark.sparkContext.broadcast(Seen(shared, "_g"))
 
     def open_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = utf8(batch.column(2))
         runs = Runs(data, offsets, size, gram)
-        on = np.flatnonzero(_passes(open_grams.value, runs.gram))
+        on = np.flatnonzero(open_grams.value.passes(runs.gram))
         rows = pa.array(runs.row[on])
         lo = runs.lo[on] - offsets[runs.row[on]]
         columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lo.astype(np.int32)), pa.array((runs.end - runs.lo)[on].astype(np.int32))]
@@ -124,12 +132,12 @@ def repeated_spans(slim: DataFrame, size: int, gram: int) -> DataFrame:
     # second digit: all bytes of the run. Equal runs repeat as a whole; one of them stands for them from here on.
     handle = F.xxhash64("_k1", "_k2", "_lo")
     equal = runs.withColumn("_handle", handle).groupBy("_g", "_u").agg(F.count("*").alias("_c"), F.min("_handle").alias("_first"))
-    mixed = spark.sparkContext.broadcast(_seen(equal.groupBy("_g").count().filter("count > 1"), "_g"))
+    mixed = spark.sparkContext.broadcast(Seen(equal.groupBy("_g").count().filter("count > 1"), "_g"))
     judged = runs.join(equal, ["_g", "_u"]).select("_k1", "_k2", "_lo", "_n", "_j", "_g", "_c", (handle == F.col("_first")).alias("_stands"))
     judged = stage(judged, "window-judged")
 
     def in_mixed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(_passes(mixed.value, batch.column(5).to_numpy().view(np.uint64))))
+        return batch.filter(pa.array(mixed.value.passes(batch.column(5).to_numpy().view(np.uint64))))
 
     columns = "_k1 long, _k2 long, _lo int, _n int, _j int, _g long, _c long"
 

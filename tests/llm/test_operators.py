@@ -169,6 +169,18 @@ def test_language(spark):
     assert language.identify(table, train.limit(0)).filter("lang is null").count() == len(pages)
 
 
+def test_language_keeps_every_language(spark):
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "abcdefghijklm"]  # 130, the last ones in one document each
+    rows = [(f"{x}word {x}term {x}name", x) for i, x in enumerate(names) for _ in range(2 if i < 100 else 1)] + [(None, "zz")]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    pages = [(i, f"http://h{i}.org/", f"<html><p>{x}term {x}word {x}name {x}word") for i, x in enumerate(names)] + [(999, "http://zz.org/", '<html lang="zz">')]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r for r in language.identify(table, train).collect()}
+    assert len(language.train(train)[0]) == 131 and len(found) == len(pages)
+    assert [found[i].lang for i in range(len(names))] == names and [found[i].text_lang for i in range(len(names))] == names
+    assert found[999].lang == found[999].declared == "zz"
+
+
 def ids_of(text, end):
     from tokenizers import Tokenizer
 

@@ -25,7 +25,7 @@ def stream_sessions(spark, d):
 
 
 def stream_fence(spark, d):
-    return ev.drain(ev.fenced(ev.source(spark, d)), "fence")
+    return ev.fenced(ev.source(spark, d))
 
 
 def rate_limit_recursive(spark, d):

@@ -8,17 +8,20 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.cleaning import Fence
 
+#: Rows of a key after which the fence is written again, so that late rows do not send it back to the key's start.
+FENCE_EVERY = 100_000
 
-def source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files; event times as instants, which watermarks need."""
+
+def source(spark: SparkSession, sf_dir: str, files: int = 100) -> DataFrame:
+    """The events table as a stream, `files` a batch; event times as instants, which watermarks need."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -53,23 +56,102 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "2 days") ->
     return counted.select(F.col("session_window.start").alias("start"), "user_id", "n")
 
 
-def fenced(events: DataFrame, key: str = "event_type", value: str = "value") -> DataFrame:
-    """Verdicts on each value against the clean ones before it; the state of a key is its last clean values.
+def _place_of(ts: str = "ts", event_id: str = "event_id") -> Column:
+    """A row's place in its key's order. The place before all rows has false and nulls."""
+    return F.struct(F.lit(True).alias("has"), F.col(ts).alias("ts"), F.col(event_id).alias("event_id"))
+
+
+def _current(judged: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The rows of judged that no later batch has judged again: those up to the least place where one began."""
+    later = Window.partitionBy("_key").orderBy(F.desc("batch")).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.select(F.col("_key").alias("_own"), F.col("batch").alias("_batch"), F.min("cut").over(later).alias("_later"))
+    joined = judged.join(cuts, F.col("_key").eqNullSafe(F.col("_own")) & (F.col("batch") == F.col("_batch")))
+    return joined.filter(F.col("_later").isNull() | (_place_of() <= F.col("_later"))).select(*judged.columns)
 
-    A batch's rows of a key come sorted by time and id. The state survives restarts in the
-    checkpoint.
-    """
 
-    def judge(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fence = Fence(list(state.get[0]) if state.exists else None)
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        frame["outlier"] = [fence.judge(x) for x in frame[value]]
-        state.update((list(fence.line),))
-        yield frame[["event_id", key, value, "outlier"]]
+def _judge(every: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["event_id", "_key", "ts", "_value", "outlier", "line"]
+        fence, last, count, at = Fence(), None, 0, None
 
+        def written() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*last.columns[:4], pa.array([None], pa.bool_()), pa.array([list(fence.line)], pa.list_(pa.float64()))], names=names)
+
+        for batch in batches:
+            first, lines = batch.column("_first").to_pylist(), batch.column("_line")
+            times, ids, values = batch.column("ts").cast(pa.int64()).to_pylist(), batch.column("event_id").to_pylist(), batch.column("_value").to_pylist()
+            out = []
+            for i, (new, *place, x) in enumerate(zip(first, times, ids, values)):
+                if last is not None and (new or (count >= every and place != at)):
+                    yield written()
+                    count = 0
+                if new:
+                    fence, last, count = Fence(lines[i].as_py()), None, 0
+                    continue
+                out.append(fence.judge(x))
+                last, at, count = batch.slice(i, 1), place, count + 1
+            rows = batch.filter(pa.array([not x for x in first], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(out, pa.bool_()), pa.nulls(len(out), pa.list_(pa.float64()))], names=names)
+        if last is not None:
+            yield written()
+
+    return run
+
+
+def fenced(events: DataFrame, key: str = "event_type", value: str = "value", every: int = FENCE_EVERY) -> DataFrame:
+    """Runs the stream over what is there now: verdicts on each value against the clean ones before it, as recursive_fence has them.
+
+    Rows of a key are judged by time and id over all batches. A batch is written to a log; each
+    of its keys starts at the last written fence before its earliest new row, and the logged
+    rows from there on are judged (again, if the batch has rows from before earlier ones).
+    Spark sorts them, and a task streams through them and holds one fence. Fences are written
+    after every `every` rows and at the end of a key. Batches in the order of time judge each
+    row once; one with a late row judges again what follows it. A batch that runs again after a
+    restart overwrites its own files only.
+    """
+    spark, at = events.sparkSession, place(events.sparkSession, "fence")
     kinds = dict(events.dtypes)
-    out = f"event_id {kinds['event_id']}, {key} {kinds[key]}, {value} double, outlier boolean"
-    return events.filter(F.col(value).isNotNull()).groupBy(key).applyInPandasWithState(judge, out, "line array<double>", "append", GroupStateTimeout.NoTimeout)
+    slim = f"event_id {kinds['event_id']}, _key {kinds[key]}, ts {kinds['ts']}, _value double"
+    start = f"struct<has: boolean, ts: {kinds['ts']}, event_id: {kinds['event_id']}>"
+    schemas = {"log": slim, "judged": f"{slim}, outlier boolean, line array<double>", "cuts": f"_key {kinds[key]}, cut {start}, line array<double>"}
+
+    def table(name: str, last: int | None = None) -> DataFrame:
+        found = spark.read.schema(f"{schemas[name]}, batch long").parquet(f"{at}/{name}")
+        return found if last is None else found.filter(F.col("batch") <= last)
+
+    def step(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/log/batch={no}")
+        log = table("log", no)
+        new = log.filter(F.col("batch") == no).groupBy("_key").agg(F.min(_place_of()).alias("_least"))
+        none = F.struct(F.lit(False).alias("has"), F.lit(None).alias("ts"), F.lit(None).alias("event_id")).cast(start)
+        if no:
+            fences = _current(table("judged", no - 1).filter("line is not null"), table("cuts", no - 1))
+            fences = fences.select(F.col("_key").alias("_own"), _place_of().alias("_at"), "line")
+            found = new.join(fences, F.col("_key").eqNullSafe(F.col("_own")) & (F.col("_at") < F.col("_least")), "left")
+            cuts = found.groupBy("_key").agg(F.coalesce(F.max("_at"), none).alias("cut"), F.max_by("line", "_at").alias("line"))
+        else:
+            cuts = new.select("_key", none.alias("cut"), F.lit(None).cast("array<double>").alias("line"))
+        cuts.write.mode("overwrite").parquet(f"{at}/cuts/batch={no}")
+        cuts = table("cuts", no).filter(F.col("batch") == no)
+        begin = cuts.select(F.col("cut.event_id").alias("event_id"), "_key", F.col("cut.ts").alias("ts"), F.lit(None).cast("double").alias("_value"), F.lit(True).alias("_first"), F.col("line").alias("_line"))
+        after = cuts.select(F.col("_key").alias("_own"), "cut")
+        again = log.join(after, F.col("_key").eqNullSafe(F.col("_own")) & (_place_of() > F.col("cut")))
+        again = again.select("event_id", "_key", "ts", "_value", F.lit(False).alias("_first"), F.lit(None).cast("array<double>").alias("_line"))
+        dealt = begin.unionByName(again).repartition("_key").sortWithinPartitions("_key", F.desc("_first"), "ts", "event_id", "_value")
+        dealt.mapInArrow(_judge(every), schemas["judged"]).write.mode("overwrite").parquet(f"{at}/judged/batch={no}")
+
+    rows = events.filter(F.col(value).isNotNull()).select("event_id", F.col(key).alias("_key"), "ts", F.col(value).cast("double").alias("_value"))
+    rows.writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+    names = [F.col("event_id"), F.col("_key").alias(key), F.col("_value").alias(value), F.col("outlier")]
+    if not _exists(spark, f"{at}/judged"):  # no file, no batch
+        return spark.createDataFrame([], schemas["judged"]).select(*names)
+    return _current(table("judged").filter("line is null"), table("cuts")).select(*names)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:

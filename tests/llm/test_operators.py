@@ -343,6 +343,37 @@ def test_toxicity(spark, empty):
     assert {x.score for x in toxicity.score(docs, marks.filter("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_features_are_of_all_documents(spark, monkeypatch):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(4000):
+        toxic = i % 4 == 0
+        slur = f"slur{i // 4 % 1300 if i // 4 < 400 else i // 4 % 40}" if toxic else "calm"
+        rows.append((i, " ".join([r.choice(["ab", "cd", "ef", "gh", "ij"]) for _ in range(20)] + [slur])))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "choose", lambda *a: seen.append(a) or np.flatnonzero(a[0]))
+    outside = [k for k, v in labels if zlib.crc32(str(k).encode()) % 4 != 2]
+    for table in (docs, docs.union(docs.filter("doc_id % 8 = 0"))):  # repeated ids: each row is counted
+        seen.clear()
+        toxicity.train(table, marks)
+        df_p, n_p, df_u, n_u, _ = seen[0]
+        again = [k for k in outside if k % 8 == 0] if table is not docs else []
+        assert n_u == len(outside) + len(again) and n_p == sum(k % 4 == 0 for k in outside) + len(again)
+        assert df_u.max() <= n_u and (df_p <= df_u).all()
+    monkeypatch.setattr(toxicity, "MOST_POSITIVE", 100)
+    monkeypatch.setattr(toxicity, "MOST_UNLABELLED", 100)
+    seen.clear()
+    toxicity.train(docs, marks)
+    assert seen[0][1] > 100 and seen[0][3] > 100  # the sample does not bound the counts
+    # no fixed number of features
+    df_p = np.zeros(1 << toxicity.BITS, np.int64)
+    df_p[:3000] = 50
+    monkeypatch.undo()
+    assert len(toxicity.choose(df_p, 4000, df_p, 100_000, 0.1)) == 3000
+
+
 def test_packing(docs, rows, empty):
     found = packing.pack(docs, queries.TOKENIZER, end_id=1, length=128, with_ids=True).collect()
     expected = Counter((x[0], ids_of(x[1], 1).tobytes()) for x in rows)

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hashing
-from tidemark.llm.common import map_chunks, ship, utf8
+from tidemark.llm.common import chunks, map_chunks, ship, utf8
 from tidemark.llm.decontaminate import words_of
 
 BITS = 18
 PREFIX_BYTES = 5
-#: Bounds of the training sample, in documents, and of the features that the classifier weighs.
-MOST_POSITIVE, MOST_UNLABELLED, FEATURES = 4_000, 12_000, 1_024
+#: Bounds of the sample that the gradient steps take, in documents. Features are chosen over all documents.
+MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
+#: Confirmed ids are broadcast up to this number; beyond it, the join is shuffled.
+MOST_BROADCAST = 4_000_000
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,43 +34,44 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 150, rate: float = 0.05, l2: float = 3e-4, least: float = 2.5, pure: float = 0.4):
-    """Weights by feature and bias of a logistic score, from the non-negative risk.
+def choose(df_p: np.ndarray, n_p: int, df_u: np.ndarray, n_u: int, prior: float, least: float = 2.5, pure: float = 0.4) -> np.ndarray:
+    """Features that are more frequent among positives than among unlabelled texts by `least` standard errors or
+    more, and of which positives explain the share `pure` at least: chance features would be learnt by heart."""
+    p, u = (df_p + 0.5) / (n_p + 1), (df_u + 0.5) / (n_u + 1)
+    strength = (p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u)
+    return np.flatnonzero((strength >= least) & (prior * p >= pure * u))
+
 
-    Features take part if they are more frequent among positives than among unlabelled texts
-    by `least` standard errors or more, and if positives explain the share `pure` of them at
-    least; the FEATURES strongest at most. Chance features of a small sample would be learnt by
-    heart.
+def fit(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float, chosen: np.ndarray, steps: int = 150, rate: float = 0.05, l2: float = 3e-4):
+    """Weights of the chosen features and bias of a logistic score, from the non-negative risk.
 
     Risk: prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]). Where the second
     term is negative, its descent is undone instead (Kiryo et al., 2017).
     """
     n = 1 << BITS
-    df = lambda mask: np.bincount(np.concatenate([r for r, m in zip(rows, mask) if m] or [np.zeros(0, np.int64)]), minlength=n)
     n_p, n_u = int(positive.sum()), int(unlabelled.sum())
-    p, u = (df(positive) + 0.5) / (n_p + 1), (df(unlabelled) + 0.5) / (n_u + 1)
-    strength = (p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u)
-    chosen = np.argsort(-strength, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[(strength[chosen] >= least) & (prior * p[chosen] >= pure * u[chosen])])
     column = np.full(n, -1)
     column[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, r in enumerate(rows):
-        at = column[r]
-        x[i, at[at >= 0]] = 1
-    xp, xu = x[positive], x[unlabelled]
+
+    def sparse(mask: np.ndarray):
+        """The product of the masked rows with weights, and that of their transpose with a number a row."""
+        held = [c[c >= 0] for c in (column[r] for r, m in zip(rows, mask) if m)]
+        row, at = np.repeat(np.arange(len(held)), [len(x) for x in held]), np.concatenate([np.zeros(0, np.int64), *held])
+        return lambda w: np.bincount(row, weights=w[at], minlength=len(held)), lambda g: np.bincount(at, weights=g[row], minlength=len(chosen))
+
+    (times_p, back_p), (times_u, back_u) = sparse(positive), sparse(unlabelled)
     w, b = np.zeros(len(chosen)), np.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
+        sp, su = sigmoid(times_p(w) + b), sigmoid(times_u(w) + b)
         negative = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
         up, down_p, down_u = (sp - 1) / n_p, sp / n_p, su / n_u
         if negative >= 0:
             gp, gu = prior * up - prior * down_p, down_u
         else:
             gp, gu = prior * down_p, -down_u
-        g = np.append(xp.T @ gp + xu.T @ gu + l2 * w, gp.sum() + gu.sum())
+        g = np.append(back_p(gp) + back_u(gu) + l2 * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -85,20 +88,26 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None):
     """Weights and bias, or None without a confirmed example.
 
-    Confirmed toxic rows outside the held-out fold are the positives, MOST_POSITIVE at most;
-    any documents outside it, whatever their labels, are the unlabelled, MOST_UNLABELLED at
-    most; both are the first by a hash of their ids. The prior is the toxic share of all
-    labelled rows outside the fold unless given.
+    Confirmed toxic documents outside the held-out fold are the positives; all documents outside
+    it, whatever their labels, are the unlabelled. Features are chosen by their document
+    frequencies in all of both. The gradient steps take a sample, MOST_POSITIVE and
+    MOST_UNLABELLED ids at most, the first by a hash, with one row an id. The prior is the toxic
+    share of all labelled ids outside the fold unless given.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).filter("_id is not null and _label is not null")
     known = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_label").alias("_label"))
     slim = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).filter(F.col("_id").isNotNull())
     order = F.xxhash64(F.col("_id"), F.lit(9))
     p = known.filter("_label = 1").orderBy(order, "_id").limit(MOST_POSITIVE).select("_id", F.lit(1).alias("_p"))
-    u = slim.filter(~held_out(F.col("_id"))).select("_id").orderBy(order, "_id").limit(MOST_UNLABELLED).distinct().select("_id", F.lit(1).alias("_u"))
+    slim = slim.filter(~held_out(F.col("_id")))
+    u = slim.select("_id").distinct().orderBy(order, "_id").limit(MOST_UNLABELLED).select("_id", F.lit(1).alias("_u"))
     if prior is None:
         share = known.agg(F.avg((F.col("_label") == 1).cast("double"))).first()[0]
         prior = min(0.5, max(0.005, share or 0.0))
+    chosen = _chosen(slim, known.filter("_label = 1").select("_id"), prior)
+    if chosen is None:
+        return None
+    held = docs.sparkSession.sparkContext.broadcast(chosen)
     picked = F.broadcast(p.join(u, "_id", "full"))
     sample = slim.join(picked, "_id")
 
@@ -110,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = dict(slim.dtypes)["_id"]
     counted = map_chunks(sample.select("_id", "_text", "_p", "_u"), "_text", f"_id {kind}, _p int, _u int, _f array<int>", count)
+    counted = counted.groupBy("_id", "_p", "_u").agg(F.min("_f").alias("_f"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ps, us, rows = [], [], [], []
@@ -121,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         order = sorted(range(len(ids)), key=lambda i: (ids[i], len(rows[i]), rows[i].tobytes()))
         if any(ps) and any(us):
             flags = [np.array([x[i] for i in order], bool) for x in (ps, us)]
-            weights, bias = fit([rows[i] for i in order], *flags, prior)
+            weights, bias = fit([rows[i] for i in order], *flags, prior, held.value)
             yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], names=["w", "b"])
 
     ship(docs.sparkSession)
@@ -129,6 +139,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return None if found is None else (np.frombuffer(bytes(found.w), "<f4"), found.b)
 
 
+def _chosen(slim: DataFrame, positives: DataFrame, prior: float) -> np.ndarray | None:
+    """The features that part the positives from all texts; None without a positive. A task holds two counts a feature."""
+    few = positives.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    positives = positives.withColumn("_p", F.lit(1))
+    marked = slim.join(F.broadcast(positives) if few else positives, "_id", "left").select("_text", "_p")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for part in chunks(batch, "_text"):
+                rows, found = features(*utf8(part.column(0)))
+                own = part.column(1).is_valid().to_numpy(zero_copy_only=False)
+                df[0] += np.bincount(found[own[rows]], minlength=1 << BITS)
+                df[1] += np.bincount(found, minlength=1 << BITS)
+                n += own.sum(), part.num_rows
+        at = np.flatnonzero(df[1])
+        columns = [np.append(at, -1), np.append(df[0][at], n[0]), np.append(df[1][at], n[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["at", "p", "u"])
+
+    ship(slim.sparkSession)
+    found = marked.mapInArrow(count, "at long, p long, u long").groupBy("at").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    df, (at, p, u) = np.zeros((2, (1 << BITS) + 1), np.int64), (found[x].to_numpy() for x in ("at", "p", "u"))
+    df[0][at], df[1][at] = p, u  # the last place, -1, has the numbers of documents
+    return choose(df[0][:-1], df[0][-1], df[1][:-1], df[1][-1], prior) if df[0][-1] else None
+
+
 def score(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, **options
 ) -> DataFrame:

@@ -130,6 +130,18 @@ def test_secrets(docs, rows, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secret_verdicts_use_documents_and_owners(spark):
+    hot, token, two, one, three = "password=hotvalue1", "Ab3dE5gH7jK9mN1pQ3sT5v", "password=twoowners", "password=oneowner", "password=threeowners"
+    rows = [(i, f"{hot} x {token}", "a") for i in range(5)] + [(10, two, "a"), (11, two, "b"), (12, one, "a")] + [(20 + i, three, x) for i, x in enumerate("abc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: (r.n_live, r.n_example, "owned" in r.spans) for r in secrets.digest(secrets.scan(docs, example_documents=5)).collect()}
+    assert found[0] == (0, 1, False)  # one owner, many documents
+    assert found[10] == found[11] == (1, 0, False)  # two owners: shared, but live
+    assert found[12] == (1, 0, False) and found[20] == (0, 1, False)
+    found = {r.doc_id: (r.n_live, r.n_example, "owned" in r.spans) for r in secrets.digest(secrets.scan(docs, example_documents=6)).collect()}
+    assert found[0] == (1, 0, True)
+
+
 def test_language(spark):
     train = spark.createDataFrame([("the cat and the dog of house", "en"), ("el gato y la casa de perro", "es"), (None, "en"), ("zzz", None)], "text string, lang string")
     page = lambda i, url, lang, text: (i, url, None if text is None else f"<html{f' lang={lang}' if lang else ''}><style>la la la</style><p>{text}</p>")

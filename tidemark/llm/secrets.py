@@ -57,14 +57,16 @@ def scan(
     text_col: str = "text",
     owner_col: str = "source",
     example_owners: int = 3,
+    example_documents: int = 1000,
 ) -> DataFrame:
     """Per document row: id, counts by kind, `base` and `spans` (arrays of spans), `n_live`, `n_example`.
 
     Every value's hash is counted over the corpus by distinct documents (repositories) and
-    owners. A value that at most one owner holds is `live`; one of `example_owners` or more is
-    an `example`. Beside the base kinds, long tokens of mixed letters and digits that overlap
-    no base span and that exactly one owner holds are added as kind `owned`; base spans stay
-    whatever their verdict. Counts go through (hash, owner) first, so that a value in a third
+    owners. A value of `example_owners` or more owners, or in `example_documents` or more
+    documents whoever holds them, is an `example`; any other is `live`, so one that two owners
+    share is too. Beside the base kinds, long tokens of mixed letters and digits that overlap
+    no base span, that exactly one owner holds and that are no example are added as kind
+    `owned`; base spans stay whatever their verdict. Counts go through (hash, owner) first, so that a value in a third
     of all rows is one row a task; the join back carries no text and can split a hot value.
 
     Positions are code points, ends exclusive. Null text: no spans. A null owner is an owner of
@@ -101,7 +103,8 @@ def scan(
     seen = found.join(judged, ["_k1", "_k2"], "left")
     count = lambda cond: F.coalesce(F.size(F.filter("_judged", cond)), F.lit(0)).cast("long")
     is_base = lambda x: x["_span"]["no"] < 3
-    owned = F.coalesce(F.transform(F.filter("_judged", lambda x: ~is_base(x) & (x["_owners"] == 1)), lambda x: x["_span"]), F.array().cast(SPAN))
+    is_example = lambda x: (x["_owners"] >= example_owners) | (x["_repositories"] >= example_documents)
+    owned = F.coalesce(F.transform(F.filter("_judged", lambda x: ~is_base(x) & (x["_owners"] == 1) & ~is_example(x)), lambda x: x["_span"]), F.array().cast(SPAN))
     of_kind = lambda no: F.size(F.filter("base", lambda x: x["no"] == no)).cast("long")
     kinds = [of_kind(no).alias(f"n_{kind}") for kind, no, *_ in KINDS]
     return seen.select(
@@ -109,8 +112,8 @@ def scan(
         *kinds,
         F.sort_array("base").alias("base"),
         F.sort_array(F.concat("base", owned)).alias("spans"),
-        count(lambda x: is_base(x) & (x["_owners"] <= 1)).alias("n_live"),
-        count(lambda x: is_base(x) & (x["_owners"] >= example_owners)).alias("n_example"),
+        count(lambda x: is_base(x) & ~is_example(x)).alias("n_live"),
+        count(lambda x: is_base(x) & is_example(x)).alias("n_example"),
     )
 
 

@@ -24,14 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten or more documents go; a document that loses lines gets the rest as its text, with its length.
 
-    A document that has nothing left goes; one that loses nothing is unchanged.
+    Every document stays, with an empty text if nothing is left; one that loses nothing is unchanged.
     """
     kept = settled(lines.drop_common_lines(docs, min_docs=10, min_chars=1), ["n_dropped", "kept_text"])
     changed = F.col("n_dropped") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     length = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    left = kept.filter(~changed | (F.trim("kept_text") != ""))
-    return left.withColumns({"text": text, "n_chars": length}).select(*docs.columns)
+    return kept.withColumns({"text": text, "n_chars": length}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,14 @@ def test_stages(spark, sf):
         pieces[r.doc_id].append((r.start, bytes(r.ids)))
     assert {k: b"".join(x for _, x in sorted(v)) for k, v in pieces.items()} == {x[0]: ids_of(x[1], 1).tobytes() for x in after}
     assert corpus_pipeline.run(spark, sf).count() == sum(map(len, pieces.values()))
+
+
+def test_line_dedup_keeps_every_document(spark):
+    texts = ["common\nlines"] * 12 + ["common\n \nlines", "common\n\nlines", "own words"]
+    table = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.line_dedup(spark, docs, "")
+    found = {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}
+    assert found == {**{i: ("", 0) for i in range(12)}, 12: (" ", 1), 13: ("", 0), 14: ("own words", 9)}
+    stay = {r.doc_id for r in corpus_pipeline.near_dedup(spark, kept, "").collect()}
+    assert stay == {0, 14}  # near-dedup keeps one of the emptied copies

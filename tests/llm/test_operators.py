@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import decontaminate, language, lines, packing, quality, queries, secrets, simhash, tokens, toxicity, windows
+from tidemark.llm import common, decontaminate, language, lines, packing, quality, queries, secrets, simhash, tokens, toxicity, windows
 
 BLANK = "\t\n\x0b\x0c\r "
 
@@ -112,6 +112,16 @@ def test_lines(docs, rows, empty):
     assert lines.drop_common_lines(empty).count() == 0
 
 
+def test_meet_finds_every_pair_of_hot_and_other_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    rows = [(i, 0 if i % 2 else i % 40, i % 3) for i in range(400)] + [(999, None, 1)]
+    table = [(k, 1, 200 if k == 0 else 10) for k in range(0, 30)]
+    left, right = spark.createDataFrame(rows, "i int, k int, j int"), spark.createDataFrame(table, "k int, j int, n long")
+    found = common.meet(left, right, ["k", "j"], "n").select("i", "k", "j", "n").collect()
+    same([tuple(r) for r in found], [(i, k, j, n) for i, k, j in rows for k2, j2, n in table if (k, j) == (k2, j2)])
+    assert common.meet(left, right.limit(0), ["k", "j"], "n").count() == 0
+
+
 def test_secrets(docs, rows, empty):
     kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6), ("access", re.compile("(AKIA[A-Z0-9]+)"), 1, 20), ("hex", re.compile("([0-9a-f]+)"), 1, 24)]
     long = re.compile("[A-Za-z0-9+/_=-]{20,}")

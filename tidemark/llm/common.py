@@ -19,6 +19,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that a Python task works on at once.
 CHUNK_BYTES = 1 << 20
+#: Keys with more than one in HOT_KEYS of all rows are hot; there are fewer than HOT_KEYS of them.
+HOT_KEYS = 2000
+#: Bytes that a task of a range-dealt step gets, about.
+RANGE_BYTES = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,9 +34,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors reach."""
+    """A new folder name below spark.checkpoint.dir, which all executors reach. Unset, it is set to a local folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):
@@ -47,6 +53,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def n_ranges(df: DataFrame, size: Column) -> int:
+    """Ranges to deal df in, so that a task gets about RANGE_BYTES however large df is; the session's partition count at least."""
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+
+
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """The inner join of rows with table, which has one row a key and in `weight` about how many of rows have it.
+
+    The fewer than HOT_KEYS keys that hold more than one in HOT_KEYS of all weights are
+    broadcast, so that no task of the shuffled join gets more of one key than that share. table is
+    read three times: it should be staged.
+    """
+    line = (table.agg(F.sum(weight)).first()[0] or 0) / HOT_KEYS
+    hot, rest = F.broadcast(table.filter(F.col(weight) > line)), table.filter(F.col(weight) <= line)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
 def row_key(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
     """Two 64-bit hashes of id and text. Rows that agree in both columns share the key, and every result."""
     return [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, LOWER, UPPER, nest, row_key, text_of, unnest
+from tidemark.llm.common import BLANKS, LOWER, UPPER, meet, nest, row_key, stage, text_of, unnest
 
 
 def line_key(line: Column) -> Column:
@@ -20,9 +20,9 @@ def drop_common_lines(
 
     A line's key counts once for each row that holds it; rows are documents, whether or
     not their ids repeat. Keys of `min_chars` code points or more in `min_docs` documents
-    or more lose all their lines. The frequency join moves only hashes and positions, so a
-    line that a third of the documents share costs no text; its key is counted map-side and
-    the join's skewed side can be split. Text moves once, to meet its dropped positions.
+    or more lose all their lines. Keys are compared as two 64-bit hashes. The frequency join
+    moves only hashes and positions, and a line that many documents share is broadcast, not
+    shuffled, so that no task gets it whole. Text moves once, to meet its dropped positions.
 
     Null or empty text: one empty line, kept. An empty table gives an empty table. Columns
     of docs named like the three added ones are replaced; all others are kept.
@@ -30,24 +30,13 @@ def drop_common_lines(
     if min_chars < 1:
         raise ValueError("min_chars is 1 at least: empty lines hold the layout")
     k1, k2 = row_key(docs, id_col, text_col)
-    split = F.split(text_of(docs, text_col), "\n", -1)
-    keys = F.transform(split, line_key)
-    hashes = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.xxhash64(k)))
-    frequent = (
-        docs.select(F.explode(F.array_distinct(hashes)).alias("_h"))
-        .filter(F.col("_h").isNotNull())
-        .groupBy("_h")
-        .count()
-        .filter(F.col("count") >= min_docs)
-        .select("_h")
-    )
-    dropped = (
-        docs.select(k1, k2, F.posexplode(hashes).alias("_pos", "_h"))
-        .filter(F.col("_h").isNotNull())
-        .join(frequent, "_h", "left_semi")
-        .groupBy("_k1", "_k2")
-        .agg(F.collect_set("_pos").alias("_drop"))
-    )
+    keys = F.transform(F.split(text_of(docs, text_col), "\n", -1), line_key)
+    hashed = [F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(7), F.col("_line")).alias("_g")]
+    long_enough = F.char_length("_line") >= min_chars
+    each = docs.select(F.explode(F.array_distinct(keys)).alias("_line")).filter(long_enough).select(*hashed)
+    frequent = stage(each.groupBy("_h", "_g").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_docs), "frequent-lines")
+    places = docs.select(k1, k2, F.posexplode(keys).alias("_pos", "_line")).filter(long_enough).select("_k1", "_k2", "_pos", *hashed)
+    dropped = meet(places, frequent, ["_h", "_g"], "_n").groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_drop"))
     added = {"n_lines", "n_dropped", "kept_text"}
     keyed = nest(docs, k1, k2).join(dropped, ["_k1", "_k2"], "left")
     lines = F.split(F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")), "\n", -1)

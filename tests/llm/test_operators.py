@@ -327,8 +327,8 @@ def test_tiles_find_every_link(spark):
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
     table = spark.createDataFrame(signed, "_fp long")
     expected = plain_groups(prints)
-    for tile in (4096, 37):
-        joined = simhash.components(simhash.near_links(table, len(prints), 4, tile)).collect()
+    for tile, group in ((4096, None), (37, None), (37, 3)):
+        joined = simhash.components(simhash.near_links(table, len(prints), 4, tile, group)).collect()
         found = defaultdict(set)
         for x in joined:
             found[x._root].add(x._node & (1 << 64) - 1)
@@ -338,6 +338,18 @@ def test_tiles_find_every_link(spark):
         same([sorted(x) for x in found.values()], [sorted(x) for x in big.values() if len(x) > 1])
 
 
+@pytest.mark.parametrize("shape", ["rising", "falling", "star", "comb"])
+def test_rounds_follow_the_logarithm(spark, monkeypatch, shape):
+    n = 1024
+    links = {"rising": [(i, i + 1) for i in range(n)], "falling": [(-i, -i - 1) for i in range(n)], "star": [(n, i) for i in range(n)], "comb": [(i, i + 2) for i in range(n)] + [(0, 1)]}[shape]
+    rounds = []
+    plain = simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, name: rounds.append(name) or plain(df.coalesce(1), name))
+    found = simhash.components(spark.createDataFrame(links, "_u long, _v long").coalesce(1)).collect()
+    assert {x._node for x in found} == {x for link in links for x in link} and len({x._root for x in found}) == 1
+    assert rounds.count("groups") <= 16
+
+
 def test_toxicity(spark, empty):
     r = random.Random(2)
     base = [f"w{i}" for i in range(300)]

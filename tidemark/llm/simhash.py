@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from tidemark.llm.common import map_chunks, nest, row_key, ship, stage, unnest,
 
 TILE = 8192
 BLOCK = 256
+#: Bytes of fingerprints in a super-block of tiles, at most.
+GROUP_BYTES = 32 << 20
 
 
 def fingerprint(text: bytes, n_words: int = 4, seed: int = 42) -> int:
@@ -144,55 +147,84 @@ def _near_in(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tupl
     return [(int(fps[s]), int(fps[t])) for s, t in out]
 
 
-def near_links(distinct: DataFrame, n: int, radius: int = 4, tile: int = TILE) -> DataFrame:
+def _group_size(n_tiles: int, parallelism: int) -> int:
+    """Tiles of a super-block: few enough for GROUP_BYTES, and for several pairs of super-blocks a core."""
+    n_groups = max(math.isqrt(32 * parallelism), -(-n_tiles * TILE * 8 // GROUP_BYTES))
+    return max(1, -(-n_tiles // n_groups))
+
+
+def near_links(distinct: DataFrame, n: int, radius: int = 4, tile: int = TILE, group: int | None = None) -> DataFrame:
     """Links (`_u`, `_v`) between distinct fingerprints that join all that are `radius` bits apart or less.
 
+    Tiles are dealt as super-blocks of `group` neighbours in the order of population counts. A
+    tile goes once to each pair of super-blocks where a tile is near enough to be compared with
+    it, and a task compares the near tiles of one pair of super-blocks: tiles are copied as often
+    as there are super-blocks, not as often as there are tiles, and a task holds two super-blocks.
     What the driver and each task hold for all tiles is 24 bytes a tile, 3 bytes a thousand
-    fingerprints; fingerprints themselves move from task to task, with each tile pair once.
+    fingerprints.
     """
     spark = distinct.sparkSession
     made = stage(tiles(distinct, n, tile), "simhash-tiles")
     meta = made.select("_tile", "_box").orderBy("_tile").toPandas()
     ids = meta["_tile"].to_numpy(np.int64)
     lo, hi = _boxes(meta["_box"].map(bytes).tolist()) if len(ids) else (np.zeros((0, 4), np.int16),) * 2
+    size = group or _group_size(len(ids), spark.sparkContext.defaultParallelism)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mine in batch.column(0).to_pylist():
+            for i, mine in enumerate(batch.column(0).to_pylist()):
                 k = int(np.searchsorted(ids, mine))
-                near = np.flatnonzero(_apart(lo[k : k + 1], hi[k : k + 1], lo[k:], hi[k:])[0] <= radius) + k
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), mine)), pa.array(ids[near])], names=["_a", "_b"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ta, tb, pa_, pb in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                a, b = np.frombuffer(pa_, np.uint64), np.frombuffer(pb, np.uint64)
-                found = _near_in(a, b, ta == tb, radius)
+                others = np.unique(np.flatnonzero(_apart(lo[k : k + 1], hi[k : k + 1], lo, hi)[0] <= radius) // size)
+                own = np.full(len(others), k // size)
+                packed = batch.column(1).take(pa.array(np.full(len(others), i)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(own, others)), pa.array(np.maximum(own, others)), pa.array(np.full(len(others), k)), packed], names=["_i", "_j", "_k", "_packed"]
+                )
+
+    def compared(i: int, j: int, held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        left, right = ([k for k in held if k // size == x] for x in (i, j))
+        for k in left:
+            near = [x for x in right if x >= k]
+            for x in np.array(near, np.int64)[_apart(lo[k : k + 1], hi[k : k + 1], lo[near], hi[near])[0] <= radius].tolist() if near else ():
+                found = _near_in(held[k], held[x], k == x, radius)
                 if found:
                     u, v = np.array(found, np.uint64).view(np.int64).reshape(-1, 2).T
                     yield pa.RecordBatch.from_arrays([pa.array(u.copy()), pa.array(v.copy())], names=["_u", "_v"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            for i, j, k, packed in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                if (i, j) != now:
+                    if held:
+                        yield from compared(*now, held)
+                    now, held = (i, j), {}
+                held[k] = np.frombuffer(packed, np.uint64)
+        if held:
+            yield from compared(*now, held)
+
     ship(spark)
-    todo = made.select("_tile").mapInArrow(pairs, "_a long, _b long")
-    left = made.select(F.col("_tile").alias("_a"), F.col("_packed").alias("_pa"))
-    right = made.select(F.col("_tile").alias("_b"), F.col("_packed").alias("_pb"))
-    joined = todo.join(left, "_a").join(right, "_b").select("_a", "_b", "_pa", "_pb")
-    width = min(4000, max(2 * spark.sparkContext.defaultParallelism, 2 * len(ids)))
-    return joined.repartition(width, "_a", "_b").mapInArrow(compare, "_u long, _v long")
+    dealt = made.select("_tile", "_packed").mapInArrow(deal, "_i long, _j long, _k long, _packed binary")
+    n_groups = -(-len(ids) // size)
+    width = min(10_000, max(2 * spark.sparkContext.defaultParallelism, n_groups * (n_groups + 1)))
+    return dealt.repartition(width, "_i", "_j").sortWithinPartitions("_i", "_j", "_k").mapInArrow(compare, "_u long, _v long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """Groups of linked nodes: `_node`, `_root`, for every node that has a link.
 
-    Each round hooks every node to its smallest neighbour, halves the paths, renames the ends
-    of the links and drops those inside a group, so that links and nodes shrink together; a
-    node of many links is reduced map-side. Rounds follow the logarithm of the longest path.
+    Each round hooks every node to its neighbour of the least hashed name, halves the paths,
+    renames the ends of the links and drops those inside a group, so that links and nodes shrink
+    together; a node of many links is reduced map-side. Hashed names are in no order along any
+    path, so that each round leaves a fraction of the nodes, whatever their names: rounds follow
+    the logarithm of the longest path.
     """
     edges = stage(links.filter("_u <> _v").select("_u", "_v"), "links")
+    hashed = lambda a: F.struct(F.xxhash64(a).alias("h"), F.col(a).alias("x"))
     names = None
     while not edges.isEmpty():
         both = edges.select("_u", "_v").union(edges.select("_v", "_u"))
-        hook = both.groupBy("_u").agg(F.min("_v").alias("_v")).select(F.col("_u").alias("_n"), F.least("_u", "_v").alias("_p"))
+        hook = both.groupBy("_u").agg(F.min(hashed("_v")).alias("_v")).select(F.col("_u").alias("_n"), F.least(hashed("_u"), F.col("_v"))["x"].alias("_p"))
         hook = stage(hook, "hooks")
         up = hook.select(F.col("_n").alias("_p"), F.col("_p").alias("_pp"))
         hook = stage(hook.join(up, "_p").select("_n", F.col("_pp").alias("_p")), "hooks")

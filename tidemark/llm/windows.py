@@ -41,6 +41,8 @@ class Runs:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int, gram: int):
         self.prefix = hashing.prefix(hashing.TABLE[data])
         n = len(data)
+        if n > _PLACE:
+            raise ValueError("a text of more than 1 GiB")
         keep = np.zeros(0, np.int64)
         if n >= size:
             inverse = hashing.powers(hashing.STEP_INVERSE, n + 1)
@@ -72,8 +74,9 @@ def _longs(x: np.ndarray) -> pa.Array:
 class Seen:
     """A bitmap of the lower bits of keys: it may pass a key that is not there, never lose one.
 
-    It has 16 bits a key, 2**FILTER_BITS (16 MB) at most, so that what tasks hold is bounded; a
-    fuller bitmap passes more keys to the next step, which is exact. The upper bits of leading
+    It has 16 bits a key, 2**FILTER_BITS (16 MB) at most, so that what the driver and tasks hold is
+    bounded: the driver gets the words that have a bit, 2**(FILTER_BITS - 6) at most, and folds them.
+    A fuller bitmap passes more keys to the next step, which is exact. The upper bits of leading
     grams would not do: those grams are the least of many.
     """
 
@@ -81,19 +84,24 @@ class Seen:
         place = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
         words = keys.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
         words = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # Arrow batches: 12 bytes a row, not an object
-        on = np.unpackbits(words["bits"].to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        row, bit = np.nonzero(on)
-        places = (words["w"].to_numpy().astype(np.int64)[row] << 6) | bit
-        flags = np.zeros(1 << min(FILTER_BITS, max(10, (16 * len(places)).bit_length())), np.uint8)
-        flags[places & (len(flags) - 1)] = 1
-        self.mask = np.uint64(len(flags) - 1)
-        self.bitmap = np.packbits(flags, bitorder="little")
+        self.bitmap = folded(words["w"].to_numpy(), words["bits"].to_numpy().view(np.uint64))
+        self.mask = np.uint64(8 * len(self.bitmap) - 1)
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
         place = (keys & self.mask).astype(np.int64)
         return (self.bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
+def folded(places: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The bitmap of 64-bit words at distinct places, halved upon itself while it has more than 16 bits for each one set."""
+    full = np.zeros(1 << (FILTER_BITS - 6), "<u8")
+    full[places] = words
+    bits = min(FILTER_BITS, max(10, (16 * int(np.bitwise_count(words).sum(dtype=np.int64))).bit_length()))
+    while 64 * len(full) > 1 << bits:
+        full = full[: len(full) // 2] | full[len(full) // 2 :]
+    return full.view(np.uint8)
+
+
 def _with_text(slim: DataFrame, per_doc: DataFrame) -> DataFrame:
     """The texts of the documents in per_doc, beside its columns. Other texts are left out before the shuffle, by a bitmap."""
     held = slim.sparkSession.sparkContext.broadcast(Seen(per_doc, "_k1"))
@@ -227,13 +235,16 @@ def remove_repeated_windows(
     """Per document row: id, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256` and, with_text, `kept` (the bytes left).
 
     Each byte goes that a window of `size` bytes covers which also starts anywhere else, in the
-    same document or another. Suffixes are sorted from the most significant digit on, and only
-    as deep as `size` bytes: by the gram where a window leads, then by the run of windows that
-    share it, then by the bytes common to a block of them, then by the window. Groups of one
-    are done after each digit; groups left at the end are the repeated windows.
-
-    Windows are equal if their 64-bit hashes of each digit are. Texts are taken as UTF-8 bytes;
-    null is empty. Rows that agree in id and text hold each other's windows, as copies do. An
+    same document or another. Suffixes are told apart digit by digit, only as deep as `size`
+    bytes, and groups of one are done after each digit; groups left at the end are the repeated
+    windows. Two exact savings come first: windows whose leading gram occurs once, and runs of
+    windows that repeat as a whole, are settled without a row for each window. Of the others,
+    the suffixes at every BLOCK-th place from the leading one are grouped by their first
+    size - BLOCK + 1 bytes, which all windows of the block hold, and the windows of the blocks left by
+    their first and their second half.
+
+    Windows are equal if their 64-bit hashes of each digit are. Texts are taken as UTF-8 bytes, up
+    to 1 GiB each (places have 30 bits; a longer one is an error); null is empty. Rows that agree in id and text hold each other's windows, as copies do. An
     empty table gives an empty table.
     """
     if not 1 <= gram <= size - BLOCK:

@@ -59,8 +59,8 @@ def n_ranges(df: DataFrame, size: Column) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
 
 
-def meet(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """The inner join of rows with table, which has one row a key and in `weight` about how many of rows have it.
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, which has one row a key and in `weight` about how many of rows have it.
 
     The fewer than HOT_KEYS keys that hold more than one in HOT_KEYS of all weights are
     broadcast, so that no task of the shuffled join gets more of one key than that share. table is
@@ -68,7 +68,7 @@ def meet(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> Dat
     """
     line = (table.agg(F.sum(weight)).first()[0] or 0) / HOT_KEYS
     hot, rest = F.broadcast(table.filter(F.col(weight) > line)), table.filter(F.col(weight) <= line)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys, how))
 
 
 def row_key(df: DataFrame, id_col: str, text_col: str) -> list[Column]:

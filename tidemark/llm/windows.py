@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hashing
-from tidemark.llm.common import map_chunks, row_key, stage, text_of, utf8
+from tidemark.llm.common import map_chunks, meet, row_key, stage, text_of, utf8
 
 #: The most bits of a filter that tasks hold, as a power of two.
 FILTER_BITS = 27
@@ -139,10 +139,11 @@ def repeated_spans(slim: DataFrame, size: int, gram: int) -> DataFrame:
 
     # second digit: all bytes of the run. Equal runs repeat as a whole; one of them stands for them from here on.
     handle = F.xxhash64("_k1", "_k2", "_lo")
-    equal = runs.withColumn("_handle", handle).groupBy("_g", "_u").agg(F.count("*").alias("_c"), F.min("_handle").alias("_first"))
-    mixed = spark.sparkContext.broadcast(Seen(equal.groupBy("_g").count().filter("count > 1"), "_g"))
-    judged = runs.join(equal, ["_g", "_u"]).select("_k1", "_k2", "_lo", "_n", "_j", "_g", "_c", (handle == F.col("_first")).alias("_stands"))
+    equal = runs.groupBy("_g", "_u").agg(F.count("*").alias("_c"), F.min(handle).alias("_first")).filter("_c > 1")
+    judged = meet(runs, stage(equal, "window-equal"), ["_g", "_u"], "_c", "left")
+    judged = judged.select("_k1", "_k2", "_lo", "_n", "_j", "_g", F.coalesce("_c", F.lit(1).cast("long")).alias("_c"), (F.col("_first").isNull() | (handle == F.col("_first"))).alias("_stands"))
     judged = stage(judged, "window-judged")
+    mixed = spark.sparkContext.broadcast(Seen(judged.filter("_stands").groupBy("_g").count().filter("count > 1"), "_g"))
 
     def in_mixed(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(mixed.value.passes(batch.column(5).to_numpy().view(np.uint64))))
@@ -163,8 +164,8 @@ def repeated_spans(slim: DataFrame, size: int, gram: int) -> DataFrame:
 
     kinds = "_k1 long, _k2 long, _lo int, _n int, _b int, _c int, _h long"
     blocks = stage(map_chunks(_with_text(slim, per_doc), "_text", kinds, cores), "window-blocks")
-    again = blocks.groupBy("_b", "_h").agg(F.sum("_c").alias("_sum")).filter("_sum > 1")
-    left = blocks.join(again, ["_b", "_h"], "left_semi")
+    again = blocks.groupBy("_b", "_h").agg(F.sum("_c").alias("_sum"), F.count("*").alias("_rows")).filter("_sum > 1").select("_b", "_h", "_rows")
+    left = meet(blocks, stage(again, "window-again"), ["_b", "_h"], "_rows")
     per_doc = left.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_lo", "_n", "_b", "_c")).alias("_runs"))
     per_doc = stage(per_doc, "window-left")
 
@@ -173,8 +174,8 @@ def repeated_spans(slim: DataFrame, size: int, gram: int) -> DataFrame:
         return _windows(batch, size)
 
     each = stage(map_chunks(_with_text(slim, per_doc), "_text", "_k1 long, _k2 long, _lo int, _c int, _h long, _h2 long", singles), "window-singles")
-    twice = each.groupBy("_h", "_h2").agg(F.sum("_c").alias("_sum")).filter("_sum > 1")
-    found = each.filter("_c = 1").join(twice, ["_h", "_h2"], "left_semi").select("_k1", "_k2", "_lo", F.lit(1).alias("_n"))
+    twice = each.groupBy("_h", "_h2").agg(F.sum("_c").alias("_sum"), F.count("*").alias("_rows")).filter("_sum > 1").select("_h", "_h2", "_rows")
+    found = meet(each.filter("_c = 1"), stage(twice, "window-twice"), ["_h", "_h2"], "_rows").select("_k1", "_k2", "_lo", F.lit(1).alias("_n"))
     return judged.filter("_c > 1").select("_k1", "_k2", "_lo", "_n").union(found)
 
 

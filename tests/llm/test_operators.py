@@ -81,7 +81,8 @@ def plain_windows(texts, size):
 
 
 @pytest.mark.parametrize("size, gram", [(200, 64), (40, 12)])
-def test_windows(spark, docs, rows, empty, size, gram):
+def test_windows(spark, docs, rows, empty, monkeypatch, size, gram):
+    monkeypatch.setattr(common, "HOT_KEYS", 2000 if size == 200 else 30)
     r = random.Random(size)
     base = "".join(r.choice("abcdé ") for _ in range(1500))
     pieces = []
@@ -98,6 +99,26 @@ def test_windows(spark, docs, rows, empty, size, gram):
         assert windows.remove_repeated_windows(empty, size=size, gram=gram).count() == 0
 
 
+def test_filters_fold_within_bounds():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    keys = r.integers(0, 2**63, 3000, dtype=np.uint64)
+    place = keys & np.uint64((1 << windows.FILTER_BITS) - 1)
+    words = {}
+    for p in place.tolist():
+        words[p >> 6] = words.get(p >> 6, 0) | 1 << (p & 63)
+    seen = windows.Seen.__new__(windows.Seen)
+    seen.bitmap = windows.folded(np.array(list(words)), np.array(list(words.values()), np.uint64))
+    seen.mask = np.uint64(8 * len(seen.bitmap) - 1)
+    assert seen.passes(keys).all() and len(seen.bitmap) < 16_384 and seen.passes(r.integers(0, 2**63, 10_000, dtype=np.uint64)).mean() < 0.1
+    full = np.full(1 << (windows.FILTER_BITS - 6), 2**64 - 1, np.uint64)  # every bit set
+    tracemalloc.start()
+    assert len(windows.folded(np.arange(len(full)), full)) == 1 << (windows.FILTER_BITS - 3)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_lines(docs, rows, empty):
     found = lines.drop_common_lines(docs, min_docs=10)
     key = lambda x: x.strip(BLANK).translate({c: c + 32 for c in range(65, 91)})
@@ -120,6 +141,9 @@ def test_meet_finds_every_pair_of_hot_and_other_keys(spark, monkeypatch):
     found = common.meet(left, right, ["k", "j"], "n").select("i", "k", "j", "n").collect()
     same([tuple(r) for r in found], [(i, k, j, n) for i, k, j in rows for k2, j2, n in table if (k, j) == (k2, j2)])
     assert common.meet(left, right.limit(0), ["k", "j"], "n").count() == 0
+    every = common.meet(left, right, ["k", "j"], "n", "left").select("i", "k", "j", "n").collect()
+    weights = {(k, j): n for k, j, n in table}
+    same([tuple(r) for r in every], [(i, k, j, weights.get((k, j))) for i, k, j in rows])
 
 
 def test_secrets(docs, rows, empty):
@@ -275,6 +299,26 @@ def test_decontamination(spark, docs, rows, empty, block):
     assert decontaminate.find_hits(empty, table).count() == 0 and decontaminate.find_hits(docs, table.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark, docs, monkeypatch):
+    import gc
+    import weakref
+
+    alive, most = weakref.WeakSet(), []
+
+    plain = decontaminate.Windows.__init__
+
+    def counted(self, items):
+        plain(self, items)
+        gc.collect()
+        alive.add(self)
+        most.append(len(alive))
+
+    monkeypatch.setattr(decontaminate.Windows, "__init__", counted)
+    table = spark.createDataFrame([(i, f"word{i} of an item") for i in range(60)], "item_id long, text string")
+    decontaminate.find_hits(docs, table, block_windows=10)
+    assert len(most) == 6 and max(most) <= 2
+
+
 def plain_print(text):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []

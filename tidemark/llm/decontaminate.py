@@ -6,11 +6,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hashing
-from tidemark.llm.common import map_chunks, nest, row_key, unnest, utf8
+from tidemark.llm.common import map_chunks, nest, row_key, stage, unnest, utf8
 
 #: Byte classes and lower case: digits, a-z and every byte of a non-ASCII character make words.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -101,10 +102,11 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n_word
     )
 
 
-def _scan(windows: Windows):
-    """Per row: key, number of words, covered runs of words as starts and ends, items found."""
+def _scan(held):
+    """Per row: key, number of words, covered runs of words as starts and ends, items found. held: a broadcast of Windows."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        windows = held.value
         data, offsets = utf8(batch.column("_text"))
         data, starts, ends, first = words_of(data, offsets)
         hashed = word_hashes(data, starts, ends)
@@ -157,9 +159,10 @@ def find_hits(
 ) -> DataFrame:
     """Per document row: id, `_k1`, `_k2`, `n_words`, `n_hit`, `span_starts`, `span_ends` (word positions), `items`.
 
-    Each task holds a block of at most `block_windows` windows (about 100 bytes each); a
-    larger benchmark is read block by block, all documents against each, and the spans of a
-    row are merged. Hashes only select; every hit is compared word for word.
+    The driver and each task hold one block of at most `block_windows` windows (about 100 bytes
+    each) at a time. A larger benchmark is written in blocks first; all documents are read
+    against each block, its hits are written, the block is released, and the spans of a row are
+    merged. Hashes only select; every hit is compared word for word.
 
     Null texts and texts without words: no words, no hits. A null item id counts as the
     item ''. An empty benchmark hits nothing; an empty table gives an empty table. Rows that
@@ -168,19 +171,28 @@ def find_hits(
     k1, k2 = row_key(docs, id_col, text_col)
     slim = docs.select(docs[id_col].alias("_id"), k1, k2, docs[text_col].cast("string").alias("_text"))
     schema = f"_id {dict(slim.dtypes)['_id']}, _k1 long, _k2 long, n_words long, span_starts array<int>, span_ends array<int>, items array<string>"
-    windows = benchmark_windows(benchmark, item_col, item_text_col, n_words)
+    windows = stage(benchmark_windows(benchmark, item_col, item_text_col, n_words), "benchmark-windows")
     n_blocks = max(1, -(-windows.count() // block_windows))
-    parts = []
-    for block in range(n_blocks):
+
+    def read(block: int) -> tuple[Broadcast, DataFrame]:
         own = windows.filter(F.pmod(F.xxhash64("_window"), F.lit(n_blocks)) == block) if n_blocks > 1 else windows
-        held = Windows([(name or "", w.encode()) for name, w in own.toLocalIterator()])
-        parts.append(map_chunks(slim, "_text", schema, _scan(held)))
-    found = parts[0]
-    if n_blocks > 1:
+        held = docs.sparkSession.sparkContext.broadcast(Windows([(name or "", w.encode()) for name, w in own.toLocalIterator()]))
+        return held, map_chunks(slim, "_text", schema, _scan(held))
+
+    if n_blocks == 1:
+        found = read(0)[1]
+    else:
+        parts = []
+        for block in range(n_blocks):
+            held, part = read(block)
+            parts.append(stage(part.filter(F.size("items") > 0) if block else part, "benchmark-hits"))
+            held.destroy()
+            del held, part
+        rows, found = parts[0], parts[0].filter(F.size("items") > 0)
         for part in parts[1:]:
             found = found.unionByName(part)
         # copies of a row give equal spans, so that their union is theirs
-        found = found.groupBy("_id", "_k1", "_k2", "n_words").agg(
+        found = found.groupBy("_k1", "_k2").agg(
             F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends"))).alias("_spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
@@ -200,11 +212,10 @@ def find_hits(
                 ),
             ).otherwise(F.concat(acc, F.array(x))),
         )
-        found = found.withColumn("_spans", merged).select(
-            "_id", "_k1", "_k2", "n_words", "_spans.span_starts", "_spans.span_ends", "items"
-        )
-        rows = slim.select("_id", "_k1", "_k2")
-        found = rows.join(found.drop("_id"), ["_k1", "_k2"])
+        none = lambda kind: F.array().cast(f"array<{kind}>")
+        merged = found.withColumn("_spans", merged).select("_k1", "_k2", "_spans.span_starts", "_spans.span_ends", "items")
+        found = rows.select("_id", "_k1", "_k2", "n_words").join(merged, ["_k1", "_k2"], "left")
+        found = found.withColumns({c: F.coalesce(c, none(k)) for c, k in (("span_starts", "int"), ("span_ends", "int"), ("items", "string"))})
     n_hit = F.aggregate(F.zip_with("span_ends", "span_starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.withColumn("n_hit", n_hit).withColumnRenamed("_id", id_col)
 

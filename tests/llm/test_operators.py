@@ -176,6 +176,19 @@ def test_secret_verdicts_use_documents_and_owners(spark):
     assert found[0] == (1, 0, True)
 
 
+def test_secrets_of_a_dump_of_keys(spark):
+    import time
+
+    n = 20_000
+    lines = [f"secret=value{i:08d}x\n" for i in range(n)]
+    docs = spark.createDataFrame([(1, "".join(lines), "a"), (2, "none", "a"), (3, "Ab3dE5gH7jK9mN1pQ3sT5v " * 2000 + "token=abcdefg", "b")], "doc_id long, text string, source string")
+    began = time.time()
+    found = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert time.time() - began < 60
+    assert found[1].n_assign == n and [(x.start, x.end) for x in found[1].base] == [(i * 22, i * 22 + 21) for i in range(n)]
+    assert len(found[3].spans) == 2001 and [x.start for x in found[3].spans] == [23 * i for i in range(2001)] and found[2].spans == []
+
+
 def test_language(spark):
     train = spark.createDataFrame([("the cat and the dog of house", "en"), ("el gato y la casa de perro", "es"), (None, "en"), ("zzz", None)], "text string, lang string")
     page = lambda i, url, lang, text: (i, url, None if text is None else f"<html{f' lang={lang}' if lang else ''}><style>la la la</style><p>{text}</p>")

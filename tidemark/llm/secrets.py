@@ -22,14 +22,15 @@ MATCH = "array<struct<no:int,pos:int,gap:int,width:int,good:boolean,hash:long>>"
 
 def _matches(text: Column, kind: str, no: int, pattern: str, group: int, least: int) -> Column:
     """All leftmost matches that do not overlap, in order: the width of each and of the gap before it, from split."""
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"))
+    of_group = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("g"), of_group(0).alias("m"), of_group(group).alias("v"))
+    both = F.filter(zipped, lambda x: x["m"].isNotNull())  # one more text lies behind the last match
 
     def one(x: Column, i: Column) -> Column:
         good = F.char_length(x["v"]) >= least
         if kind == TOKEN[0]:
             good = good & _live_looking(x["v"])
-        return F.struct(F.lit(no).alias("no"), i.alias("pos"), F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(x["m"]).alias("width"), good.alias("good"), F.xxhash64(x["v"]).alias("hash"))
+        return F.struct(F.lit(no).alias("no"), i.alias("pos"), F.char_length(x["g"]).alias("gap"), F.char_length(x["m"]).alias("width"), good.alias("good"), F.xxhash64(x["v"]).alias("hash"))
 
     return F.when(text.rlike(pattern), F.transform(both, one)).otherwise(F.array()).cast(MATCH)
 

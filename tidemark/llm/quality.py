@@ -47,13 +47,15 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
     `buckets` numbers reach the driver, whatever the corpus.
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).filter("_id is not null").distinct().withColumn("_trusted", F.lit(1))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    few = ids.count() <= BROADCAST_IDS
     hashed = F.transform(words_of(text_of(docs, text_col)), lambda w: F.xxhash64(w))
+    slim = docs.select(docs[id_col].alias("_id"), hashed.alias("_h"))
+    if few:
+        marked = slim.join(F.broadcast(ids), "_id", "left")
+    else:  # rows without an id would meet in one task
+        marked = slim.filter("_id is not null").join(ids, "_id", "left").unionByName(slim.filter("_id is null").withColumn("_trusted", F.lit(None).cast("int")))
     counts = (
-        docs.select(docs[id_col].alias("_id"), hashed.alias("_h"))
-        .join(ids, "_id", "left")
-        .select("_trusted", F.explode(_buckets("_h", buckets)).alias("_b"))
+        marked.select("_trusted", F.explode(_buckets("_h", buckets)).alias("_b"))
         .groupBy("_b")
         .agg(F.count("*").alias("n"), F.count("_trusted").alias("t"))
         .collect()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hashing
-from tidemark.llm.common import chunks, lists, map_chunks, ship, stage, utf8
+from tidemark.llm.common import chunks, lists, map_chunks, meet, ship, stage, utf8
 from tidemark.llm.decontaminate import words_of
 
 BUCKETS = 1 << 13
@@ -153,10 +153,10 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     everywhere = pages.sparkSession.sparkContext.broadcast((languages, overall / overall.sum()))
     one = F.struct("_top", "_n")
     suffixes = with_words.groupBy("suffix", "_top").agg(F.sum("_n").alias("_n")).groupBy("suffix").agg(F.collect_list(one).alias("_s"))
-    hosts = counted.groupBy("host", "suffix").agg(F.collect_list(F.when(F.col("_top").isNotNull(), one)).alias("_h"))
-    priors = hosts.join(suffixes, "suffix", "left").select("host", "suffix", "_h._top", F.col("_h._n").alias("_hn"), F.col("_s._top").alias("_st"), F.col("_s._n").alias("_sn"))
-    priors = priors.withColumnRenamed("_top", "_ht")
-    return seen.join(priors, ["host", "suffix"]).select(
+    hosts = counted.groupBy("host", "suffix").agg(F.collect_list(F.when(F.col("_top").isNotNull(), one)).alias("_h"), F.sum("_n").alias("_pages"))
+    priors = hosts.join(suffixes, "suffix", "left").select("host", "suffix", "_pages", "_h._top", F.col("_h._n").alias("_hn"), F.col("_s._top").alias("_st"), F.col("_s._n").alias("_sn"))
+    priors = stage(priors.withColumnRenamed("_top", "_ht"), "page-priors")
+    return meet(seen, priors, ["host", "suffix"], "_pages").select(
         "_id", "host", "suffix", "declared", "_top", "_nos", "_scores", "_ht", "_hn", "_st", "_sn"
     ).mapInArrow(_fuse(everywhere), f"`{id_col}` {kind}, host string, suffix string, declared string, text_lang string, lang string, posterior double")
 

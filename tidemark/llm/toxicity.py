@@ -15,8 +15,6 @@ from tidemark.llm.decontaminate import words_of
 
 BITS = 18
 PREFIX_BYTES = 5
-#: Bounds of the sample that the gradient steps take, in documents. Features are chosen over all documents.
-MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
 #: Confirmed ids are broadcast up to this number; beyond it, the join is shuffled.
 MOST_BROADCAST = 4_000_000
 
@@ -42,42 +40,44 @@ def choose(df_p: np.ndarray, n_p: int, df_u: np.ndarray, n_u: int, prior: float,
     return np.flatnonzero((strength >= least) & (prior * p >= pure * u))
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float, chosen: np.ndarray, steps: int = 150, rate: float = 0.05, l2: float = 3e-4):
-    """Weights of the chosen features and bias of a logistic score, from the non-negative risk.
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    Risk: prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]). Where the second
-    term is negative, its descent is undone instead (Kiryo et al., 2017).
+
+def risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two terms of the risk of the positives' and the unlabelled texts' logits, and the descent's gradients by them.
+
+    Risk: prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]), with the logistic
+    loss. Where the second term is negative, its descent is undone instead: the gradients are
+    those of the term's negative alone (Kiryo et al., 2017).
     """
-    n = 1 << BITS
-    n_p, n_u = int(positive.sum()), int(unlabelled.sum())
-    column = np.full(n, -1)
-    column[chosen] = np.arange(len(chosen))
+    plus = prior * np.logaddexp(0, -z_p).mean()
+    minus = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+    s_p, s_u = sigmoid(z_p) / len(z_p), sigmoid(z_u) / len(z_u)
+    if minus >= 0:
+        return plus, minus, prior * (s_p - 1 / len(z_p)) - prior * s_p, s_u
+    return plus, minus, prior * s_p, -s_u
+
+
+def fit(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float, size: int, steps: int = 150, rate: float = 0.05, l2: float = 3e-4):
+    """Weights of `size` features and bias of a logistic score by descent of the non-negative risk. rows: each text's features."""
 
     def sparse(mask: np.ndarray):
         """The product of the masked rows with weights, and that of their transpose with a number a row."""
-        held = [c[c >= 0] for c in (column[r] for r, m in zip(rows, mask) if m)]
+        held = [r for r, m in zip(rows, mask) if m]
         row, at = np.repeat(np.arange(len(held)), [len(x) for x in held]), np.concatenate([np.zeros(0, np.int64), *held])
-        return lambda w: np.bincount(row, weights=w[at], minlength=len(held)), lambda g: np.bincount(at, weights=g[row], minlength=len(chosen))
+        return lambda w: np.bincount(row, weights=w[at], minlength=len(held)), lambda g: np.bincount(at, weights=g[row], minlength=size)
 
     (times_p, back_p), (times_u, back_u) = sparse(positive), sparse(unlabelled)
-    w, b = np.zeros(len(chosen)), np.log(prior / (1 - prior))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    w, b = np.zeros(size), np.log(prior / (1 - prior))
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        sp, su = sigmoid(times_p(w) + b), sigmoid(times_u(w) + b)
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-        up, down_p, down_u = (sp - 1) / n_p, sp / n_p, su / n_u
-        if negative >= 0:
-            gp, gu = prior * up - prior * down_p, down_u
-        else:
-            gp, gu = prior * down_p, -down_u
+        _, _, gp, gu = risk(times_p(w) + b, times_u(w) + b, prior)
         g = np.append(back_p(gp) + back_u(gu) + l2 * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    weights = np.zeros(n, np.float32)
-    weights[chosen] = w
-    return weights, float(b)
+    return w, float(b)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -85,22 +85,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None):
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    prior: float | None = None,
+    most_positive: int = 4_000,
+    most_unlabelled: int = 12_000,
+):
     """Weights and bias, or None without a confirmed example.
 
     Confirmed toxic documents outside the held-out fold are the positives; all documents outside
     it, whatever their labels, are the unlabelled. Features are chosen by their document
-    frequencies in all of both. The gradient steps take a sample, MOST_POSITIVE and
-    MOST_UNLABELLED ids at most, the first by a hash, with one row an id. The prior is the toxic
-    share of all labelled ids outside the fold unless given.
+    frequencies in all of both. The gradient steps take a sample, the first `most_positive` and
+    `most_unlabelled` ids by a hash, with one row an id and of its features the chosen ones: that
+    many rows, however often an id repeats, are what the one training task gets. The prior is the
+    toxic share of all labelled ids outside the fold unless given.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).filter("_id is not null and _label is not null")
     known = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_label").alias("_label"))
     slim = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).filter(F.col("_id").isNotNull())
     order = F.xxhash64(F.col("_id"), F.lit(9))
-    p = known.filter("_label = 1").orderBy(order, "_id").limit(MOST_POSITIVE).select("_id", F.lit(1).alias("_p"))
+    p = known.filter("_label = 1").orderBy(order, "_id").limit(most_positive).select("_id", F.lit(1).alias("_p"))
     slim = slim.filter(~held_out(F.col("_id")))
-    u = slim.select("_id").distinct().orderBy(order, "_id").limit(MOST_UNLABELLED).select("_id", F.lit(1).alias("_u"))
+    u = slim.select("_id").distinct().orderBy(order, "_id").limit(most_unlabelled).select("_id", F.lit(1).alias("_u"))
     if prior is None:
         share = known.agg(F.avg((F.col("_label") == 1).cast("double"))).first()[0]
         prior = min(0.5, max(0.005, share or 0.0))
@@ -113,6 +123,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, found = features(*utf8(batch.column(1)))
+        column = np.full(1 << BITS, -1)
+        column[held.value] = np.arange(len(held.value))
+        on = column[found] >= 0
+        rows, found = rows[on], column[found[on]]
         ends = np.searchsorted(rows, np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.astype(np.int32)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], names=["_id", "_p", "_u", "_f"])
@@ -131,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         order = sorted(range(len(ids)), key=lambda i: (ids[i], len(rows[i]), rows[i].tobytes()))
         if any(ps) and any(us):
             flags = [np.array([x[i] for i in order], bool) for x in (ps, us)]
-            weights, bias = fit([rows[i] for i in order], *flags, prior, held.value)
+            weights = np.zeros(1 << BITS, np.float32)
+            weights[held.value], bias = fit([rows[i].astype(np.int64) for i in order], *flags, prior, len(held.value))
             yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], names=["w", "b"])
 
     ship(docs.sparkSession)
@@ -173,7 +188,8 @@ def score(
     Every whole text is scored from its distinct features alone: no label, id, language or
     source goes into a score. Null and empty texts have no features and get the score of the
     bias. Without a confirmed example every score is 0. Null ids are not held out. Repeated
-    rows are scored one by one. An empty table gives an empty table.
+    rows are scored one by one. An empty table gives an empty table. Options are those of train:
+    `prior`, and the bounds `most_positive` and `most_unlabelled` of the training sample.
     """
     model = train(docs, labels, id_col, text_col, label_col, **options)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -186,7 +202,7 @@ def score(
             weights, bias = held.value
             rows, found = features(*utf8(batch.column(1)))
             z = np.bincount(rows, weights=weights[found], minlength=batch.num_rows) + bias
-            scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            scores = sigmoid(z)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["_id", "score"])
 
     kind = dict(slim.dtypes)["_id"]

@@ -53,6 +53,57 @@ def test_quality(spark, docs, rows, empty):
     assert {r.llr for r in quality.score(docs, trusted.limit(0)).filter("n_words > 0").collect()} == {0.0}
 
 
+def plain_verdicts(texts, trusted, smoothing=1.0):
+    """llr of each text from hashed words and pairs, as Spark's xxhash64 has them."""
+    long = lambda x: (x - (1 << 64) if x >> 63 else x).to_bytes(8, "little", signed=True)
+    hashed = [[xxhash.xxh64_intdigest(w.encode(), 42) for w in words(t)] for t in texts]
+    pair = lambda a, b: xxhash.xxh64_intdigest(long(b), xxhash.xxh64_intdigest(long(a), 42))
+    grams = [[x % quality.BUCKETS for x in [*h, *(pair(a, b) for a, b in zip(h, h[1:]))]] for h in hashed]
+    n, t = Counter(g for x in grams for g in x), Counter(g for x, k in zip(grams, trusted) if k for g in x)
+    all_n, all_t = sum(n.values()) + smoothing * quality.BUCKETS, sum(t.values()) + smoothing * quality.BUCKETS
+    ratio = lambda g: round(np.log((t[g] + smoothing) / all_t) - np.log((n[g] + smoothing) / all_n), 4)
+    return [np.mean([ratio(g) for g in x]) if x else None for x in grams]
+
+
+@pytest.mark.parametrize("most", [4_000_000, 3])
+def test_quality_verdicts(spark, docs, rows, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_IDS", most)
+    trusted = {i * 3 for i in range(9, 40)}
+    found = {(r.doc_id, r.text): r for r in quality.score(docs, spark.createDataFrame([(k,) for k in trusted] + [(None,)], "id long")).collect()}
+    for (doc_id, text, *_), llr in zip(rows, plain_verdicts([x[1] for x in rows], [x[0] in trusted for x in rows])):
+        r = found[doc_id, text]
+        assert (r.llr is None) == (llr is None) and (llr is None or r.llr == pytest.approx(llr, abs=1e-9))
+        assert r.kept == (not r.base_failed and llr is not None and llr >= quality.THRESHOLD)
+
+
+def test_texts_above_a_chunk(spark):
+    """Texts longer than what a task works on at once: prose, a single word, many lines."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(3, 11))) for _ in range(5000)]
+    prose = lambda n: " ".join(r.choices(vocabulary, k=n))
+    passage = prose(400)
+    texts = [f"{prose(90_000)} {passage} {prose(60_000)}", f"{passage} tail", "x" * 1_200_000, "\n".join(f"line {i % 60_000} {i % 7}" for i in range(100_000)), "small", None]
+    assert all(len(texts[i]) > common.CHUNK_BYTES for i in (0, 2, 3))
+    table = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(2)
+    by_id = lambda df: [tuple(x) for x in df.orderBy("doc_id").collect()]
+    found = windows.remove_repeated_windows(table, with_text=False)
+    assert by_id(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == [(i, *x) for i, x in enumerate(plain_windows(texts, 200))]
+    found = lines.drop_common_lines(table, min_docs=2)
+    keys = Counter(k for t in texts for k in {x.strip(BLANK) for x in (t or "").split("\n")} if k)
+    left = [[x for x in (t or "").split("\n") if not (x.strip(BLANK) and keys[x.strip(BLANK)] >= 2)] for t in texts]
+    assert by_id(found.select("doc_id", "n_lines", "kept_text")) == [(i, (t or "").count("\n") + 1, "\n".join(x)) for i, (t, x) in enumerate(zip(texts, left))]
+    assert by_id(quality.score(table, table.select("doc_id").limit(0)).select("doc_id", "n_words")) == [(i, len(words(t))) for i, t in enumerate(texts)]
+    assert by_id(simhash.near_duplicates(table).select("doc_id", "fingerprint")) == [(i, f"{plain_print(t):016x}") for i, t in enumerate(texts)]
+    ids = [ids_of(t, 0) for t in texts]
+    got = by_id(tokens.read_ids(tokens.write_ids(table, queries.TOKENIZER, end_id=0)).select("doc_id", "n_tokens", "ids_crc32"))
+    assert got == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
+    pieces = packing.pack(table, queries.TOKENIZER, end_id=0, with_ids=True).orderBy("doc_id", "start").collect()
+    assert [b"".join(bytes(x.ids) for x in pieces if x.doc_id == i) for i in range(len(texts))] == [x.tobytes() for x in ids]
+    item = spark.createDataFrame([(1, " ".join(passage.split()[:30]))], "item_id long, text string")
+    assert [x[2] for x in by_id(decontaminate.digest(decontaminate.find_hits(table, item)))] == [30, 30, 0, 0, 0, 0]
+    assert secrets.scan(table).count() == 6 and toxicity.score(table, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, toxic int")).count() == 6
+
+
 def test_quality_ratio_by_hand(spark):
     docs = spark.createDataFrame([(1, "good good text"), (2, "bad worse"), (3, "good text")], "doc_id long, text string")
     trusted = spark.createDataFrame([(1,), (3,)], "doc_id long")
@@ -67,13 +118,13 @@ def test_quality_ratio_by_hand(spark):
 
 
 def plain_windows(texts, size):
-    count = Counter(b[i : i + size] for t in texts for b in [(t or "").encode()] for i in range(len(b) - size + 1))
+    count = Counter(hash(b[i : i + size]) for t in texts for b in [(t or "").encode()] for i in range(len(b) - size + 1))
     out = []
     for t in texts:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - size + 1):
-            if count[b[i : i + size]] > 1:
+            if count[hash(b[i : i + size])] > 1:
                 gone[i : i + size] = b"\1" * size
         kept = bytes(x for x, y in zip(b, gone) if not y)
         out.append((len(b), sum(gone), sum(1 for i, x in enumerate(gone) if x and (not i or not gone[i - 1])), sha(kept)))
@@ -278,6 +329,11 @@ def test_token_files(spark, docs, rows, empty):
         for a, b in ((0, 1), (5, 5), (4095, 4097), (4000, 9000), (reader.n_ids - 1, reader.n_ids)):
             assert (reader.ids(a, b) == every[a:b]).all()
     assert tokens.read_ids(tokens.write_ids(empty, queries.TOKENIZER, end_id=0)).count() == 0
+    named = [(f"é{i % 7}-{i}" if i else None, f"text {i}") for i in range(40)]
+    table = spark.createDataFrame(named, "doc_id string, text string").repartition(3)
+    found = tokens.read_ids(tokens.write_ids(table, queries.TOKENIZER, end_id=0)).orderBy("start").collect()
+    order = sorted(named, key=lambda x: (x[0] is not None, (x[0] or "").encode()))
+    assert [(r.doc_id, r.n_tokens) for r in found] == [(k, len(ids_of(t, 0))) for k, t in order]
 
 
 def item_words(text):
@@ -434,6 +490,19 @@ def test_toxicity(spark, empty):
     assert {x.score for x in toxicity.score(docs, marks.filter("toxic = 0")).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("shift", [0.0, -4.0])
+def test_risk_and_its_gradients(shift):
+    r = np.random.default_rng(6)
+    z_p, z_u, prior = r.normal(size=7) - shift, r.normal(size=11) + shift, 0.4
+    by_hand = lambda a, b: (prior * np.mean([np.log1p(np.exp(-x)) for x in a]), np.mean([np.log1p(np.exp(x)) for x in b]) - prior * np.mean([np.log1p(np.exp(x)) for x in a]))
+    plus, minus, g_p, g_u = toxicity.risk(z_p, z_u, prior)
+    assert (plus, minus) == pytest.approx(by_hand(z_p, z_u)) and (minus < 0) == (shift < 0)  # both branches
+    target = (lambda a, b: sum(by_hand(a, b))) if minus >= 0 else (lambda a, b: -by_hand(a, b)[1])
+    step = lambda z, i, e: z + e * (np.arange(len(z)) == i)
+    assert g_p == pytest.approx([(target(step(z_p, i, 1e-5), z_u) - target(step(z_p, i, -1e-5), z_u)) / 2e-5 for i in range(7)], abs=1e-7)
+    assert g_u == pytest.approx([(target(z_p, step(z_u, i, 1e-5)) - target(z_p, step(z_u, i, -1e-5))) / 2e-5 for i in range(11)], abs=1e-7)
+
+
 def test_toxicity_features_are_of_all_documents(spark, monkeypatch):
     r = random.Random(8)
     rows, labels = [], []
@@ -453,10 +522,8 @@ def test_toxicity_features_are_of_all_documents(spark, monkeypatch):
         again = [k for k in outside if k % 8 == 0] if table is not docs else []
         assert n_u == len(outside) + len(again) and n_p == sum(k % 4 == 0 for k in outside) + len(again)
         assert df_u.max() <= n_u and (df_p <= df_u).all()
-    monkeypatch.setattr(toxicity, "MOST_POSITIVE", 100)
-    monkeypatch.setattr(toxicity, "MOST_UNLABELLED", 100)
     seen.clear()
-    toxicity.train(docs, marks)
+    assert toxicity.train(docs.union(docs), marks, most_positive=100, most_unlabelled=100) is not None
     assert seen[0][1] > 100 and seen[0][3] > 100  # the sample does not bound the counts
     # no fixed number of features
     df_p = np.zeros(1 << toxicity.BITS, np.int64)

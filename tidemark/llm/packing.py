@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_chunks, row_key, ship, stage
+from tidemark.llm.common import chunks, n_ranges, row_key, ship, stage
 from tidemark.llm.tokens import encoder
 
 DIMENSIONS, ORDER = 4, 12
+#: Ids of a piece that is dealt and sorted as one row: long documents weigh by their length.
+PIECE_IDS = 4096
 
 
 def hilbert_key(points: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -84,8 +86,9 @@ def pack(
     """Pieces of documents in sequences: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and `ids`).
 
     Every text is encoded and followed by end_id. Documents are dealt by ranges of their key on
-    the Hilbert curve (ties by id and content, so that a group of copies spreads over ranges),
-    sorted, and laid end to end; a new sequence starts every `length` ids. Only the last
+    the Hilbert curve (ties by id and content, so that a group of copies spreads over ranges) in
+    rows of PIECE_IDS ids at most, so that a range has about RANGE_BYTES whatever its documents'
+    lengths, sorted, and laid end to end; a new sequence starts every `length` ids. Only the last
     sequence of a range is short, one in thousands. sequence_id is the range's number times
     2**32 plus the sequence's number there.
 
@@ -96,19 +99,30 @@ def pack(
     slim = docs.select(docs[id_col].alias("_id"), k1, k2, docs[text_col].cast("string").alias("_text"))
     kind = dict(slim.dtypes)["_id"]
 
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         enc, end, directions = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), _directions(1 << 14)
-        found = [enc.encode(text or "") for text in batch.column(3).to_pylist()]
-        points = np.array([curve_point(np.frombuffer(x, "<u4"), directions) for x in found])
-        packed = [_narrow(x + end) for x in found]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(hilbert_key(points)), pa.array(packed, pa.binary())],
-            names=["_id", "_k1", "_k2", "_key", "_ids"],
-        )
-
-    encoded = stage(map_chunks(slim, "_text", f"_id {kind}, _k1 long, _k2 long, _key long, _ids binary", encode), "encoded")
-    order = ["_key", "_id", "_k1", "_k2"]
-    dealt = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_ids")
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in chunks(batch, "_text"):
+                found = [enc.encode(text or "") for text in part.column(3).to_pylist()]
+                keys = hilbert_key(np.array([curve_point(np.frombuffer(x, "<u4"), directions) for x in found]))
+                whole = [x + end for x in found]
+                counts = [-(-len(x) // (4 * PIECE_IDS)) for x in whole]
+                rows = np.repeat(np.arange(len(whole)), counts)
+                starts = np.concatenate([np.arange(n) * PIECE_IDS for n in counts])
+                packed = [_narrow(whole[k][4 * s : 4 * (s + PIECE_IDS)]) for k, s in zip(rows.tolist(), starts.tolist())]
+                at, sizes = pa.array(rows), np.array([len(x) // 4 for x in whole])
+                columns = [*(part.column(i).take(at) for i in range(3)), pa.array(keys[rows]), pa.array(number + rows), pa.array(starts), pa.array(sizes[rows]), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_k1", "_k2", "_key", "_row", "_start", "_size", "_ids"])
+                number += len(whole)
+
+    ship(docs.sparkSession)
+    encoded = stage(slim.mapInArrow(encode, f"_id {kind}, _k1 long, _k2 long, _key long, _row long, _start long, _size long, _ids binary"), "encoded")
+    order = ["_key", "_id", "_k1", "_k2", "_row", "_start"]  # _row parts repeated rows
+    n = n_ranges(encoded, F.octet_length("_ids"))
+    dealt = encoded.repartitionByRange(n, *order).sortWithinPartitions(*order).select("_id", "_start", "_size", "_ids")
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +131,13 @@ def pack(
         base, at = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             rows, keys = [], []
-            for k, raw in enumerate(batch.column(1).to_pylist()):
+            for k, (first, size, raw) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
                 ids = np.frombuffer(raw[1:], "<u4") if len(raw) % 2 else np.frombuffer(raw, "<u2").astype("<u4")
                 start = 0
                 while start < len(ids):
                     n = min(len(ids) - start, length - at % length)
                     piece = ids[start : start + n].tobytes()
-                    row = (start, n, zlib.crc32(piece), len(ids), base + at // length, at % length)
+                    row = (first + start, n, zlib.crc32(piece), size, base + at // length, at % length)
                     rows.append((*row, piece) if with_ids else row)
                     keys.append(k)
                     start, at = start + n, at + n
@@ -131,6 +145,5 @@ def pack(
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), *columns], names=names)
 
-    ship(docs.sparkSession)
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in names[1:])
     return dealt.mapInArrow(cut, schema)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, shared_dir, ship, stage, text_of
+from tidemark.llm.common import chunks, n_ranges, shared_dir, ship, stage, text_of
 
 #: Entries of the young half of a worker's word cache; at most twice as many are held (about 250 bytes each).
 CACHE_WORDS = 300_000
@@ -169,7 +169,7 @@ class ShardWriter:
         self.held, self.n_held = [], 0
         stream.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | str | None, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
         self.starts.append(self.starts[-1] + len(ids))
         self.held.append(ids)
@@ -190,9 +190,14 @@ class ShardWriter:
     def close(self) -> None:
         self._flush(True)
         known = np.array([x is not None for x in self.docs], np.uint8)
-        docs = np.array([x or 0 for x in self.docs], "<i8")
-        tail = docs.tobytes() + known.tobytes() + np.array(self.starts, "<u8").tobytes() + np.array([*self.offsets, self.at], "<u8").tobytes()
-        foot = json.dumps({"bits": self.bits, "block": BLOCK_IDS, "docs": len(docs), "ids": self.starts[-1], "blocks": len(self.offsets), "tail": self.at}).encode()
+        text = any(isinstance(x, str) for x in self.docs)
+        if text:  # ends of the ids as UTF-8, then their bytes
+            raw = [(x or "").encode() for x in self.docs]
+            docs = np.cumsum([len(x) for x in raw], dtype="<i8").tobytes() + b"".join(raw)
+        else:
+            docs = np.array([x or 0 for x in self.docs], "<i8").tobytes()
+        tail = known.tobytes() + np.array(self.starts, "<u8").tobytes() + np.array([*self.offsets, self.at], "<u8").tobytes() + docs
+        foot = json.dumps({"bits": self.bits, "block": BLOCK_IDS, "docs": len(self.docs), "text": text, "ids": self.starts[-1], "blocks": len(self.offsets), "tail": self.at}).encode()
         self.stream.write(tail + foot + len(foot).to_bytes(4, "little") + MAGIC)
 
 
@@ -210,10 +215,14 @@ class ShardReader:
         self.bits, self.block, self.n_ids = foot["bits"], foot["block"], foot["ids"]
         tail = file.read_at(size - 12 - n - foot["tail"], foot["tail"])
         d = foot["docs"]
-        known = np.frombuffer(tail, np.uint8, d, 8 * d)
-        self.docs = [x if k else None for x, k in zip(np.frombuffer(tail, "<i8", d).tolist(), known.tolist())]
-        self.starts = np.frombuffer(tail, "<u8", d + 1, 9 * d).astype(np.int64)
-        self.offsets = np.frombuffer(tail, "<u8", foot["blocks"] + 1, 9 * d + 8 * (d + 1)).astype(np.int64)
+        known = np.frombuffer(tail, np.uint8, d)
+        self.starts = np.frombuffer(tail, "<u8", d + 1, d).astype(np.int64)
+        self.offsets = np.frombuffer(tail, "<u8", foot["blocks"] + 1, d + 8 * (d + 1)).astype(np.int64)
+        at = d + 8 * (d + 1) + 8 * (foot["blocks"] + 1)
+        docs = np.frombuffer(tail, "<i8", d, at).tolist()
+        if foot["text"]:
+            docs = [tail[at + 8 * d + a : at + 8 * d + b].decode() for a, b in zip([0, *docs], docs)]
+        self.docs = [x if k else None for x, k in zip(docs, known.tolist())]
 
     def ids(self, start: int, end: int) -> np.ndarray:
         if start >= end:
@@ -226,7 +235,7 @@ class ShardReader:
             out.append(unpack(data[self.offsets[b] - self.offsets[lo] : self.offsets[b + 1] - self.offsets[lo]], self.bits, n))
         return np.concatenate(out)[start - lo * self.block : end - lo * self.block]
 
-    def documents(self, ids_at_once: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    def documents(self, ids_at_once: int = 1 << 20) -> Iterator[tuple[int | str | None, int, np.ndarray]]:
         """(doc_id, start, ids) of every document, in order; ids_at_once bounds what a step holds besides one document."""
         i = 0
         while i < len(self.docs):
@@ -251,16 +260,17 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     Texts are dealt by id range and sorted, and each task encodes and writes its range as one
     file with a name of its own in `to` (by default a new folder below spark.checkpoint.dir):
     a task that runs again writes another file, and only the file of the attempt that counts
-    is in the manifest (`shard`, `path`, `n_docs`, `n_ids`). No text passes the driver.
+    is in the manifest (`shard`, `path`, `id_type`, `n_docs`, `n_ids`). No text passes the driver.
 
-    Null ids come first; null and empty texts are the end id alone; equal ids are ordered by
+    Ids of whole numbers are kept as such, others as strings, in the order of strings. Null ids come first; null and empty texts are the end id alone; equal ids are ordered by
     text. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     to = to or shared_dir(spark, "token-ids")
     bits = max(1, int(max(vocabulary_size(tokenizer_path) - 1, end_id)).bit_length())
-    slim = docs.select(docs[id_col].cast("long").alias("_id"), text_of(docs, text_col).alias("_text"))
-    dealt = slim.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    kind = "long" if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint") else "string"
+    slim = docs.select(docs[id_col].cast(kind).alias("_id"), text_of(docs, text_col).alias("_text"))
+    dealt = slim.repartitionByRange(n_ranges(slim, F.octet_length("_text")), "_id").sortWithinPartitions("_id", "_text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -278,10 +288,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
         if out is not None:
             out.close()
             stream.close()
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "n_docs": len(out.docs), "n_ids": out.starts[-1]}])
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "id_type": kind, "n_docs": len(out.docs), "n_ids": out.starts[-1]}])
 
     ship(spark)
-    return stage(dealt.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
+    return stage(dealt.mapInArrow(write, "shard long, path string, id_type string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
@@ -289,6 +299,8 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     spark = manifest.sparkSession
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("path", before.cast("long").alias("base"))
+    first = manifest.select("id_type").first()
+    kind = first.id_type if first else "long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,8 +316,9 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                     yield _rows(rows)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        kinds = [pa.string() if kind == "string" else pa.int64(), *[pa.int64()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     ship(spark)
     n = max(1, manifest.count())
-    return placed.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(n).mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -53,20 +53,17 @@ def prior_day_medians(df: DataFrame, key: list[str], day: str, value: str) -> Da
     return medians.withColumn("prior_median", F.lag("median").over(Window.partitionBy(*key).orderBy(day)))
 
 
-def window_fence(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """Outliers against the quartiles of the last FENCE_WINDOW values before each row, outliers among them included."""
-    past = Window.partitionBy(*key).orderBy(*order).rowsBetween(-FENCE_WINDOW, -1)
-    q = lambda p: F.percentile(value, F.lit(p)).over(past)
-    seen = df.withColumn("n_past", F.count(value).over(past)).withColumn("_q1", q(0.25)).withColumn("_q3", q(0.75))
-    width = FENCE_K * (F.col("_q3") - F.col("_q1"))
-    out = (F.col("n_past") >= FENCE_LEAST) & ((F.col(value) < F.col("_q1") - width) | (F.col(value) > F.col("_q3") + width))
-    return seen.withColumn("outlier", F.coalesce(out, F.lit(False))).drop("_q1", "_q3")
+def change_flag(value: Column, prior: Column, limit: float = MAX_CHANGE_PCT) -> Column:
+    """Where a value is more than `limit` per cent off the prior day's median: which way."""
+    pct = 100 * F.abs(value - prior) / prior
+    return F.when((prior > 0) & (pct > limit), F.concat(F.lit("daily_change_"), F.when(value > prior, "spike").otherwise("collapse")))
 
 
 class Fence:
-    """The last FENCE_WINDOW clean values, sorted beside their order, and the verdict on the next one."""
+    """The last FENCE_WINDOW values, clean ones only unless told otherwise, sorted beside their order, and the verdict on the next one."""
 
-    def __init__(self, clean: list[float] | None = None):
+    def __init__(self, clean: list[float] | None = None, keep_outliers: bool = False):
+        self.keep_outliers = keep_outliers
         self.line = deque(clean or [], FENCE_WINDOW)
         self.sorted = sorted(self.line)
 
@@ -76,37 +73,43 @@ class Fence:
         hi = min(lo + 1, len(self.sorted) - 1)
         return self.sorted[lo] + (at - lo) * (self.sorted[hi] - self.sorted[lo])
 
-    def judge(self, value: float) -> bool:
-        """True for an outlier, which is withheld; other values join the line."""
+    def judge(self, value: float | None) -> bool:
+        """True for an outlier, which is withheld; other values join the line. No value is no outlier."""
+        if value is None or value != value:
+            return False
+        out = False
         if len(self.sorted) >= FENCE_LEAST:
             q1, q3 = self._at(0.25), self._at(0.75)
-            if value < q1 - FENCE_K * (q3 - q1) or value > q3 + FENCE_K * (q3 - q1):
+            out = value < q1 - FENCE_K * (q3 - q1) or value > q3 + FENCE_K * (q3 - q1)
+            if out and not self.keep_outliers:
                 return True
         if len(self.line) == FENCE_WINDOW:
             del self.sorted[bisect.bisect_left(self.sorted, self.line[0])]
         self.line.append(value)
         bisect.insort(self.sorted, value)
-        return False
+        return out
 
 
-def recursive_fence(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """Outliers against the last clean values only: each verdict depends on those before it.
+def recursive_fence(df: DataFrame, key: list[str], order: list[str], value: str, keep_outliers: bool = False) -> DataFrame:
+    """df with `n_past` and `outlier`: each value against the last clean values of its key before it.
 
+    Each verdict depends on those before it. With keep_outliers, outliers stay in later fences.
     Rows of a key are sorted by Spark and streamed through one pass; a task holds the fence of
-    its current key, FENCE_WINDOW values, not the key's rows.
+    its current key, FENCE_WINDOW values, not the key's rows. Rows without a value are no
+    outliers. A key is judged by one task.
     """
-    columns = df.columns
-    dealt = df.filter(F.col(value).isNotNull()).repartition(*key).sortWithinPartitions(*key, *order)
+    dealt = df.repartition(*key).sortWithinPartitions(*key, *order)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, fence = None, Fence()
+        current, fence = None, Fence(keep_outliers=keep_outliers)
         for frame in frames:
-            out = []
+            past, out = [], []
             for own, x in zip(frame[key].itertuples(index=False, name=None), frame[value]):
                 if own != current:
-                    current, fence = own, Fence()
+                    current, fence = own, Fence(keep_outliers=keep_outliers)
+                past.append(len(fence.line))
                 out.append(fence.judge(x))
-            yield frame.assign(outlier=out)
+            yield frame.assign(n_past=past, outlier=out)
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", outlier boolean"
-    return dealt.mapInPandas(run, schema).select(*columns, "outlier")
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", n_past long, outlier boolean"
+    return dealt.mapInPandas(run, schema)

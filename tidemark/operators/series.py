@@ -60,3 +60,52 @@ def quadratic_fit(df: DataFrame, x: str, y: str, by: list[str], least: int) -> D
     r2 = F.when(tss > 1e-6, F.least(F.greatest(1 - rss / tss, F.lit(0.0)), F.lit(1.0)))
     best = F.when(F.col("b2") > 1e-8, F.least(F.greatest(-F.col("b1") / (2 * F.col("b2")), F.lit(1.0)), F.lit(90.0)))
     return s.select(*by, "n", "b0", "b1", "b2", r2.alias("r2"), best.alias("best_x"))
+
+
+def slope_pct(x: Column) -> Column:
+    """Per cent that a fit's value changes by a unit at x."""
+    return 100 * (F.col("b1") + 2 * F.col("b2") * x)
+
+
+def curve(fits: DataFrame, points: list[int]) -> DataFrame:
+    """Each fit's values and slopes at the points, a row each."""
+    x = F.col("x").cast("double")
+    at = fits.withColumn("x", F.explode(F.array(*[F.lit(p) for p in points])))
+    return at.withColumn("predicted", F.exp(F.col("b0") + F.col("b1") * x + F.col("b2") * x * x)).withColumn("slope_pct", slope_pct(x))
+
+
+def latest_before(series: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
+    """asked (key, day) with the latest point of series (key, day, value) strictly before each day: `found_day`, `found`.
+
+    Both are laid in one line by key and day; no range join.
+    """
+    line = asked.select(*key, "day", F.lit(1).alias("_ask"), F.lit(None).cast("double").alias("value")).unionByName(series.select(*key, "day", F.lit(0).alias("_ask"), F.col("value").cast("double").alias("value")))
+    before = Window.partitionBy(*key).orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(Window.unboundedPreceding, -1)
+    point = F.struct("day", "value")
+    seen = line.withColumn("_hit", F.max(F.when(F.col("_ask") == 0, point)).over(before)).filter("_ask = 1")
+    return seen.select(*key, "day", F.col("_hit.day").alias("found_day"), F.col("_hit.value").alias("found"))
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict) -> DataFrame:
+    """Per group: `n` (rows with a value) and the values at ranks, each a function of the column n, counted from 0.
+
+    Rows are counted by distinct value, map-side first; the values' whole parts are summed up to
+    find where each rank lies, and only the values with that whole part are ordered: no task gets
+    a group's values whole.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c")).withColumn("_part", F.floor(value))
+    of = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    parts = counts.groupBy(*by, "_part").agg(F.sum("_c").alias("_t"))
+    parts = parts.withColumn("_before", F.sum("_t").over(of.orderBy("_part")) - F.col("_t")).withColumn("n", F.sum("_t").over(of))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("at")) for name, rank in ranks.items()]))
+    asked = parts.select("*", asked.alias("_ask")).filter((F.col("_before") <= F.col("_ask.at")) & (F.col("_ask.at") < F.col("_before") + F.col("_t")))
+    near = counts.join(asked.select(*by, "_part", "n", F.col("_ask.name").alias("_name"), (F.col("_ask.at") - F.col("_before")).alias("_at")), [*by, "_part"])
+    near = near.withColumn("_up", F.sum("_c").over(Window.partitionBy(*by, "_name").orderBy(value)))
+    hit = near.filter((F.col("_up") - F.col("_c") <= F.col("_at")) & (F.col("_at") < F.col("_up")))
+    return hit.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in ranks])
+
+
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Per group: `n` and the exact `median`, between the two middle values if there are two."""
+    found = order_statistics(df, by, value, {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.ceil((n - 1) / 2)})
+    return found.select(*by, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))

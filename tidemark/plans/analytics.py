@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as sr
+from tidemark.operators.aggregates import ALPHA, HORIZONS
+from tidemark.sources.store import settle
 from tidemark.sources.tables import QUOTES_SQL, quotes, read, valid_quotes
 
 
@@ -17,10 +19,17 @@ def order_days(spark, d):
     return read(spark, d, "orders").groupBy(F.to_date(F.trunc("o_orderdate", "month")).alias("day")).agg(F.avg("o_totalprice").alias("value"))
 
 
+def gappy_days(spark, d):
+    """Mean order value by day, without the days whose number is a multiple of 3 or 5 and without every March: a series with gaps."""
+    day = F.to_date("o_orderdate")
+    kept = (F.dayofyear(day) % 3 != 0) & (F.dayofyear(day) % 5 != 0) & (F.month(day) != 3)
+    return read(spark, d, "orders").filter(kept).groupBy(day.alias("day")).agg(F.avg("o_totalprice").alias("value"))
+
+
 def mom_yoy_nearest(spark, d):
     out = None
     for kind, months in (("mom", 1), ("yoy", 12)):
-        found = sr.nearest(order_days(spark, d).withColumn("series", F.lit("orders")), ["series"], months)
+        found = sr.nearest(gappy_days(spark, d).withColumn("series", F.lit("orders")), ["series"], months)
         pct, status = sr.period_change(F.col("value"), F.col("previous"))
         found = found.select(F.lit(kind).alias("kind"), "day", F.round("value", 6).alias("value"), "matched_day", F.round(pct, 6).alias("change_pct"), status.alias("status"))
         out = found if out is None else out.unionByName(found)
@@ -42,12 +51,14 @@ def seasonal_readiness(spark, d):
 
 
 def fare_stats(spark, d):
+    """Of all quotes; the median is exact, by counts of fares."""
     q = quotes(spark, d)
     ok = F.col("fare").between(500, 80000)
-    return q.agg(
+    got = q.agg(
         F.count("*").alias("n"), F.count_if(ok).alias("n_valid"), F.round(F.avg("fare"), 6).alias("mean"), F.round(F.min("fare"), 6).alias("least"), F.round(F.max("fare"), 6).alias("most"),
-        F.round(F.percentile("fare", F.lit(0.5)), 6).alias("median"), F.countDistinct("route_id").alias("n_routes"), F.countDistinct("carrier").alias("n_carriers"),
+        F.countDistinct("route_id").alias("n_routes"), F.countDistinct("carrier").alias("n_carriers"),
     )
+    return got.join(F.broadcast(sr.medians(q, [], "fare").select(F.round("median", 6).alias("median"))), F.lit(True), "left")
 
 
 def counts_by_source(spark, d):
@@ -72,14 +83,26 @@ def route_reporting(spark, d):
 
 
 def horizon_levels(spark, d):
-    q = valid_quotes(spark, d).groupBy("horizon")
-    return q.agg(F.count("*").alias("n"), *[F.round(c, 6).alias(n) for n, c in (("mean", F.avg("fare")), ("median", F.percentile("fare", F.lit(0.5))), ("least", F.min("fare")), ("most", F.max("fare")))])
+    """Fares by horizon of the policy, with its weight."""
+    q = valid_quotes(spark, d).select("horizon", "fare")
+    levels = q.groupBy("horizon").agg(F.count("*").alias("n"), *[F.round(c, 6).alias(n) for n, c in (("mean", F.avg("fare")), ("least", F.min("fare")), ("most", F.max("fare")))])
+    middle = sr.medians(q, ["horizon"], "fare").select("horizon", F.round("median", 6).alias("median"))
+    policy = spark.createDataFrame([(h, ALPHA) for h in HORIZONS], "horizon int, weight double")
+    return F.broadcast(policy).join(levels, "horizon").join(middle, "horizon")
+
+
+def fits(spark, d, by):
+    return sr.quadratic_fit(valid_quotes(spark, d).select("carrier", "horizon", "fare"), "horizon", "fare", by, 10)
 
 
 def elasticity(spark, d, by):
-    found = sr.quadratic_fit(valid_quotes(spark, d).select("carrier", "horizon", "fare"), "horizon", "fare", by, 10)
-    eta = F.col("b1") + 2 * F.col("b2")
-    return found.select(*by, "n", *[F.round(c, 5).alias(c) for c in ("b0", "b1", "b2", "r2")], F.round(eta, 5).alias("eta_1"))
+    slopes = [F.round(sr.slope_pct(F.lit(h)), 4).alias(f"eta_{h}") for h in HORIZONS]
+    return fits(spark, d, by).select(*by, "n", *[F.round(c, 5).alias(c) for c in ("b0", "b1", "b2", "r2")], F.round("best_x", 1).alias("best_horizon"), *slopes)
+
+
+def elasticity_curve(spark, d):
+    """The overall fit's fares and slopes at eight horizons."""
+    return sr.curve(fits(spark, d, []), [1, 3, 7, 14, 21, 30, 45, 60]).select("x", F.round("predicted", 3).alias("predicted"), F.round("slope_pct", 4).alias("slope_pct"))
 
 
 def elasticity_ols(spark, d):
@@ -108,17 +131,22 @@ def backtest_metrics(spark, d):
 
 
 def monthly_comovement(spark, d):
-    p = monthly_pair(spark, d)
-    return p.select("month", F.round("official", 6).alias("official"), F.round("model", 6).alias("model"), F.col("model").isNull().alias("is_missing"), F.round(F.abs(F.col("model") - F.col("official")), 6).alias("gap"))
+    """Model and official series by month; a month without a model value stands on the official one and says so."""
+    p = monthly_pair(spark, d).withColumn("is_missing", F.col("model").isNull()).withColumn("model", F.coalesce("model", "official"))
+    return p.select("month", F.round("official", 6).alias("official"), F.round("model", 6).alias("model"), "is_missing", F.round(F.abs(F.col("model") - F.col("official")), 6).alias("gap"))
+
+
+def comovement_summary(spark, d):
+    p = monthly_pair(spark, d).filter("model is not null")
+    return p.agg(F.count("*").alias("months"), F.round(F.corr("model", "official"), 6).alias("r"), F.round(F.avg(F.abs(F.col("model") - F.col("official"))), 6).alias("tracking_error"))
 
 
 def movers(spark, d):
     """Each flight's latest fare against its route's upper median."""
-    q = valid_quotes(spark, d).select("route_id", "carrier", "product", "fare", "day", "order_id", "line_no")
-    ranked = q.withColumn("_place", F.row_number().over(Window.partitionBy("route_id").orderBy("fare", "order_id", "line_no"))).withColumn("_n", F.count("*").over(Window.partitionBy("route_id")))
-    median = ranked.filter(F.col("_place") == F.floor(F.col("_n") / 2) + 1).select("route_id", F.col("fare").alias("median"))
-    latest = q.groupBy("route_id", "carrier", "product").agg(F.max_by("fare", F.struct("day", "order_id", "line_no")).alias("current"))
-    return latest.join(median, "route_id").withColumn("pct", 100 * (F.col("current") - F.col("median")) / F.col("median"))
+    q = settle(valid_quotes(spark, d).select("route_id", "carrier", "product", "fare", "day", "order_id", "line_no"), "fares")
+    median = sr.order_statistics(q, ["route_id"], "fare", {"median": lambda n: F.floor(n / 2)}).select("route_id", "median")
+    latest = q.groupBy("route_id", "carrier", "product").agg(F.max_by("fare", F.struct("day", "order_id", "line_no", "fare")).alias("current"))
+    return latest.join(F.broadcast(median), "route_id").withColumn("pct", 100 * (F.col("current") - F.col("median")) / F.col("median"))
 
 
 def _top(df, up: bool):
@@ -180,12 +208,30 @@ def rate_limit_window(spark, d):
     return e.select("event_id", "user_id", n.alias("in_window"), (n <= 3).alias("admitted"))
 
 
+# The topics of the local answers in order of precedence, with their keywords.
+TOPICS = {
+    "jevons": ["jevons", "geometric mean", "elementary", "formula"],
+    "horizons": ["horizon", "advance", "t+0", "t+30", "booking window", "stratif"],
+    "seasonality": ["seasonal", "diwali", "festival", "holiday", "adjust"],
+    "weights": ["weight", "dgca", "passenger", "expenditure", "basket"],
+    "yoy": ["yoy", "year on year", "year-on-year", "12 month"],
+    "collection": ["scrap", "start scrap", "trigger", "fetch fresh", "ingest", "collect data", "run scraper"],
+    "provenance": ["provenance", "live", "simulated", "real data", "source"],
+    "uncertainty": ["uncertainty", "confidence", "standard error", "interval"],
+    "validation": ["validation", "iqr", "outlier", "anomaly", "quality"],
+    "base": ["base period", "rebase", "base year", "reference"],
+}
+
+
 def topic_router(spark, d):
-    topics = [("jevons", ["jevons", "geometric mean", "the"]), ("weights", ["weight", "and"]), ("coverage", ["coverage", "was"])]
-    low, topic = F.lower(F.coalesce("text", F.lit(""))), F.lit("figures")
-    for name, words in reversed(topics):
+    """The first topic with a keyword in the question, else the figures. Every 13th turn asks by a keyword of its own."""
+    words = [w for ws in TOPICS.values() for w in ws]
+    pick = F.element_at(F.array(*[F.lit(w.upper()) for w in words]), (F.col("conv_id") % len(words) + 1).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when((F.col("conv_id") + F.col("turn")) % 13 == 0, F.concat(F.lit(" "), pick)).otherwise(""))
+    low, topic = F.lower(text), F.lit("figures")
+    for name, keys in reversed(TOPICS.items()):
         hit = F.lit(False)
-        for w in words:
+        for w in keys:
             hit = hit | F.contains(low, F.lit(w))
         topic = F.when(hit, name).otherwise(topic)
     return read(spark, d, "conversations").select("conv_id", "turn", topic.alias("topic"))
@@ -234,10 +280,13 @@ FIT = """, v AS (SELECT carrier, horizon::DOUBLE AS x, ln(fare) AS y FROM valid)
 ), e AS (SELECT *, n*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2) AS d FROM f), b AS (
   SELECT *, (y0*(s2*s4-s3*s3) - s1*(y1*s4-s3*y2) + s2*(y1*s3-s2*y2))/d AS b0, (n*(y1*s4-s3*y2) - y0*(s1*s4-s3*s2) + s2*(s1*y2-y1*s2))/d AS b1,
     (n*(s2*y2-y1*s3) - s1*(s1*y2-y1*s2) + y0*(s1*s3-s2*s2))/d AS b2 FROM e)
-SELECT {by} n, round(b0, 5) AS b0, round(b1, 5) AS b1, round(b2, 5) AS b2, round(least(greatest(1 - (yy - b0*y0 - b1*y1 - b2*y2)/(yy - y0*y0/n), 0), 1), 5) AS r2, round(b1 + 2*b2, 5) AS eta_1 FROM b"""
+SELECT {by} n, round(b0, 5) AS b0, round(b1, 5) AS b1, round(b2, 5) AS b2, round(least(greatest(1 - (yy - b0*y0 - b1*y1 - b2*y2)/(yy - y0*y0/n), 0), 1), 5) AS r2, 
+  CASE WHEN b2 > 1e-8 THEN round(least(greatest(-b1 / (2 * b2), 1.0), 90.0), 1) END AS best_horizon,
+  round(100 * (b1 + 2*b2), 4) AS eta_1, round(100 * (b1 + 14*b2), 4) AS eta_7, round(100 * (b1 + 30*b2), 4) AS eta_15, round(100 * (b1 + 60*b2), 4) AS eta_30, round(100 * (b1 + 90*b2), 4) AS eta_45 FROM b"""
+TOPIC_SQL = " ".join("WHEN " + " OR ".join(f"contains(low, '{w}')" for w in ws) + f" THEN '{name}'" for name, ws in TOPICS.items())
 MOVERS = f"""WITH {QUOTES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY fare, order_id, line_no) AS place, count(*) OVER (PARTITION BY route_id) AS n FROM valid),
 med AS (SELECT route_id, fare AS median FROM r WHERE place = n // 2 + 1), latest AS (
-  SELECT route_id, carrier, product, fare AS current FROM valid QUALIFY row_number() OVER (PARTITION BY route_id, carrier, product ORDER BY day DESC, order_id DESC, line_no DESC) = 1
+  SELECT route_id, carrier, product, fare AS current FROM valid QUALIFY row_number() OVER (PARTITION BY route_id, carrier, product ORDER BY day DESC, order_id DESC, line_no DESC, fare DESC) = 1
 ), movers AS (SELECT latest.*, median, round(100 * (current - median) / median, 6) AS pct FROM latest JOIN med USING (route_id))"""
 PAIR = """WITH model AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, avg(l_extendedprice) AS model FROM lineitem GROUP BY 1),
 official AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS official FROM orders GROUP BY 1), p AS (SELECT * FROM official LEFT JOIN model USING (month))"""
@@ -248,20 +297,24 @@ QUERIES = {
     f.__name__: f
     for f in (
         mom_yoy_nearest, rebase_series, reference_windows, seasonal_readiness, fare_stats, counts_by_source, quality_cells, route_reporting, horizon_levels,
-        elasticity_ols, elasticity_by_carrier, backtest_metrics, monthly_comovement, movers_up, movers_down, brand_benchmark, usage_counters, budget_status,
+        elasticity_ols, elasticity_by_carrier, elasticity_curve, backtest_metrics, monthly_comovement, comovement_summary, movers_up, movers_down, brand_benchmark, usage_counters, budget_status,
         run_status, rate_limit_window, topic_router, latest_per_key, history_tail, topk_orders, text_search, revision_diff, series_range,
     )
 }
 
 
 def _nearest_sql(kind: str, months: int) -> str:
-    return f"""SELECT '{kind}' AS kind, m.day, round(m.value, 6) AS value, p.day AS matched_day, round(100 * (m.value / p.value - 1), 6) AS change_pct,
-  CASE WHEN p.value IS NULL THEN 'insufficient_history' ELSE 'available' END AS status
-  FROM m LEFT JOIN m p ON p.day = CAST(m.day - INTERVAL {months} MONTH AS DATE)"""
+    return f"""SELECT '{kind}' AS kind, g.day, round(any_value(g.value), 6) AS value, arg_min(p.day, {{a: abs(p.day - anchor), b: p.day - anchor}}) AS matched_day,
+  round(100 * (any_value(g.value) / arg_min(p.value, {{a: abs(p.day - anchor), b: p.day - anchor}}) - 1), 6) AS change_pct,
+  CASE WHEN count(p.day) = 0 THEN 'insufficient_history' ELSE 'available' END AS status
+  FROM (SELECT *, CAST(day - INTERVAL {months} MONTH AS DATE) AS anchor FROM g) g
+  LEFT JOIN g p ON p.day BETWEEN anchor - 7 AND anchor + 7 AND date_trunc('month', p.day) = date_trunc('month', anchor) GROUP BY g.day"""
 
 
+GAPPY = """g AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS value FROM orders
+  WHERE dayofyear(o_orderdate) % 3 <> 0 AND dayofyear(o_orderdate) % 5 <> 0 AND month(o_orderdate) <> 3 GROUP BY 1)"""
 ORACLE = {
-    "mom_yoy_nearest": f"WITH {MONTHLY_ORDERS} " + _nearest_sql("mom", 1) + " UNION ALL " + _nearest_sql("yoy", 12),
+    "mom_yoy_nearest": f"WITH {GAPPY} " + _nearest_sql("mom", 1) + " UNION ALL " + _nearest_sql("yoy", 12),
     "rebase_series": f"""WITH {MONTHLY_ORDERS}, x AS (SELECT exp(avg(ln(value))) AS divisor FROM m WHERE day BETWEEN '1996-01-01' AND '1996-12-31' AND value > 0)
   SELECT day, round(value, 6) AS value, round(divisor, 6) AS divisor, round(CASE WHEN divisor IS NULL THEN value ELSE 100 * value / divisor END, 6) AS rebased, divisor IS NOT NULL AS applied FROM m, x""",
     "reference_windows": f"WITH {MONTHLY_ORDERS} SELECT CAST(year(day) AS INTEGER) AS year, count(*) AS n_points, min(day) AS first_day, max(day) AS last_day, count(DISTINCT month(day)) = 12 AS complete FROM m GROUP BY 1",
@@ -274,13 +327,16 @@ ORACLE = {
     "route_reporting": f"""WITH {QUOTES_SQL}, seen AS (SELECT route_id, count(DISTINCT period * 1000 + horizon) AS observed FROM valid GROUP BY 1),
   s AS (SELECT n_nationkey AS route_id, (SELECT count(DISTINCT horizon) FROM valid) * (SELECT count(DISTINCT period) FROM valid) AS scheduled FROM nation)
   SELECT route_id, scheduled, coalesce(observed, 0) AS observed, round(100 * coalesce(observed, 0) / scheduled, 6) AS rate_pct, 100 * coalesce(observed, 0) / scheduled >= 50 AS reporting FROM s LEFT JOIN seen USING (route_id)""",
-    "horizon_levels": f"WITH {QUOTES_SQL} SELECT horizon, count(*) AS n, round(avg(fare), 6) AS mean, round(quantile_cont(fare, 0.5), 6) AS median, round(min(fare), 6) AS least, round(max(fare), 6) AS most FROM valid GROUP BY 1",
+    "horizon_levels": f"WITH {QUOTES_SQL} SELECT horizon, 0.2::DOUBLE AS weight, count(*) AS n, round(avg(fare), 6) AS mean, round(quantile_cont(fare, 0.5), 6) AS median, round(min(fare), 6) AS least, round(max(fare), 6) AS most FROM valid GROUP BY 1",
     "elasticity_ols": f"WITH {QUOTES_SQL}" + FIT.format(by="", group=""),
     "elasticity_by_carrier": f"WITH {QUOTES_SQL}" + FIT.format(by="carrier,", group="GROUP BY carrier"),
     "backtest_metrics": PAIR
     + """ SELECT count(*) AS n, round(corr(model, official), 6) AS r, round(100 * avg(abs((model - official) / official)), 6) AS mape, round(sqrt(avg((model - official) * (model - official))), 6) AS rmse,
   corr(model, official) >= 0.85 AND 100 * avg(abs((model - official) / official)) <= 5 AS passed FROM p WHERE model IS NOT NULL""",
-    "monthly_comovement": PAIR + " SELECT month, round(official, 6) AS official, round(model, 6) AS model, model IS NULL AS is_missing, round(abs(model - official), 6) AS gap FROM p",
+    "monthly_comovement": PAIR + " SELECT month, round(official, 6) AS official, round(coalesce(model, official), 6) AS model, model IS NULL AS is_missing, round(abs(coalesce(model, official) - official), 6) AS gap FROM p",
+    "comovement_summary": PAIR + " SELECT count(*) AS months, round(corr(model, official), 6) AS r, round(avg(abs(model - official)), 6) AS tracking_error FROM p WHERE model IS NOT NULL",
+    "elasticity_curve": f"WITH {QUOTES_SQL}" + FIT.format(by="", group="").split("SELECT  n, round(b0")[0] + """, x AS (SELECT unnest([1, 3, 7, 14, 21, 30, 45, 60])::INTEGER AS x)
+  SELECT x, round(exp(b0 + b1 * x + b2 * x * x), 3) AS predicted, round(100 * (b1 + 2 * b2 * x), 4) AS slope_pct FROM b, x""",
     "movers_up": MOVERS
     + " SELECT route_id, carrier, product, round(current, 6) AS current, round(median, 6) AS median, pct, CASE WHEN pct >= 40 THEN 'extreme' WHEN pct >= 20 THEN 'high' ELSE 'moderate' END AS tag FROM movers WHERE pct > 0 ORDER BY pct DESC, route_id, carrier, product LIMIT 10",
     "movers_down": MOVERS
@@ -300,8 +356,9 @@ ORACLE = {
   SELECT run, count(*) AS attempts, count(*) FILTER (WHERE ok) AS succeeded, CASE WHEN bool_and(ok) THEN 'SUCCESS' WHEN bool_or(ok) THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM a GROUP BY run""",
     "rate_limit_window": """WITH w AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS in_window FROM events)
   SELECT event_id, user_id, in_window, in_window <= 3 AS admitted FROM w""",
-    "topic_router": """SELECT conv_id, turn, CASE WHEN regexp_matches(lower(coalesce(text, '')), 'jevons|geometric mean|the') THEN 'jevons' WHEN regexp_matches(lower(coalesce(text, '')), 'weight|and') THEN 'weights'
-  WHEN regexp_matches(lower(coalesce(text, '')), 'coverage|was') THEN 'coverage' ELSE 'figures' END AS topic FROM conversations""",
+    "topic_router": f"""WITH t AS (SELECT *, {[w for ws in TOPICS.values() for w in ws]} AS words FROM conversations),
+  l AS (SELECT conv_id, turn, lower(coalesce(text, '') || CASE WHEN (conv_id + turn) % 13 = 0 THEN ' ' || words[conv_id % len(words) + 1] ELSE '' END) AS low FROM t)
+  SELECT conv_id, turn, CASE {TOPIC_SQL} ELSE 'figures' END AS topic FROM l""",
     "latest_per_key": "SELECT user_id, event_id, event_type, ts FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS m FROM events) WHERE ts = m",
     "history_tail": f"WITH {DAILY} SELECT event_type, day, round(value, 6) AS value FROM s QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY day DESC) <= 7",
     "topk_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10",

@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as agg
 from tidemark.operators import elementary as el
-from tidemark.sources.tables import QUOTES_SQL, basket, valid_quotes
+from tidemark.sources.store import settle
+from tidemark.sources.tables import QUOTES_SQL, basket, index_quotes
 
 BASE = 1995
 
 
-def prices(spark, d):
-    return el.product_prices(valid_quotes(spark, d))
+def prices(spark, d, **scope):
+    return el.product_prices(index_quotes(spark, d, **scope))
 
 
-def cells(spark, d):
-    return el.exact_or_spec(prices(spark, d), BASE)
+def cells(spark, d, **scope):
+    """Elementary cells of direct flights. Prices serve both matchings, and are written once."""
+    return el.exact_or_spec(settle(prices(spark, d, **scope), "prices"), BASE)
 
 
 def rounded(df, *columns):
@@ -101,12 +103,18 @@ def national_contributions(spark, d):
 
 
 def missing_routes(spark, d):
-    c = cells(spark, d)
+    c = settle(cells(spark, d), "cells")
     return rounded(agg.missing_routes(agg.route_indices(c), c, agg.weights(basket(spark, d))), "weight")
 
 
 def change_decomposition(spark, d):
-    return rounded(agg.decompose_change(parts(spark, d)), "change_points", "share_pct")
+    return rounded(agg.decompose_change(settle(parts(spark, d), "parts")), "change_points", "share_pct")
+
+
+def national_index_with_connections(spark, d):
+    """All flights of one source type."""
+    routes = agg.route_indices(cells(spark, d, direct_only=False, source_type="N")).filter("publishable")
+    return rounded(agg.national(routes, agg.weights(basket(spark, d)), ["period"]), "coverage", "index")
 
 
 def national_uncertainty(spark, d):
@@ -114,7 +122,7 @@ def national_uncertainty(spark, d):
 
 
 PRICES = f"""WITH {QUOTES_SQL}, prices AS (
-  SELECT route_id, horizon, period, product, spec, exp(avg(ln(fare))) AS price, count(*) AS n_quotes FROM valid GROUP BY ALL
+  SELECT route_id, horizon, period, product, spec, exp(avg(ln(fare))) AS price, count(*) AS n_quotes FROM direct GROUP BY ALL
 ), exact_pairs AS (
   SELECT c.route_id, c.horizon, c.period, c.price, b.price AS base_price
   FROM prices c JOIN prices b ON c.route_id = b.route_id AND c.horizon = b.horizon AND c.product = b.product
@@ -185,7 +193,7 @@ QUERIES = {
     for f in (
         national_index, product_geomean_prices, base_price_set, jevons_elementary, carli_elementary, dutot_elementary, gm_ratio_elementary,
         jevons_time_reversal, product_churn, reappeared_products, spec_fallback_index, elementary_uncertainty, route_weights, route_index,
-        national_by_horizon, national_contributions, missing_routes, change_decomposition, national_uncertainty,
+        national_by_horizon, national_contributions, missing_routes, change_decomposition, national_uncertainty, national_index_with_connections,
     )
 }
 
@@ -253,3 +261,4 @@ FROM (SELECT route_id, horizon, period, product, bool_or(n) AS n, bool_or(w) AS
   round(CASE WHEN count(se) = count(*) THEN 100 * sqrt(sum(weight * weight * se * se)) / sum(weight) END, 6) AS se_corrected
   FROM route_se JOIN weights USING (route_id) GROUP BY period""",
 }
+ORACLE["national_index_with_connections"] = ORACLE["national_index"].replace("FROM direct GROUP BY ALL", "FROM valid WHERE source_type = 'N' GROUP BY ALL")

@@ -13,15 +13,16 @@ def local_start(df):
 
 
 def stream_tumbling(spark, d):
-    return local_start(ev.drain(ev.tumbling(ev.source(spark, d)), "tumbling", "complete"))
+    return local_start(ev.drain(ev.tumbling(ev.source(spark, d)), "tumbling", ["start", "event_type"]))
 
 
 def stream_sliding(spark, d):
-    return local_start(ev.drain(ev.sliding(ev.source(spark, d)), "sliding", "complete"))
+    return local_start(ev.drain(ev.sliding(ev.source(spark, d)), "sliding", ["start", "event_type"]))
 
 
 def stream_sessions(spark, d):
-    return local_start(ev.drain(ev.sessions(ev.source(spark, d)), "sessions", "complete"))
+    """Sessions that are over: none can grow that ended two days before the latest event."""
+    return local_start(ev.drain(ev.sessions(ev.source(spark, d)), "sessions"))
 
 
 def stream_fence(spark, d):
@@ -39,5 +40,13 @@ ORACLE = {
   SELECT event_type, unnest([date_trunc('day', ts)::TIMESTAMP, date_trunc('day', ts)::TIMESTAMP - INTERVAL 1 DAY]) AS start, ts FROM events)
   WHERE ts >= start AND ts < start + INTERVAL 2 DAY GROUP BY ALL""",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""",
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k
+  HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY FROM events)""",
+    "rate_limit_recursive": """WITH RECURSIVE line AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  walk AS (
+    SELECT 0::BIGINT AS k, user_id, NULL::BIGINT AS event_id, false AS admitted, []::BIGINT[] AS held FROM line WHERE k = 1
+    UNION ALL
+    SELECT k, user_id, event_id, len(near) < 3, CASE WHEN len(near) < 3 THEN list_append(near, t) ELSE near END FROM (
+      SELECT line.k, line.user_id, line.event_id, line.t, list_filter(walk.held, lambda x: x > line.t - 86400000000) AS near FROM walk JOIN line ON line.user_id = walk.user_id AND line.k = walk.k + 1)
+  ) SELECT event_id, user_id, admitted FROM walk WHERE k > 0""",
 }

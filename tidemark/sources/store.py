@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.fares import redact_url
+
 
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     """Writes df so that each partition that it has rows for is replaced whole, and others stay: idempotent."""
@@ -18,22 +22,48 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df written in the folder that the cluster shares (spark.checkpoint.dir) and read again: what several steps need is computed once."""
+    path = f"{shared(df.sparkSession)}/settled/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared(spark: SparkSession) -> str:
+    """The shared folder; a local one if none is set, which is an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (base or "file://" + os.path.join(tempfile.gettempdir(), "tidemark")).rstrip("/")
+
+
 def revisions(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows of new that differ from old, null-safe on keys: keys, previous value, new value, kind."""
+    """What differs between old and new, null-safe on keys: keys, previous value, new value, kind (withdrawal: new lacks the row)."""
     was = old.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias("_was"), F.lit(True).alias("_known"))
-    same = [new[k].eqNullSafe(was[f"_{k}"]) for k in keys]
-    both = new.select(*keys, value).join(was, same, "left")
-    kind = F.when(F.col("_known").isNull(), "initial_publication").otherwise("recomputation")
-    changed = both.filter(F.col("_known").isNull() | ~F.col("_was").eqNullSafe(F.col(value)))
-    return changed.select(*keys, F.col("_was").alias("previous"), F.col(value).alias("new"), kind.alias("kind"))
+    now = new.select(*keys, F.col(value).alias("_now"), F.lit(True).alias("_told"))
+    both = now.join(was, [now[k].eqNullSafe(was[f"_{k}"]) for k in keys], "full")
+    kind = F.when(F.col("_known").isNull(), "initial_publication").when(F.col("_told").isNull(), "withdrawal").otherwise("recomputation")
+    changed = both.filter(F.col("_known").isNull() | F.col("_told").isNull() | ~F.col("_was").eqNullSafe(F.col("_now")))
+    own = [F.when(F.col("_told").isNull(), F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    return changed.select(*own, F.col("_was").alias("previous"), F.col("_now").alias("new"), kind.alias("kind"))
 
 
 def publish(new: DataFrame, path: str, log: str, keys: list[str], value: str, partition: str) -> None:
-    """Stores new rows by partition and appends what changed to the log; the same rows again append nothing."""
+    """Stores new rows by partition and logs what changed, appeared or vanished in the partitions that new has.
+
+    The log's batch is a hash of the changes and a partition of it: the same publication again,
+    or one that runs again after it failed between the two writes, replaces its own batch. The
+    same rows over a finished publication log nothing.
+    """
     spark = new.sparkSession
     old = spark.read.parquet(path) if exists(spark, path) else new.limit(0)
-    changed = revisions(old, new, keys, value).withColumn("batch", F.lit(uuid.uuid4().hex)).withColumn("at", F.current_timestamp())
-    changed.write.mode("append").parquet(log)  # before the rows it compares with are replaced
+    old = old.join(new.select(partition).distinct(), partition, "left_semi")
+    changed = revisions(old, new, keys, value)
+    mark = changed.agg(F.sum(F.xxhash64(*changed.columns).cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first()
+    if mark.n:
+        batch = f"{int(mark.h) & (1 << 64) - 1:016x}"
+        logged = changed.withColumn("at", F.current_timestamp()).withColumn("batch", F.lit(batch))
+        logged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(log)
     replace_partitions(new, path, [partition])
 
 
@@ -48,3 +78,41 @@ def with_reviews(observations: DataFrame, reviews: DataFrame, key: str) -> DataF
     """Observations with the latest review of each: one found wrong is not valid."""
     last = reviews.groupBy(key).agg(F.max_by("verdict", "reviewed_at").alias("verdict"))
     return observations.join(last, key, "left").withColumn("is_valid", F.col("is_valid") & ~F.coalesce(F.col("verdict") == "error", F.lit(False)))
+
+
+def upsert(df: DataFrame, path: str, key: str, at: str) -> DataFrame:
+    """The latest row of each key over the store and df; the store is to be replaced by it."""
+    spark = df.sparkSession
+    every = spark.read.parquet(path).unionByName(df) if exists(spark, path) else df
+    return every.groupBy(key).agg(F.max_by(F.struct(*df.columns), at).alias("_row")).select("_row.*")
+
+
+def persist_run(judged: DataFrame, path: str, run_id: str) -> None:
+    """A run's tables: all observations, their verdicts, those that an index may use, and the flagged ones as anomalies.
+
+    judged: observations with `excluded` (a reason, or null) and `flags`. It is written once and
+    read for the other tables; each table's rows of this run are replaced, so that a run may be
+    written again.
+    """
+    spark = judged.sparkSession
+    replace_partitions(judged.withColumn("run_id", F.lit(run_id)), f"{path}/observations", ["run_id"])
+    of_run = spark.read.parquet(f"{path}/observations").filter(F.col("run_id") == run_id)
+    action = F.when(F.col("excluded").isNotNull(), "excluded").when(F.size("flags") > 0, "flagged").otherwise("accepted")
+    key = [c for c in judged.columns if c not in ("excluded", "flags")]
+    replace_partitions(of_run.withColumn("action", action).drop(*[c for c in key if c not in ("order_id", "line_no")]), f"{path}/validation", ["run_id"])
+    replace_partitions(of_run.filter("excluded is null").drop("excluded", "flags"), f"{path}/normalized", ["run_id"])
+    flagged = of_run.filter("excluded is null and size(flags) > 0").withColumn("kind", F.explode("flags"))
+    replace_partitions(flagged.withColumn("status", F.lit("open")).drop("excluded", "flags"), f"{path}/anomalies", ["run_id"])
+
+
+def captures(pages: DataFrame, url: Column, html_col: str) -> DataFrame:
+    """Pages with redacted `url` and the hash of their content: the name under which a capture is stored once."""
+    return pages.withColumn("url", redact_url(url)).withColumn("sha256", F.sha2(F.col(html_col).cast("binary"), 256)).withColumn("bucket", F.substring("sha256", 1, 2))
+
+
+def store_captures(pages: DataFrame, path: str, url: Column, html_col: str) -> None:
+    """Appends captures that the store does not have, compressed, by the first digits of their hash."""
+    spark, found = pages.sparkSession, captures(pages, url, html_col).dropDuplicates(["sha256"])
+    if exists(spark, path):
+        found = found.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    found.write.mode("append").option("compression", "gzip").partitionBy("bucket").parquet(path)

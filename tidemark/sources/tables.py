@@ -40,6 +40,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_returnflag").alias("source_type"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("line_no"),
+            F.col("l_discount").alias("discount"),
         )
     )
 
@@ -48,6 +49,13 @@ def valid_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes(spark, sf_dir).filter(F.col("fare").between(FARE_MIN, FARE_MAX))
 
 
+def index_quotes(spark: SparkSession, sf_dir: str, direct_only: bool = True, source_type: str | None = None) -> DataFrame:
+    """The quotes that enter an index: valid ones, of direct flights unless told otherwise, of one source type if one is named."""
+    q = valid_quotes(spark, sf_dir)
+    q = q.filter("stops = 0") if direct_only else q
+    return q if source_type is None else q.filter(F.col("source_type") == source_type)
+
+
 def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes with their passengers: customers by nation."""
     return read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("route_id")).agg(F.count("*").alias("passengers"))
@@ -61,8 +69,8 @@ quotes AS (
          l_partkey AS product, p_brand || '|' || p_type AS spec, p_brand AS carrier, p_type AS family,
          l_extendedprice / l_quantity AS fare, CAST(l_shipdate AS DATE) AS day, CAST(year(l_shipdate) AS INTEGER) AS period,
          CASE WHEN l_linenumber <= 5 THEN 0 ELSE 1 END AS stops, l_returnflag AS source_type,
-         l_orderkey AS order_id, l_linenumber AS line_no
+         l_orderkey AS order_id, l_linenumber AS line_no, l_discount AS discount
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-), valid AS (SELECT * FROM quotes WHERE fare BETWEEN 500 AND 80000),
+), valid AS (SELECT * FROM quotes WHERE fare BETWEEN 500 AND 80000), direct AS (SELECT * FROM valid WHERE stops = 0),
 basket AS (SELECT c_nationkey AS route_id, count(*) AS passengers FROM customer GROUP BY 1)
 """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.cleaning import Fence
+from tidemark.sources.store import exists, shared
 
 #: Rows of a key after which the fence is written again, so that late rows do not send it back to the key's start.
 FENCE_EVERY = 100_000
@@ -25,20 +24,31 @@ def source(spark: SparkSession, sf_dir: str, files: int = 100) -> DataFrame:
 
 
 def place(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tidemark-streams")
-    return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared(spark)}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is there now into Parquet, and reads that."""
+def drain(stream: DataFrame, name: str, key: list[str] | None = None) -> DataFrame:
+    """Runs the stream over what is there now into Parquet, and reads that.
+
+    Without a key, rows are written once they are final. With one, each batch writes the rows
+    that it changed, and the last one of each key counts: results are there before the
+    watermark has passed them. Either way the watermark ends late rows and state; a batch that
+    runs again replaces its own files.
+    """
     spark, at = stream.sparkSession, place(stream.sparkSession, name)
-    if mode == "append":
-        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").trigger(availableNow=True).start()
-    else:  # each batch's whole result replaces the one before
-        write = lambda df, _: df.write.mode("overwrite").parquet(f"{at}/rows")
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start()
+    writer = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if key is None:
+        query = writer.format("parquet").outputMode("append").option("path", f"{at}/rows").start()
+    else:
+        write = lambda df, no: df.write.mode("overwrite").parquet(f"{at}/rows/batch={no}")
+        query = writer.outputMode("update").foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    if not exists(spark, f"{at}/rows"):
+        return spark.createDataFrame([], stream.schema)
+    if key is None:
+        return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    rows = spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in stream.dtypes)}, batch long").parquet(f"{at}/rows")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_row")).select("_row.*")
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -99,7 +109,7 @@ def _judge(every: int):
 
 
 def fenced(events: DataFrame, key: str = "event_type", value: str = "value", every: int = FENCE_EVERY) -> DataFrame:
-    """Runs the stream over what is there now: verdicts on each value against the clean ones before it, as recursive_fence has them.
+    """Runs the stream over what is there now: verdicts on each value against the clean ones before it, as recursive_fence has them. Rows without a value are no outliers.
 
     Rows of a key are judged by time and id over all batches. A batch is written to a log; each
     of its keys starts at the last written fence before its earliest new row, and the logged
@@ -140,20 +150,14 @@ def fenced(events: DataFrame, key: str = "event_type", value: str = "value", eve
         dealt = begin.unionByName(again).repartition("_key").sortWithinPartitions("_key", F.desc("_first"), "ts", "event_id", "_value")
         dealt.mapInArrow(_judge(every), schemas["judged"]).write.mode("overwrite").parquet(f"{at}/judged/batch={no}")
 
-    rows = events.filter(F.col(value).isNotNull()).select("event_id", F.col(key).alias("_key"), "ts", F.col(value).cast("double").alias("_value"))
+    rows = events.select("event_id", F.col(key).alias("_key"), "ts", F.col(value).cast("double").alias("_value"))
     rows.writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
     names = [F.col("event_id"), F.col("_key").alias(key), F.col("_value").alias(value), F.col("outlier")]
-    if not _exists(spark, f"{at}/judged"):  # no file, no batch
+    if not exists(spark, f"{at}/judged"):  # no file, no batch
         return spark.createDataFrame([], schemas["judged"]).select(*names)
     return _current(table("judged").filter("line is null"), table("cuts")).select(*names)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Batch admission by a trailing window where rejected events take no slot: each verdict depends on those before it.
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,28 +26,32 @@ def index_of(df):
     return found[0]["index"] if found else None
 
 
-B = [5000, 6000, 4500, 5500, 7000]
+def drawn(seed, n, low=700, high=9000):
+    r = random.Random(seed)
+    return [round(r.uniform(low, high), 2) for _ in range(n)]
 
 
-@pytest.mark.parametrize("now, expected", [(B, 1.0), ([x * 1.1 for x in B], 1.1), ([x * 0.85 for x in B], 0.85)])
-def test_jevons_proportional(spark, now, expected):
-    assert index_of(el.jevons(pairs(spark, B, now))) == pytest.approx(expected, abs=1e-9)
+@pytest.mark.parametrize("factor", [1.0, 1.27, 0.64])
+def test_jevons_proportional(spark, factor):
+    base = drawn(1, 6)
+    assert index_of(el.jevons(pairs(spark, base, [x * factor for x in base]))) == pytest.approx(factor, abs=1e-9)
 
 
 def test_jevons_geomean_and_reversal(spark):
-    p = pairs(spark, [1000, 2000, 4000], [1200, 1800, 4400])
+    base, now = drawn(2, 7), drawn(3, 7)
+    p = pairs(spark, base, now)
+    relatives = [min(max(y / x, 0.1), 10) for x, y in zip(base, now)]
     there = index_of(el.jevons(p))
-    assert there == pytest.approx((1.2 * 0.9 * 1.1) ** (1 / 3))
-    back = index_of(el.jevons(pairs(spark, [1200, 1800, 4400], [1000, 2000, 4000])))
-    assert there * back == pytest.approx(1)
-    assert index_of(el.carli(p)) >= there
+    assert there == pytest.approx(math.prod(relatives) ** (1 / 7))
+    assert there * index_of(el.jevons(pairs(spark, now, base))) == pytest.approx(1)
+    assert index_of(el.carli(p)) == pytest.approx(sum(y / x for x, y in zip(base, now)) / 7) and index_of(el.carli(p)) >= there
+    assert index_of(el.dutot(p)) == pytest.approx(sum(now) / sum(base))
 
 
 def test_least_matched_and_clip(spark):
-    assert index_of(el.jevons(pairs(spark, B[:2], B[:2]))) is None
-    got = el.jevons(pairs(spark, [5000, 6000, 4500, 100], [5500, 6500, 5000, 5000])).collect()[0]
-    assert got["index"] < 5 and got["n_clipped"] == 1
-    assert index_of(el.dutot(pairs(spark, [5000, 6000, 4500], [5500, 6600, 4950]))) == pytest.approx(1.1)
+    assert index_of(el.jevons(pairs(spark, drawn(4, 2), drawn(5, 2)))) is None
+    got = el.jevons(pairs(spark, [*drawn(4, 3), 11.0], [*drawn(4, 3), 1111.0])).collect()[0]
+    assert got["index"] == pytest.approx(10 ** (1 / 4)) and got["n_clipped"] == 1
 
 
 def test_winsor_needs_ten(spark):
@@ -128,12 +134,31 @@ def test_rebase(spark):
 
 
 def test_elasticity(spark):
-    days, fares_ = [1, 1, 7, 7, 15, 15, 30, 30, 45, 45], [9800, 9400, 7100, 6800, 5300, 5100, 4300, 4200, 4100, 4000]
-    fit = sr.quadratic_fit(spark.createDataFrame(list(zip(days, map(float, fares_))), "d int, f double"), "d", "f", [], 3).first()
-    assert fit.r2 > 0.9 and fit.b1 < 0 < fit.b2 and fit.n == 10
+    r = random.Random(9)
+    bowl = lambda x: math.exp(9.2 - 0.05 * x + 0.0006 * x * x)
+    rows = [(x, bowl(x) * math.exp(r.gauss(0, 0.01))) for x in (2, 5, 9, 14, 20, 33, 41, 52) for _ in range(3)]
+    df = spark.createDataFrame(rows, "d int, f double")
+    fit = sr.quadratic_fit(df, "d", "f", [], 3).first()
+    assert fit.r2 > 0.99 and fit.b1 == pytest.approx(-0.05, abs=0.004) and fit.b2 == pytest.approx(0.0006, abs=1e-4) and fit.n == 24
+    assert fit.best_x == pytest.approx(-fit.b1 / (2 * fit.b2))
+    got = sr.curve(sr.quadratic_fit(df, "d", "f", [], 3), [3, 40]).orderBy("x").collect()
+    assert [x.predicted for x in got] == pytest.approx([bowl(3), bowl(40)], rel=0.03) and got[0].slope_pct < 0 < got[1].slope_pct + 1
     assert sr.quadratic_fit(spark.createDataFrame([(1, 5.0)] * 4, "d int, f double"), "d", "f", [], 3).count() == 0
 
 
+def test_order_statistics(spark):
+    r = random.Random(10)
+    rows = [(k, r.choice([round(r.uniform(-5, 9), 1), 3.25])) for k in [*"aaab" * 60, "c", "d", "d"]] + [("a", None), (None, 1.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    by = {k: sorted(v for x, v in rows if x == k and v is not None) for k in {x for x, _ in rows}}
+    found = {x.k: x for x in sr.medians(df.filter("k is not null"), ["k"], "v").collect()}
+    assert {k: (x.n, x.median) for k, x in found.items()} == {k: (len(v), pytest.approx((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2)) for k, v in by.items() if k}
+    whole = sorted(v for _, v in rows if v is not None)
+    got = sr.order_statistics(df, [], "v", {"upper": lambda n: F.floor(n / 2), "least": lambda n: F.lit(0)}).first()
+    assert (got.n, got.upper, got.least) == (len(whole), whole[len(whole) // 2], whole[0])
+    assert sr.medians(df.limit(0), [], "v").first().n is None and sr.medians(df.limit(0), ["k"], "v").count() == 0
+
+
 def test_rules_and_bands(spark):
     rows = [(5000.0, 2000.0, 3000.0, 7), (1200.0, 1000.0, 200.0, 0), (5500.0, 4400.0, 1100.0, 7), (26000.0, 22000.0, 4000.0, 30)]
     df = spark.createDataFrame(rows, "fare double, base double, taxes double, h int")
@@ -146,9 +171,8 @@ def test_rules_and_bands(spark):
     assert all(r.base_fare + r.taxes + r.airport_fee + r.convenience == pytest.approx(r.t, abs=1e-4) for r in parts)
 
 
-def test_fence_agrees_with_sorting(spark):
-    import random
-
+@pytest.mark.parametrize("keep", [False, True])
+def test_fence_agrees_with_sorting(spark, keep):
     import numpy as np
 
     r = random.Random(1)
@@ -159,24 +183,56 @@ def test_fence_agrees_with_sorting(spark):
         q1, q3 = np.percentile(past, [25, 75]) if len(past) >= 10 else (0, 0)
         out = len(past) >= 10 and (x < q1 - 3 * (q3 - q1) or x > q3 + 3 * (q3 - q1))
         expected.append(bool(out))
-        if not out:
+        if keep or not out:
             clean.append(x)
-    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, i int, v double")
-    got = {x.i: x.outlier for x in cl.recursive_fence(df, ["k"], ["i"], "v").collect()}
-    assert [got[i] for i in range(700)] == expected
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)] + [("k", 3, None)], "k string, i int, v double")
+    got = {x.i: x.outlier for x in cl.recursive_fence(df, ["k"], ["i"], "v", keep).collect() if x.v is not None}
+    assert [got[i] for i in range(700)] == expected and cl.recursive_fence(df, ["k"], ["i"], "v").filter("v is null and not outlier").count() == 1
 
 
 def test_cards_and_pages(spark):
-    texts = ["6:00 AM – 8:15 AM\nIndiGo\n2 hr\nNonstop\n₹4,620", "IndiGo 6:00 AM ₹4,900 nonstop", "Air India Express\n1 stop\n₹6,000", "Nobody ₹5,000", "IndiGo no price", "SpiceJet ₹90"]
-    df = spark.createDataFrame([(t, "DEL", "BOM") for t in texts], "t string, o string, d string")
-    got = sorted((r.carrier, r.fare, r.stops, r.dep_time, r.band) for r in pages.cards(df, "t", "o", "d").collect())
-    assert got == [("6E", 4620.0, 0, "6:00 AM", "06:00-11:59"), ("IX", 6000.0, 1, None, "UNSPECIFIED")]
-    card = lambda total, base, tax: f'<div class="flight-card x"><span class="airline-name">Air India</span><b class="airline-code">AI</b><i class="flight-number">AI-805</i><span class="fare-total" data-amount="{total}">₹</span><span class="fare-base">₹{base}</span><span class="fare-taxes">{tax}</span></div>'
-    row = '<tr class="flight-row" data-airline-code="6E" data-airline="IndiGo" data-flight-number="6E-501"><td class="fare-total">₹5,450</td></tr>'
-    html = [card(4950, "3,800", 1150) + card(9999, 1, 1), f"<table>{row}</table>", '<div class="empty-state">', '<div class="error-container">' + row, '<p id="cf-challenge">', card(10, 1, 1), "", None]
+    texts = ["7:05\u202fAM – 9:50\u202fAM\nIndiGo\n2 hr\nNonstop\n₹\u00a05,130", "IndiGo 7:05 AM ₹4,700 nonstop", "Air India Express\n1 stop\n₹6,240", "Nobody ₹5,000", "IndiGo no price", "SpiceJet ₹90", "Vistara\u00a01:15\u00a0PM ₹8,080", None]
+    df = spark.createDataFrame([(i, t, "DEL", "BOM") for i, t in enumerate(texts)], "i int, t string, o string, d string")
+    got = sorted((r.carrier, r.fare, r.stops, r.dep_time, r.band) for r in pages.cards(df, "t", "o", "d", "i").collect())
+    assert got == [("6E", 5130.0, 0, "7:05 AM", "06:00-11:59"), ("AI", 8080.0, 1, "1:15 PM", "12:00-17:59"), ("IX", 6240.0, 1, None, "UNSPECIFIED")]  # the first of equal flights stays
+    card = lambda total, base, tax: f'<div class="flight-card x"><span class="airline-name">Any Air</span><b class="airline-code">QP</b><i class="flight-number">QP-77</i><span class="fare-total" data-amount="{total}">₹</span><span class="fare-base">₹{base}</span><span class="fare-taxes">{tax}</span></div>'
+    row = '<tr class="flight-row" data-airline-code="SG" data-airline="SpiceJet" data-flight-number="SG-12"><td class="fare-total">₹7,310</td></tr>'
+    html = [card(6120, "5,000", 1120) + card(9999, 1, 1), f"<table>{row}</table>", '<div class="empty-state">', '<div class="error-container">' + row, '<p id="cf-challenge">', card(10, 1, 1), "", None]
     got = pages.result_pages(spark.createDataFrame(list(enumerate(html)), "i int, h string"), "h").orderBy("i").collect()
     assert [r.state for r in got] == ["SUCCESS", "SUCCESS", "NO_RESULTS", "ERROR", "CAPTCHA_CHALLENGE", "SELECTOR_DRIFT", "NO_RESULTS", "NO_RESULTS"]
-    assert (got[0].quotes[0].fare, got[0].quotes[0].base, got[0].quotes[0].taxes, len(got[0].quotes)) == (4950.0, 3800.0, 1150.0, 1) and got[1].quotes[0].fare == 5450.0
+    assert (got[0].quotes[0].fare, got[0].quotes[0].base, got[0].quotes[0].taxes, len(got[0].quotes)) == (6120.0, 5000.0, 1120.0, 1) and got[1].quotes[0].fare == 7310.0
+
+
+def test_publication_logs_what_vanishes_and_reviews_are_applied(spark, tmp_path):
+    at, log = f"file://{tmp_path}/i", f"file://{tmp_path}/l"
+    df = lambda rows: spark.createDataFrame(rows, "year int, horizon int, value double")
+    store.publish(df([(2020, 1, 5.0), (2020, 7, 6.0), (2021, 1, 7.0)]), at, log, ["year", "horizon"], "value", "year")
+    for _ in range(2):
+        store.publish(df([(2020, 1, 5.5)]), at, log, ["year", "horizon"], "value", "year")
+    got = sorted((r.year, r.horizon, r.previous, r.new, r.kind) for r in spark.read.parquet(log).collect() if r.kind != "initial_publication")
+    assert got == [(2020, 1, 5.0, 5.5, "recomputation"), (2020, 7, 6.0, None, "withdrawal")]
+    assert sorted((r.year, r.value) for r in spark.read.parquet(at).collect()) == [(2020, 5.5), (2021, 7.0)]
+    seen = spark.createDataFrame([(i, True) for i in range(4)], "id int, is_valid boolean")
+    reviews = spark.createDataFrame([(1, "error", 1), (1, "fine", 2), (2, "fine", 1), (2, "error", 3)], "id int, verdict string, reviewed_at int")
+    assert [r.is_valid for r in store.with_reviews(seen, reviews, "id").orderBy("id").collect()] == [True, True, False, True]
+
+
+def test_runs_captures_and_upserts(spark, tmp_path):
+    judged = spark.createDataFrame([(1, 1, 900.0, None, []), (2, 1, 950.0, None, ["odd", "high"]), (3, 1, 1.0, "below_minimum_fare", [])], "order_id long, line_no int, fare double, excluded string, flags array<string>")
+    for run in ("a", "b", "a"):
+        store.persist_run(judged, f"file://{tmp_path}/run", run)
+    count = lambda name: spark.read.parquet(f"file://{tmp_path}/run/{name}").filter("run_id = 'a'").count()
+    assert [count(x) for x in ("observations", "validation", "normalized", "anomalies")] == [3, 3, 2, 2]
+    web = spark.createDataFrame([("http://a.in/?token=x", "one"), ("http://a.in/?token=y", "one"), ("http://b.in/", "two")], "u string, h string")
+    for _ in range(2):
+        store.store_captures(web, f"file://{tmp_path}/c", F.col("u"), "h")
+    got = spark.read.parquet(f"file://{tmp_path}/c").collect()
+    assert len(got) == 2 and not any("token=x" in r.url or "token=y" in r.url for r in got)
+    source = lambda rows: spark.createDataFrame(rows, "name string, status string, at int")
+    source([("s1", "old", 1), ("s2", "old", 1)]).write.parquet(f"file://{tmp_path}/s")
+    assert sorted(map(tuple, store.upsert(source([("s2", "new", 2), ("s3", "new", 2)]), f"file://{tmp_path}/s", "name", "at").collect())) == [("s1", "old", 1), ("s2", "new", 2), ("s3", "new", 2)]
+    ids = spark.range(1).select(fn.dynamic_route_id(F.lit("DEL"), F.lit("BOM")).alias("a")).first()
+    assert ids.a == 1000 + zlib.crc32(b"DEL-BOM") % 900_000
 
 
 def test_store_is_idempotent(spark, tmp_path):

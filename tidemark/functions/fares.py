@@ -128,3 +128,68 @@ def blocked(title: Column, html: Column, status: Column) -> Column:
     """Whether a page is a challenge in place of results."""
     head = F.lower(F.concat_ws(" ", title, F.substring(html, 1, 4000)))
     return F.coalesce(status.isin(403, 429), F.lit(False)) | head.rlike("|".join(HINTS))
+
+
+def airline_code(raw: Column) -> Column:
+    """Upper case without blanks around; null where there is none."""
+    return F.nullif(F.upper(F.trim(raw)), F.lit(""))
+
+
+def fx_rates(text: str) -> Column:
+    """A map of rates from a text such as 'USD=83.2, EUR=90.1'; entries that are no numbers are left out."""
+    pairs = F.transform(F.split(F.lit(text), ","), lambda x: F.struct(F.upper(F.trim(F.split_part(x, F.lit("="), F.lit(1)))).alias("k"), F.trim(F.split_part(x, F.lit("="), F.lit(2))).try_cast("double").alias("v")))
+    return F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull() & (x["k"] != "")))
+
+
+def to_inr(amount: Column, currency: Column, rates: Column) -> Column:
+    """The amount in rupees; null where no positive rate is told."""
+    code = F.upper(F.trim(F.coalesce(F.nullif(currency, F.lit("")), F.lit("INR"))))
+    rate = F.try_element_at(rates, code)
+    return F.when(code == "INR", amount).when(rate > 0, amount * rate)
+
+
+def iso_date(text: Column) -> Column:
+    return F.substring(F.trim(text), 1, 10).try_cast("date")
+
+
+def payload_hash(text: Column) -> Column:
+    return F.sha2(F.nullif(text, F.lit("")).cast("binary"), 256)
+
+
+def dedupe_fingerprint(origin, dest, departs, carrier, number, cabin_, family, stops_, horizon, collected) -> Column:
+    """One for the same seat from whatever source, at whatever price."""
+    parts = F.concat_ws(
+        "|", origin, dest, departs.cast("string"), carrier, F.coalesce(number, F.lit("NOFLIGHT")), cabin_, F.coalesce(family, F.lit("UNSPECIFIED")), stops_.cast("string"),
+        F.concat(F.lit("H"), horizon.cast("string")), collected.cast("string"),
+    )
+    return key_hash(parts)
+
+
+def dynamic_route_id(origin: Column, dest: Column) -> Column:
+    return F.lit(1000) + F.crc32(F.concat(origin, F.lit("-"), dest).cast("binary")) % 900_000
+
+
+def change_text(pct: Column, status: Column, label: str) -> Column:
+    """A change with its sign, or plainly why there is none: never zero in its place."""
+    short = f"Not available — the collected series is too short for a {label} comparison"
+    why = F.when(status == "insufficient_history", short).when(status == "invalid_comparison_base", "Not available — the comparison period's index is not usable")
+    return F.when(pct.isNotNull(), F.format_string("%+.2f%%", pct)).otherwise(why)
+
+
+def retry_delay(attempt: Column, base: float = 1.0, most: float = 30.0) -> Column:
+    """Seconds before an attempt, the second waiting base."""
+    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 2), F.lit(most))
+
+
+def titleized(name: Column) -> Column:
+    return F.array_join(F.transform(F.filter(F.split(name, r"\s+"), lambda x: x != ""), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), " ")
+
+
+def without_query(url: Column) -> Column:
+    return F.split_part(url, F.lit("?"), F.lit(1))
+
+
+def valid_horizons(asked: Column, policy: list[int]) -> tuple[Column, Column]:
+    """The asked horizons in order, each once, and those that the policy does not have."""
+    once = F.array_distinct(asked)
+    return once, F.array_except(once, F.array(*[F.lit(x) for x in policy]))

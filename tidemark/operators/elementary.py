@@ -121,6 +121,14 @@ def reappeared(prices: DataFrame, base: int) -> DataFrame:
     return back.groupBy(*CELL).agg(F.count("*").alias("n_new"), F.count(F.when(F.col("_first") < F.col("period"), 1)).alias("n_reappeared"))
 
 
+def match_quality(prices: DataFrame, base: int) -> DataFrame:
+    """Per later cell: products matched, their share of the base's, and both sides' geometric mean prices over them."""
+    pairs = matched(prices, "product", base)
+    held = prices.filter(F.col("period") == base).groupBy("route_id", "horizon").agg(F.count("*").alias("n_base"))
+    found = pairs.groupBy(*CELL).agg(F.count("*").alias("n_matched"), geomean(F.col("price")).alias("level"), geomean(F.col("base_price")).alias("base_level"))
+    return found.join(held, ["route_id", "horizon"]).withColumn("match_rate", F.col("n_matched") / F.col("n_base"))
+
+
 def t_critical(df: Column) -> Column:
     found = F.lit(float("nan"))
     for least, value in T_95.items():

@@ -41,3 +41,20 @@ def gates(status: Column, paths: Column, path: Column, per_day: Column, contact:
         .when((per_day <= 0) | ~told, 4)
         .when(expires < now, 8)
     )
+
+
+def provenance_guard(df: DataFrame, by: list[str], type_col: str, method_col: str) -> DataFrame:
+    """Per group: its source types and methods, and why an index must not be made of it: more than one of either."""
+    found = df.groupBy(*by).agg(*[F.array_join(F.array_sort(F.collect_set(c)), ",").alias(c) for c in (type_col, method_col)])
+    mixed = F.when(F.contains(type_col, F.lit(",")), "MIXED_PROVENANCE").when(F.contains(method_col, F.lit(",")), "MIXED_ACQUISITION_METHODS")
+    return found.withColumn("refusal", mixed)
+
+
+def registry_errors(registry: DataFrame) -> DataFrame:
+    """A row for each fault of each registered source: name, fault."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    faults = F.array_compact(F.array(
+        F.when(blank("name"), "name is missing"), F.when(~F.coalesce(F.col("source_type").isin("live", "offline", "simulated"), F.lit(False)), "unknown source_type"),
+        F.when(F.coalesce(F.col("per_day"), F.lit(-1)) < 0, "per_day is negative or missing"), F.when((F.col("source_type") == "live") & blank("contact"), "live source without contact"),
+    ))
+    return registry.select("name", F.explode(faults).alias("fault"))

@@ -49,6 +49,19 @@ def valid_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes(spark, sf_dir).filter(F.col("fare").between(FARE_MIN, FARE_MAX))
 
 
+def observations(quotes: DataFrame, start=None, end=None, routes=None, horizons=None, valid=None, source_type=None, newest: int | None = None) -> DataFrame:
+    """The scan with optional predicates, all of them columns that Parquet can skip by; the newest rows first if a number is given."""
+    day = F.col("day")
+    asked = [
+        None if start is None else day >= F.lit(start).cast("date"), None if end is None else day <= F.lit(end).cast("date"), None if routes is None else F.col("route_id").isin(routes),
+        None if horizons is None else F.col("horizon").isin(horizons), None if valid is None else F.col("fare").between(FARE_MIN, FARE_MAX) == valid,
+        None if source_type is None else F.col("source_type") == source_type,
+    ]
+    for predicate in asked:
+        quotes = quotes if predicate is None else quotes.filter(predicate)
+    return quotes if newest is None else quotes.orderBy(F.desc("day"), F.desc("order_id"), F.desc("line_no"), F.desc("fare")).limit(newest)
+
+
 def index_quotes(spark: SparkSession, sf_dir: str, direct_only: bool = True, source_type: str | None = None) -> DataFrame:
     """The quotes that enter an index: valid ones, of direct flights unless told otherwise, of one source type if one is named."""
     q = valid_quotes(spark, sf_dir)

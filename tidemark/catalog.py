@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import analytics, cleaning, governance, index, pages, reads, streams
+from tidemark.plans import analytics, cleaning, governance, index, pages, reads, records, streams
 
-_PLANS = (index, cleaning, analytics, governance, reads, pages, streams)
+_PLANS = (index, cleaning, analytics, governance, reads, records, pages, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,10 +23,11 @@ CABINS = {
     "BUS": "BUSINESS", "C": "BUSINESS", "FIRST": "FIRST", "F": "FIRST",
 }
 BANDS = ["00:00-05:59", "06:00-11:59", "12:00-17:59", "18:00-23:59"]
-# Registries with two-part suffixes, hints of a challenge page, and credential parameters.
+# Registries with two-part suffixes, hints of a challenge page, credential parameters and headers.
 TWO_PART = ["co.in", "com.in", "gov.in", "org.in", "net.in", "co.uk", "org.uk", "ac.in"]
 HINTS = ["captcha", "recaptcha", "hcaptcha", "challenge", "unusual traffic"]
-CREDENTIALS = ["token", "key", "api_key", "apikey", "secret", "password", "access_token"]
+CREDENTIALS = ["token", "access_token", "auth", "key", "api_key", "apikey", "secret", "session", "sessionid", "password"]
+HEADERS = ["authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key"]
 
 
 def _mapped(x: Column, pairs: dict) -> Column:
@@ -124,6 +125,17 @@ def redact_url(url: Column) -> Column:
     return F.regexp_replace(url, r"(?i)([?&](?:" + "|".join(CREDENTIALS) + ")=)[^&#]*", "$1[REDACTED]")
 
 
+def redact_headers(headers: Column) -> Column:
+    """A map of headers with the values of those that carry credentials replaced."""
+    return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(HEADERS) | F.endswith(F.lower(k), F.lit("-client-secret")), "[REDACTED]").otherwise(v))
+
+
+def redact_text(text: Column) -> Column:
+    """Bearer tokens and the values of access tokens in JSON are replaced."""
+    bearer = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._~+/-]+=*", "Bearer [REDACTED]")
+    return F.regexp_replace(bearer, r'(?i)("access_token"\s*:\s*")[^"]+(")', "$1[REDACTED]$2")
+
+
 def blocked(title: Column, html: Column, status: Column) -> Column:
     """Whether a page is a challenge in place of results."""
     head = F.lower(F.concat_ws(" ", title, F.substring(html, 1, 4000)))

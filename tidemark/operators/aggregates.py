@@ -38,6 +38,15 @@ def route_indices(cells: DataFrame) -> DataFrame:
     )
 
 
+def route_indices_by(cells: DataFrame, policy: DataFrame) -> DataFrame:
+    """route_indices with the weights of a policy (horizon, alpha: a row a horizon), renormalised over the horizons present."""
+    usable = cells.filter((F.col("n_matched") >= MIN_HORIZON_MATCHED) & (F.col("index") > 0)).join(F.broadcast(policy), "horizon")
+    found = usable.groupBy("route_id", "period").agg(
+        (F.sum(F.col("alpha") * F.col("index")) / F.sum("alpha")).alias("index"), F.count("*").alias("n_horizons"), F.sum("alpha").alias("weight_present"), F.sum("n_matched").alias("n_matched")
+    )
+    return found.withColumn("publishable", F.col("n_horizons") >= MIN_HORIZONS)
+
+
 def national(routes: DataFrame, weighted: DataFrame, by: list[str]) -> DataFrame:
     """100 * sum(w * I) / sum(w) over the basket's routes present, with the coverage gate."""
     joined = routes.join(F.broadcast(weighted.select("route_id", "weight")), "route_id").filter(F.col("index") > 0)

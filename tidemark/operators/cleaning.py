@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 FARE_MIN, FARE_MAX, MAX_CHANGE_PCT = 500.0, 80000.0, 300.0
 FENCE_K, FENCE_LEAST, FENCE_WINDOW = 3.0, 10, 500
+STATE_VERSION, DAYS_KEPT = 2, 90
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -83,33 +84,75 @@ class Fence:
             out = value < q1 - FENCE_K * (q3 - q1) or value > q3 + FENCE_K * (q3 - q1)
             if out and not self.keep_outliers:
                 return True
+        self.hold(value)
+        return out
+
+    def hold(self, value: float) -> None:
         if len(self.line) == FENCE_WINDOW:
             del self.sorted[bisect.bisect_left(self.sorted, self.line[0])]
         self.line.append(value)
         bisect.insort(self.sorted, value)
-        return out
 
 
-def recursive_fence(df: DataFrame, key: list[str], order: list[str], value: str, keep_outliers: bool = False) -> DataFrame:
+def recursive_fence(df: DataFrame, key: list[str], order: list[str], value: str, keep_outliers: bool = False, state: DataFrame | None = None) -> DataFrame:
     """df with `n_past` and `outlier`: each value against the last clean values of its key before it.
 
     Each verdict depends on those before it. With keep_outliers, outliers stay in later fences.
     Rows of a key are sorted by Spark and streamed through one pass; a task holds the fence of
     its current key, FENCE_WINDOW values, not the key's rows. Rows without a value are no
-    outliers. A key is judged by one task.
+    outliers. A key is judged by one task. Fences start from `state` (see export_fences) where it
+    has the key; state of another version is left out, and those fences start empty.
     """
-    dealt = df.repartition(*key).sortWithinPartitions(*key, *order)
+    seeds = df.withColumn("_seed", F.lit(None).cast("int"))
+    if state is not None:
+        held = state.filter(F.col("version") == STATE_VERSION).select(*key, F.posexplode("held").alias("_seed", value))
+        seeds = seeds.unionByName(held, allowMissingColumns=True)
+    dealt = seeds.repartition(*key).sortWithinPartitions(*key, F.col("_seed").asc_nulls_last(), *order)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, fence = None, Fence(keep_outliers=keep_outliers)
         for frame in frames:
-            past, out = [], []
-            for own, x in zip(frame[key].itertuples(index=False, name=None), frame[value]):
+            past, out, fresh = [], [], frame.pop("_seed").isna().to_numpy()
+            for own, x, new in zip(frame[key].itertuples(index=False, name=None), frame[value], fresh):
                 if own != current:
                     current, fence = own, Fence(keep_outliers=keep_outliers)
+                if not new:
+                    fence.hold(x)
+                    continue
                 past.append(len(fence.line))
                 out.append(fence.judge(x))
-            yield frame.assign(n_past=past, outlier=out)
+            yield frame[fresh].assign(n_past=past, outlier=out)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", n_past long, outlier boolean"
     return dealt.mapInPandas(run, schema)
+
+
+def export_fences(judged: DataFrame, key: list[str], order: list[str], value: str, state: DataFrame | None = None) -> DataFrame:
+    """What the fences hold after `judged`, by key: version, `held` (the last clean values, oldest first) and `withheld` (outliers).
+
+    state: the one that judged started from; keys without new rows keep theirs. A row of the
+    result has FENCE_WINDOW values at most.
+    """
+    newest = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]))
+    told = judged.filter(f"not outlier and `{value}` is not null").withColumn("_back", newest).filter(F.col("_back") <= FENCE_WINDOW)
+    line = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("at"), F.col(value).cast("double").alias("x")))), lambda r: r.x)
+    found = judged.groupBy(*key).agg(F.count_if("outlier").alias("withheld")).join(told.groupBy(*key).agg(line.alias("held")), key, "left")
+    empty = F.array().cast("array<double>")
+    if state is not None:
+        was = state.filter(F.col("version") == STATE_VERSION).select(*key, F.col("held").alias("_held"), F.col("withheld").alias("_withheld"))
+        found = found.join(was, key, "full")
+        line = F.concat(F.coalesce("_held", empty), F.coalesce("held", empty))
+        kept = F.slice(line, F.greatest(F.size(line) - FENCE_WINDOW + 1, F.lit(1)), FENCE_WINDOW)
+        found = found.select(*key, kept.alias("held"), (F.coalesce("_withheld", F.lit(0)) + F.coalesce("withheld", F.lit(0))).alias("withheld"))
+    return found.select(*key, F.lit(STATE_VERSION).alias("version"), F.coalesce("held", empty).alias("held"), "withheld")
+
+
+def diagnostics(state: DataFrame) -> DataFrame:
+    """One row on exported fences: keys, those with enough values to judge by, and outliers withheld."""
+    return state.agg(F.count("*").alias("n_keys"), F.count_if(F.size("held") >= FENCE_LEAST).alias("n_ready"), F.coalesce(F.sum("withheld"), F.lit(0)).alias("n_withheld"))
+
+
+def newest_days(medians: DataFrame, key: list[str], day: str, most: int = DAYS_KEPT) -> DataFrame:
+    """Daily reference levels of each key's newest `most` days."""
+    age = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(day)))
+    return medians.withColumn("_age", age).filter(F.col("_age") <= most).drop("_age")

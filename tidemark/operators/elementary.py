@@ -29,6 +29,12 @@ def product_prices(quotes: DataFrame) -> DataFrame:
     return quotes.filter("fare > 0").groupBy(*CELL, "product", "spec").agg(geomean(F.col("fare")).alias("price"), F.count("*").alias("n_quotes"))
 
 
+def base_window(quotes: DataFrame, start: str, end: str) -> DataFrame:
+    """quotes with period 0 for the days of [start, end]; earlier ones go, later ones keep their period. `matched` takes 0 as its base."""
+    day = F.col("day")
+    return quotes.filter(day >= F.lit(start).cast("date")).withColumn("period", F.when(day <= F.lit(end).cast("date"), 0).otherwise(F.col("period")))
+
+
 def spec_prices(products: DataFrame) -> DataFrame:
     """Prices of specifications: geometric means of product prices, not of pooled quotes."""
     return products.groupBy(*CELL, "spec").agg(geomean(F.col("price")).alias("price"), F.sum("n_quotes").alias("n_quotes"))

@@ -58,3 +58,21 @@ def registry_errors(registry: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.col("per_day"), F.lit(-1)) < 0, "per_day is negative or missing"), F.when((F.col("source_type") == "live") & blank("contact"), "live source without contact"),
     ))
     return registry.select("name", F.explode(faults).alias("fault"))
+
+
+def run_status(attempts: DataFrame, by: list[str]) -> DataFrame:
+    """A run's status from its attempts (mode, status, n_rows): attempts, failures, rows, status and the reasons of a run without rows.
+
+    FAILED and UNAVAILABLE attempts are failures. Only a live run with rows and no failure is a
+    SUCCESS; simulated and offline runs with rows carry their own names. A live run without rows
+    whose failures are all for want of the source is UNAVAILABLE, other runs without rows FAILED.
+    """
+    failed = F.col("status").isin("FAILED", "UNAVAILABLE")
+    got = attempts.groupBy(*by, "mode").agg(
+        F.count("*").alias("n_attempts"), F.count_if(failed).alias("n_failures"), F.count_if(F.col("status") == "UNAVAILABLE").alias("_absent"),
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.array_join(F.array_sort(F.collect_set(F.when(failed, F.coalesce("error", F.lit("unknown"))))), ",").alias("_reasons"),
+    )
+    live, none = F.col("mode") == "live", F.col("n_rows") == 0
+    status = F.when(none & live & (F.col("n_failures") > 0) & (F.col("_absent") == F.col("n_failures")), "UNAVAILABLE").when(none, "FAILED")
+    status = status.when(~live, F.upper("mode")).when(F.col("n_failures") > 0, "PARTIAL").otherwise("SUCCESS")
+    return got.withColumn("status", status).withColumn("reasons", F.when(none, F.col("_reasons"))).drop("_absent", "_reasons")

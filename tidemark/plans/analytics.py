@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import series as sr
 from tidemark.operators.aggregates import ALPHA, HORIZONS
 from tidemark.sources.store import settle
-from tidemark.sources.tables import QUOTES_SQL, quotes, read, valid_quotes
+from tidemark.sources.tables import QUOTES_SQL, observations, quotes, read, valid_quotes
 
 
 def daily(spark, d):
@@ -141,9 +141,9 @@ def comovement_summary(spark, d):
     return p.agg(F.count("*").alias("months"), F.round(F.corr("model", "official"), 6).alias("r"), F.round(F.avg(F.abs(F.col("model") - F.col("official"))), 6).alias("tracking_error"))
 
 
-def movers(spark, d):
-    """Each flight's latest fare against its route's upper median."""
-    q = settle(valid_quotes(spark, d).select("route_id", "carrier", "product", "fare", "day", "order_id", "line_no"), "fares")
+def movers(spark, d, newest=None):
+    """Each flight's latest fare against its route's upper median; of the newest quotes only, if a number is given."""
+    q = settle(observations(quotes(spark, d), valid=True, newest=newest).select("route_id", "carrier", "product", "fare", "day", "order_id", "line_no"), "fares")
     median = sr.order_statistics(q, ["route_id"], "fare", {"median": lambda n: F.floor(n / 2)}).select("route_id", "median")
     latest = q.groupBy("route_id", "carrier", "product").agg(F.max_by("fare", F.struct("day", "order_id", "line_no", "fare")).alias("current"))
     return latest.join(F.broadcast(median), "route_id").withColumn("pct", 100 * (F.col("current") - F.col("median")) / F.col("median"))

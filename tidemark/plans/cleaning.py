@@ -140,7 +140,7 @@ def domain_root(spark, d):
 
 
 def redact_url(spark, d):
-    url = F.concat("url", F.when(F.contains("url", F.lit("?")), F.lit("&token=abc")).otherwise(F.lit("?api_key=xyz&n=1")))
+    url = F.concat("url", F.when(F.contains("url", F.lit("?")), F.lit("&token=abc&sessionid=9")).otherwise(F.lit("?api_key=xyz&n=1&auth=u")))
     return read(spark, d, "pages").select("page_id", fn.redact_url(url).alias("url"))
 
 
@@ -233,7 +233,7 @@ ORACLE = {
     "domain_root": """WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM pages), s AS (SELECT page_id, host, string_split(host, '.') AS p FROM h)
   SELECT page_id, CASE WHEN len(p) <= 2 OR regexp_full_match(host, '[0-9.]+') THEN host WHEN array_to_string(p[-2:], '.') IN ('co.in', 'com.in', 'gov.in', 'org.in', 'net.in', 'co.uk', 'org.uk', 'ac.in') THEN array_to_string(p[-3:], '.')
     ELSE array_to_string(p[-2:], '.') END AS domain FROM s""",
-    "redact_url": """SELECT page_id, regexp_replace(url || CASE WHEN contains(url, '?') THEN '&token=abc' ELSE '?api_key=xyz&n=1' END,
-  '([?&](?:token|key|api_key|apikey|secret|password|access_token)=)[^&#]*', '\\1[REDACTED]', 'gi') AS url FROM pages""",
+    "redact_url": """SELECT page_id, regexp_replace(url || CASE WHEN contains(url, '?') THEN '&token=abc&sessionid=9' ELSE '?api_key=xyz&n=1&auth=u' END,
+  '([?&](?:token|access_token|auth|key|api_key|apikey|secret|session|sessionid|password)=)[^&#]*', '\\1[REDACTED]', 'gi') AS url FROM pages""",
     "block_detect": """SELECT page_id, (200 + page_id % 3 * 203 % 405) IN (403, 429) OR regexp_matches(lower(concat_ws(' ', regexp_extract(html, '<title>([^<]*)', 1), substr(html, 1, 4000))), 'captcha|challenge|unusual traffic') AS blocked FROM pages""",
 }

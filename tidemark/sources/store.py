@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,11 @@ def revisions(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> Da
     return changed.select(*own, F.col("_was").alias("previous"), F.col("_now").alias("new"), kind.alias("kind"))
 
 
-def publish(new: DataFrame, path: str, log: str, keys: list[str], value: str, partition: str) -> None:
+def publish(new: DataFrame, path: str, log: str, keys: list[str], value: str, partition: str, why: str | None = None) -> None:
     """Stores new rows by partition and logs what changed, appeared or vanished in the partitions that new has.
 
+    why: the kind that changed values are logged with in place of "recomputation", such as "late_data".
+
     The log's batch is a hash of the changes and a partition of it: the same publication again,
     or one that runs again after it failed between the two writes, replaces its own batch. The
     same rows over a finished publication log nothing.
@@ -59,6 +62,8 @@ def publish(new: DataFrame, path: str, log: str, keys: list[str], value: str, pa
     old = spark.read.parquet(path) if exists(spark, path) else new.limit(0)
     old = old.join(new.select(partition).distinct(), partition, "left_semi")
     changed = revisions(old, new, keys, value)
+    if why is not None:
+        changed = changed.replace("recomputation", why, subset=["kind"])
     mark = changed.agg(F.sum(F.xxhash64(*changed.columns).cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first()
     if mark.n:
         batch = f"{int(mark.h) & (1 << 64) - 1:016x}"
@@ -80,6 +85,29 @@ def with_reviews(observations: DataFrame, reviews: DataFrame, key: str) -> DataF
     return observations.join(last, key, "left").withColumn("is_valid", F.col("is_valid") & ~F.coalesce(F.col("verdict") == "error", F.lit(False)))
 
 
+def review_revisions(observations: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
+    """A revision for each observation that was valid until its latest review found it wrong: what indices that used it are to be made again."""
+    wrong = reviews.groupBy(key).agg(F.max_by("verdict", "reviewed_at").alias("verdict")).filter("verdict = 'error'")
+    return observations.filter("is_valid").join(wrong, key, "left_semi").withColumn("revision", F.lit("anomaly_review"))
+
+
+def recomputed(rows: DataFrame, late: DataFrame, by: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """compute over all rows of those values of `by` that late rows have: the partitions to publish again."""
+    return compute(rows.unionByName(late).join(late.select(by).distinct(), by, "left_semi"))
+
+
+def register(known: DataFrame | None, told: DataFrame, key: str, at: str) -> DataFrame:
+    """The sources known after another registration: the latest fields of each, `first_seen` and `last_updated`.
+
+    known: what an earlier call gave, or None. Sources that are told no more stay, disabled ones too.
+    """
+    fields = [c for c in told.columns if c not in (key, at)]
+    every = told.select(key, *fields, F.col(at).alias("first_seen"), F.col(at).alias("last_updated"))
+    every = every if known is None else known.unionByName(every)
+    latest = F.max_by(F.struct(*fields), F.struct("last_updated", *fields)).alias("_row")
+    return every.groupBy(key).agg(F.min("first_seen").alias("first_seen"), F.max("last_updated").alias("last_updated"), latest).select(key, "_row.*", "first_seen", "last_updated")
+
+
 def upsert(df: DataFrame, path: str, key: str, at: str) -> DataFrame:
     """The latest row of each key over the store and df; the store is to be replaced by it."""
     spark = df.sparkSession

@@ -15,7 +15,7 @@ from tidemark.sources import registries as reg
 from tidemark.sources.store import recomputed, register, review_revisions, revisions, settle, with_reviews
 from tidemark.sources.tables import QUOTES_SQL, index_quotes, quotes, read, valid_quotes
 
-FENCE_KEY, FENCE_ORDER, SPLIT = ["route_id", "horizon"], ["day", "order_id", "line_no", "fare"], "1995-07-01"
+FENCE_KEY, FENCE_ORDER, SPLIT = ["route_id", "horizon"], ["day", "order_id", "line_no", "fare"], "1997-07-01"
 
 
 def basket_documents(spark, d):
@@ -62,7 +62,7 @@ def weighted_horizon_index(spark, d):
 def base_window_index(spark, d):
     """Elementary indices by month against all of a base of nine months."""
     q = index_quotes(spark, d).withColumn("period", F.year("day") * 100 + F.month("day"))
-    pairs = el.matched(el.product_prices(el.base_window(q, "1994-03-15", "1994-12-14")), "product", 0)
+    pairs = el.matched(el.product_prices(el.base_window(q, "1995-02-15", "1995-11-14")), "product", 0)
     return index.rounded(el.jevons(pairs, 1).drop("log_sd"), "index")
 
 
@@ -242,7 +242,7 @@ v AS (SELECT o.*, verdict FROM o LEFT JOIN r USING (observation))"""
 MONTHS = index.PRICES.replace("FROM direct GROUP BY ALL", "FROM windowed GROUP BY ALL").replace(
     ", prices AS (",
     """, windowed AS (
-  SELECT * REPLACE (CASE WHEN day <= '1994-12-14' THEN 0 ELSE CAST(year(day) * 100 + month(day) AS INTEGER) END AS period) FROM direct WHERE day >= '1994-03-15'
+  SELECT * REPLACE (CASE WHEN day <= '1995-11-14' THEN 0 ELSE CAST(year(day) * 100 + month(day) AS INTEGER) END AS period) FROM direct WHERE day >= '1995-02-15'
 ), prices AS (""",
 ).replace(f"b.period = {index.BASE} AND c.period > {index.BASE}", "b.period = 0 AND c.period > 0")
 _ALPHA = "CASE horizon WHEN 1 THEN 0.4 WHEN 7 THEN 0.3 ELSE 0.1 END::DOUBLE"

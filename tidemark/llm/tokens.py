@@ -270,7 +270,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     bits = max(1, int(max(vocabulary_size(tokenizer_path) - 1, end_id)).bit_length())
     kind = "long" if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint") else "string"
     slim = docs.select(docs[id_col].cast(kind).alias("_id"), text_of(docs, text_col).alias("_text"))
-    dealt = slim.repartitionByRange(n_ranges(slim, F.octet_length("_text")), "_id").sortWithinPartitions("_id", "_text")
+    # rows of one id are dealt by the text's first characters, which keep the order of texts
+    dealt = slim.repartitionByRange(n_ranges(slim, F.octet_length("_text")), "_id", F.substring("_text", 1, 64)).sortWithinPartitions("_id", "_text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

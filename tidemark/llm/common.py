@@ -53,10 +53,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def n_ranges(df: DataFrame, size: Column) -> int:
-    """Ranges to deal df in, so that a task gets about RANGE_BYTES however large df is; the session's partition count at least."""
+def n_ranges(df: DataFrame, size: Column, each: int | None = None) -> int:
+    """Ranges to deal df in, so that a task gets about `each` bytes (RANGE_BYTES) however large df is; the session's partition count at least."""
     total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (each or RANGE_BYTES)))
 
 
 def meet(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:

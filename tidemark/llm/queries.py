@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, lines, packing, quality, secrets, simhash, tokens, toxicity, windows
+from tidemark.llm import decontaminate, language, lines, packing, quality, secrets, simhash, tokens, toxicity, windows, wordtable
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1, length=2048)
 
 
+def op13_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = wordtable.encode(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return wordtable.digest(wordtable.decode(encoded, WORD_TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op13_word_table": op13_word_table,
     }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, lines, packing, quality, secrets, simhash, tokens, toxicity, windows, wordtable
+from tidemark.llm import decontaminate, language, lines, packing, quality, secrets, simhash, tokens, toxicity, trie, whitening, windows, wordtable
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1, length=2048)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def op13_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = wordtable.encode(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
     return wordtable.digest(wordtable.decode(encoded, WORD_TOKENIZER))
@@ -79,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_whitening": op12_whitening,
         "op13_word_table": op13_word_table,
     }
 

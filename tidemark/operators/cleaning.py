@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import ship
+
 FARE_MIN, FARE_MAX, MAX_CHANGE_PCT = 500.0, 80000.0, 300.0
 FENCE_K, FENCE_LEAST, FENCE_WINDOW = 3.0, 10, 500
 STATE_VERSION, DAYS_KEPT = 2, 90
@@ -124,6 +126,7 @@ def recursive_fence(df: DataFrame, key: list[str], order: list[str], value: str,
             yield frame[fresh].assign(n_past=past, outlier=out)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", n_past long, outlier boolean"
+    ship(df.sparkSession)
     return dealt.mapInPandas(run, schema)
 
 

@@ -43,10 +43,33 @@ def gates(status: Column, paths: Column, path: Column, per_day: Column, contact:
     )
 
 
+def index_guard(quotes: DataFrame, base: int, type_col: str = "source_type", method_col: str = "method") -> DataFrame:
+    """One row on the quotes that an index would use, those of its base and of later periods: `source_types`, `methods` and `refusal`.
+
+    quotes: after the scope that was asked for, so a named type or method leaves one of it. An index is refused
+    without quotes in its base, and over more than one type or method: which of them would
+    count is never guessed from their numbers. No quotes at all are no reason: the index is empty.
+    """
+    used = quotes.filter(F.col("period") >= base)
+    found = used.agg(
+        F.count("*").alias("_n"), F.count_if(F.col("period") == base).alias("_base"),
+        *[F.array_sort(F.collect_set(c)).alias(n) for c, n in ((type_col, "source_types"), (method_col, "methods"))],
+    )
+    refusal = F.when((F.col("_n") > 0) & (F.col("_base") == 0), "no_base_period_data").when(F.size("source_types") > 1, "mixed_provenance").when(F.size("methods") > 1, "MIXED_ACQUISITION_METHODS")
+    return found.select(F.array_join("source_types", ",").alias("source_types"), F.array_join("methods", ",").alias("methods"), refusal.alias("refusal"))
+
+
+def guarded(index: DataFrame, guard: DataFrame) -> DataFrame:
+    """index beside its guard's row; where that refuses, one row without figures in its place. guard is one row, so the broadcast has one."""
+    passed = index.join(F.broadcast(guard.filter("refusal is null")), F.lit(True))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema]
+    return passed.unionByName(guard.filter("refusal is not null").select(*nothing, *guard.columns))
+
+
 def provenance_guard(df: DataFrame, by: list[str], type_col: str, method_col: str) -> DataFrame:
     """Per group: its source types and methods, and why an index must not be made of it: more than one of either."""
     found = df.groupBy(*by).agg(*[F.array_join(F.array_sort(F.collect_set(c)), ",").alias(c) for c in (type_col, method_col)])
-    mixed = F.when(F.contains(type_col, F.lit(",")), "MIXED_PROVENANCE").when(F.contains(method_col, F.lit(",")), "MIXED_ACQUISITION_METHODS")
+    mixed = F.when(F.contains(type_col, F.lit(",")), "mixed_provenance").when(F.contains(method_col, F.lit(",")), "MIXED_ACQUISITION_METHODS")
     return found.withColumn("refusal", mixed)
 
 

@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as agg
 from tidemark.operators import elementary as el
+from tidemark.operators import governance as gov
 from tidemark.sources.store import settle
-from tidemark.sources.tables import QUOTES_SQL, basket, index_quotes
+from tidemark.sources.tables import QUOTES_SQL, basket, index_quotes, scoped, valid_quotes
 
 BASE = 1995
+#: The type and the method that the registered indices are made of. One that names neither is refused where quotes are of several.
+NAMED = {"source_type": "N", "method": "web_scrape"}
 
 
 def prices(spark, d, **scope):
-    return el.product_prices(index_quotes(spark, d, **scope))
+    return el.product_prices(index_quotes(spark, d, **(NAMED | scope)))
 
 
 def cells(spark, d, **scope):
@@ -112,11 +115,30 @@ def change_decomposition(spark, d):
 
 
 def national_index_with_connections(spark, d):
-    """All flights of one source type."""
-    routes = agg.route_indices(cells(spark, d, direct_only=False, source_type="N")).filter("publishable")
+    routes = agg.route_indices(cells(spark, d, direct_only=False)).filter("publishable")
     return rounded(agg.national(routes, agg.weights(basket(spark, d)), ["period"]), "coverage", "index")
 
 
+def guarded_index(spark, d, **scope):
+    """The national index with its guard: of what is named in scope, and nothing else is assumed."""
+    unnamed = {"source_type": None, "method": None} | scope
+    routes = agg.route_indices(cells(spark, d, **unnamed)).filter("publishable")
+    found = agg.national(routes, agg.weights(basket(spark, d)), ["period"]).select("period", "index", "coverage")
+    return gov.guarded(rounded(found, "index", "coverage"), settle(gov.index_guard(scoped(valid_quotes(spark, d), **unnamed), BASE), "guard"))
+
+
+def national_index_unnamed(spark, d):
+    """Refused: the quotes are of several types."""
+    return guarded_index(spark, d)
+
+
+def national_index_by_scope(spark, d):
+    """One type with all its methods is refused, one type and method gives figures; so does a type that has one method."""
+    asked = {"type": {"source_type": "N"}, "both": NAMED, "method": {"method": "api"}}
+    found = [guarded_index(spark, d, **scope).withColumn("scope", F.lit(name)) for name, scope in asked.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def national_uncertainty(spark, d):
     return rounded(agg.national_uncertainty(el.with_uncertainty(cells(spark, d)), agg.weights(basket(spark, d))), "se_reference", "se_corrected")
 
@@ -194,6 +216,7 @@ QUERIES = {
         national_index, product_geomean_prices, base_price_set, jevons_elementary, carli_elementary, dutot_elementary, gm_ratio_elementary,
         jevons_time_reversal, product_churn, reappeared_products, spec_fallback_index, elementary_uncertainty, route_weights, route_index,
         national_by_horizon, national_contributions, missing_routes, change_decomposition, national_uncertainty, national_index_with_connections,
+        national_index_unnamed, national_index_by_scope,
     )
 }
 
@@ -261,4 +284,22 @@ FROM (SELECT route_id, horizon, period, product, bool_or(n) AS n, bool_or(w) AS
   round(CASE WHEN count(se) = count(*) THEN 100 * sqrt(sum(weight * weight * se * se)) / sum(weight) END, 6) AS se_corrected
   FROM route_se JOIN weights USING (route_id) GROUP BY period""",
 }
-ORACLE["national_index_with_connections"] = ORACLE["national_index"].replace("FROM direct GROUP BY ALL", "FROM valid WHERE source_type = 'N' GROUP BY ALL")
+ORACLE["national_index_with_connections"] = ORACLE["national_index"].replace("FROM direct GROUP BY ALL", "FROM valid WHERE source_type = 'N' AND method = 'web_scrape' GROUP BY ALL")
+
+
+def _guarded_sql(scope: str) -> str:
+    """The national index over a scope, and the guard's row over it: types and methods of base and later quotes."""
+    body = ORACLE["national_index"].replace("FROM direct GROUP BY ALL", f"FROM valid WHERE stops = 0 AND {scope} GROUP BY ALL")
+    return f"""(WITH i AS ({body}), u AS (WITH {QUOTES_SQL} SELECT * FROM valid WHERE period >= {BASE} AND {scope}), g AS (
+  SELECT coalesce(string_agg(DISTINCT source_type, ',' ORDER BY source_type), '') AS source_types, coalesce(string_agg(DISTINCT method, ',' ORDER BY method), '') AS methods,
+    CASE WHEN count(*) > 0 AND count(*) FILTER (WHERE period = {BASE}) = 0 THEN 'no_base_period_data' WHEN count(DISTINCT source_type) > 1 THEN 'mixed_provenance'
+      WHEN count(DISTINCT method) > 1 THEN 'MIXED_ACQUISITION_METHODS' END AS refusal FROM u)
+  SELECT period, index, coverage, source_types, methods, refusal FROM i, g WHERE refusal IS NULL
+  UNION ALL SELECT NULL, NULL, NULL, source_types, methods, refusal FROM g WHERE refusal IS NOT NULL)"""
+
+
+ORACLE["national_index_unnamed"] = "SELECT * FROM " + _guarded_sql("true")
+ORACLE["national_index_by_scope"] = " UNION ALL ".join(
+    f"SELECT *, '{name}' AS scope FROM " + _guarded_sql(scope)
+    for name, scope in (("type", "source_type = 'N'"), ("both", "source_type = 'N' AND method = 'web_scrape'"), ("method", "method = 'api'"))
+)

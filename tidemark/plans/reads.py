@@ -19,9 +19,8 @@ SEEN = ["route_id", "horizon", "day", "fare", "order_id", "line_no"]
 
 
 def provenance_guard(spark, d):
-    """Cells of route and horizon: most mix source types, and no index may be made of those without naming one."""
-    q = quotes(spark, d).withColumn("method", F.when(F.col("discount") > 0.05, "api").otherwise("web_scrape"))
-    return gov.provenance_guard(q, ["route_id", "horizon", "product"], "source_type", "method")
+    """Which routes, horizons and products mix source types or methods. What an index is refused by is index_guard, over all its quotes."""
+    return gov.provenance_guard(quotes(spark, d), ["route_id", "horizon", "product"], "source_type", "method")
 
 
 def registry_validation(spark, d):
@@ -232,8 +231,8 @@ RAW = """WITH raw AS (SELECT o_orderkey, ['inr', ' USD', 'EUR', 'GBP', NULL, 'XX
 
 ORACLE = {
     "provenance_guard": f"""WITH {QUOTES_SQL}, g AS (SELECT route_id, horizon, product, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS source_type,
-  string_agg(DISTINCT CASE WHEN discount > 0.05 THEN 'api' ELSE 'web_scrape' END, ',' ORDER BY CASE WHEN discount > 0.05 THEN 'api' ELSE 'web_scrape' END) AS method FROM quotes GROUP BY ALL)
-  SELECT *, CASE WHEN source_type LIKE '%,%' THEN 'MIXED_PROVENANCE' WHEN method LIKE '%,%' THEN 'MIXED_ACQUISITION_METHODS' END AS refusal FROM g""",
+  string_agg(DISTINCT method, ',' ORDER BY method) AS method FROM quotes GROUP BY ALL)
+  SELECT *, CASE WHEN source_type LIKE '%,%' THEN 'mixed_provenance' WHEN method LIKE '%,%' THEN 'MIXED_ACQUISITION_METHODS' END AS refusal FROM g""",
     "registry_validation": """WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT fault, count(*) AS n FROM (
   SELECT 'name is missing' AS fault FROM s WHERE k % 5 = 0 UNION ALL SELECT 'unknown source_type' FROM s WHERE k % 3 = 2
   UNION ALL SELECT 'per_day is negative or missing' FROM s WHERE k % 7 = 0 UNION ALL SELECT 'live source without contact' FROM s WHERE k % 3 = 0 AND k % 4 = 0) GROUP BY fault""",

@@ -61,7 +61,7 @@ def weighted_horizon_index(spark, d):
 
 def base_window_index(spark, d):
     """Elementary indices by month against all of a base of nine months."""
-    q = index_quotes(spark, d).withColumn("period", F.year("day") * 100 + F.month("day"))
+    q = index_quotes(spark, d, **index.NAMED).withColumn("period", F.year("day") * 100 + F.month("day"))
     pairs = el.matched(el.product_prices(el.base_window(q, "1995-02-15", "1995-11-14")), "product", 0)
     return index.rounded(el.jevons(pairs, 1).drop("log_sd"), "index")
 

@@ -41,6 +41,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("line_no"),
             F.col("l_discount").alias("discount"),
+            F.when(F.col("l_tax") > 0.07, "api").otherwise("web_scrape").alias("method"),
         )
     )
 
@@ -62,11 +63,17 @@ def observations(quotes: DataFrame, start=None, end=None, routes=None, horizons=
     return quotes if newest is None else quotes.orderBy(F.desc("day"), F.desc("order_id"), F.desc("line_no"), F.desc("fare")).limit(newest)
 
 
-def index_quotes(spark: SparkSession, sf_dir: str, direct_only: bool = True, source_type: str | None = None) -> DataFrame:
-    """The quotes that enter an index: valid ones, of direct flights unless told otherwise, of one source type if one is named."""
-    q = valid_quotes(spark, sf_dir)
-    q = q.filter("stops = 0") if direct_only else q
-    return q if source_type is None else q.filter(F.col("source_type") == source_type)
+def scoped(quotes: DataFrame, source_type: str | None = None, method: str | None = None) -> DataFrame:
+    """quotes of the source type and the acquisition method that are named."""
+    for column, name in (("source_type", source_type), ("method", method)):
+        quotes = quotes if name is None else quotes.filter(F.col(column) == name)
+    return quotes
+
+
+def index_quotes(spark: SparkSession, sf_dir: str, direct_only: bool = True, source_type: str | None = None, method: str | None = None) -> DataFrame:
+    """The quotes that enter an index: valid ones, of direct flights unless told otherwise. An index that names no type or method must ask governance.index_guard."""
+    q = scoped(valid_quotes(spark, sf_dir), source_type, method)
+    return q.filter("stops = 0") if direct_only else q
 
 
 def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +89,9 @@ quotes AS (
          l_partkey AS product, p_brand || '|' || p_type AS spec, p_brand AS carrier, p_type AS family,
          l_extendedprice / l_quantity AS fare, CAST(l_shipdate AS DATE) AS day, CAST(year(l_shipdate) AS INTEGER) AS period,
          CASE WHEN l_linenumber <= 5 THEN 0 ELSE 1 END AS stops, l_returnflag AS source_type,
-         l_orderkey AS order_id, l_linenumber AS line_no, l_discount AS discount
+         l_orderkey AS order_id, l_linenumber AS line_no, l_discount AS discount,
+         CASE WHEN l_tax > 0.07 THEN 'api' ELSE 'web_scrape' END AS method
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-), valid AS (SELECT * FROM quotes WHERE fare BETWEEN 500 AND 80000), direct AS (SELECT * FROM valid WHERE stops = 0),
+), valid AS (SELECT * FROM quotes WHERE fare BETWEEN 500 AND 80000), direct AS (SELECT * FROM valid WHERE stops = 0 AND source_type = 'N' AND method = 'web_scrape'),
 basket AS (SELECT c_nationkey AS route_id, count(*) AS passengers FROM customer GROUP BY 1)
 """

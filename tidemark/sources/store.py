@@ -38,6 +38,15 @@ def shared(spark: SparkSession) -> str:
     return (base or "file://" + os.path.join(tempfile.gettempdir(), "tidemark")).rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where only the driver knows its folder."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    have = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in have.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+
+
 def revisions(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
     """What differs between old and new, null-safe on keys: keys, previous value, new value, kind (withdrawal: new lacks the row)."""
     was = old.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias("_was"), F.lit(True).alias("_known"))

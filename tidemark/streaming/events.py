@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.cleaning import Fence
-from tidemark.sources.store import exists, shared
+from tidemark.sources.store import exists, shared, ship
 
 #: Rows of a key after which the fence is written again, so that late rows do not send it back to the key's start.
 FENCE_EVERY = 100_000
@@ -150,6 +150,7 @@ def fenced(events: DataFrame, key: str = "event_type", value: str = "value", eve
         dealt = begin.unionByName(again).repartition("_key").sortWithinPartitions("_key", F.desc("_first"), "ts", "event_id", "_value")
         dealt.mapInArrow(_judge(every), schemas["judged"]).write.mode("overwrite").parquet(f"{at}/judged/batch={no}")
 
+    ship(spark)
     rows = events.select("event_id", F.col(key).alias("_key"), "ts", F.col(value).cast("double").alias("_value"))
     rows.writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
     names = [F.col("event_id"), F.col("_key").alias(key), F.col("_value").alias(value), F.col("outlier")]

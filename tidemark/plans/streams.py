@@ -8,6 +8,7 @@ from tidemark.plans import cleaning
 from tidemark.sources.store import settle
 from tidemark.sources.tables import QUOTES_SQL, read
 from tidemark.streaming import events as ev
+from tidemark.streaming import late as lt
 from tidemark.streaming import validator as vd
 
 
@@ -56,11 +57,34 @@ def validator_diagnostics(spark, d):
     return vd.diagnostics(vd.in_waves(vd.ValidatorStream(spark), waves(spark, d)).export())
 
 
+def daily_levels(rows):
+    """Geometric mean fare of each route and day, rounded so that it does not depend on the order of a sum."""
+    return rows.groupBy("month", "route_id", "day").agg(F.round(F.exp(F.avg(F.ln("fare"))), 6).alias("level"))
+
+
+def late_run(spark, d):
+    stream = lt.LateStream(spark, "month date, route_id int, day date, fare double", "month", ["month", "route_id", "day"], "level", daily_levels)
+    for file in waves(spark, d):
+        stream.add(file.filter(F.col("fare").between(500, 80000)).withColumn("month", F.trunc("day", "month")))
+        stream.run()
+    return stream
+
+
+def late_revisions(spark, d):
+    """What each of the four files changed in the published levels."""
+    return late_run(spark, d).log().select("batch", "route_id", "day", "previous", "new", "kind").withColumn("batch", F.col("batch").cast("int"))
+
+
+def late_figures(spark, d):
+    """The levels that are published in the end."""
+    return late_run(spark, d).figures().select("route_id", "day", "level")
+
+
 def rate_limit_recursive(spark, d):
     return ev.limited(read(spark, d, "events"), limit=3, seconds=86400)
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_sessions, stream_fence, stream_validator, stream_validator_restarted, validator_diagnostics, rate_limit_recursive)}
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_sessions, stream_fence, stream_validator, stream_validator_restarted, validator_diagnostics, late_revisions, late_figures, rate_limit_recursive)}
 _WAVES = f"""WITH RECURSIVE {QUOTES_SQL}, q AS (
   SELECT route_id, horizon, day, order_id, line_no, fare * CASE WHEN order_id % 23 = 0 THEN 10.0 ELSE 1.0 END AS fare,
     CASE WHEN day < DATE '1994-01-01' THEN 0 WHEN day < DATE '1996-01-01' THEN 1 WHEN day < DATE '1998-01-01' THEN 2 ELSE 3 END AS due FROM quotes
@@ -96,6 +120,11 @@ ORACLE = {
     "validator_diagnostics": _WAVES + """, keys AS (SELECT DISTINCT route_id, horizon FROM w), last AS (
   SELECT route_id, horizon, arg_max(held, k) AS held, arg_max(days, k) AS days, count(*) FILTER (WHERE outlier) AS withheld FROM walk GROUP BY ALL)
   SELECT count(*) AS n_keys, count(*) FILTER (WHERE len(held) >= 10) AS n_ready, coalesce(max(len(days)), 0)::INTEGER AS most_days, coalesce(sum(withheld), 0)::BIGINT AS n_withheld FROM keys LEFT JOIN last USING (route_id, horizon)""",
+    "late_revisions": _WAVES.split(", line AS (")[0].rstrip() + """, b AS (SELECT unnest([0, 1, 2, 3]) AS batch), v AS (
+  SELECT batch, route_id, day, round(exp(avg(ln(fare))), 6) AS level FROM w JOIN b ON wave <= batch WHERE excluded IS NULL GROUP BY ALL
+), c AS (SELECT batch, route_id, day, level, lag(level) OVER (PARTITION BY route_id, day ORDER BY batch) AS previous FROM v)
+SELECT batch, route_id, day, previous, level AS new, CASE WHEN previous IS NULL THEN 'initial_publication' ELSE 'late_data' END AS kind FROM c WHERE previous IS DISTINCT FROM level""",
+    "late_figures": _WAVES.split(", line AS (")[0].rstrip() + " SELECT route_id, day, round(exp(avg(ln(fare))), 6) AS level FROM w WHERE excluded IS NULL GROUP BY ALL",
     "stream_fence": """WITH RECURSIVE line AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id, value) AS k FROM events),
   walk AS (
     SELECT 0::BIGINT AS k, event_type, NULL::BIGINT AS event_id, NULL::DOUBLE AS value, false AS outlier, []::DOUBLE[] AS held FROM line WHERE k = 1

@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.fares import cabin, flight_number, time_band, unbundle
+from tidemark.sources.markup import page_blocks, page_quotes
 
-# Carrier names as cards show them, in order of precedence, with their codes; carriers' names by code; codes that merged into others.
+# Carrier names as cards show them, in order of precedence, with their codes; codes that merged into others.
 CARRIERS = {"INDIGO": "6E", "AIR INDIA EXPRESS": "IX", "AIR INDIA": "AI", "AKASA AIR": "QP", "AKASA": "QP", "SPICEJET": "SG", "VISTARA": "AI"}
-NAMES = {
-    "6E": "IndiGo", "AI": "Air India", "IX": "Air India Express", "SG": "SpiceJet", "UK": "Vistara", "QP": "Akasa Air", "I5": "AIX Connect",
-    "9I": "Alliance Air", "S5": "Star Air", "QO": "IndiaOne Air",
-}
 MERGED = {"UK": "AI", "I5": "IX"}
 DIRECT = ["nonstop", "non-stop", "non stop", "0 stop"]
 # What kinds of source ask of a card: least and greatest fare, convenience fee, kilograms of baggage, carrier.
@@ -22,6 +19,12 @@ PRESETS = {
     "airline": {"low": 800.0, "high": 95000.0, "fee": 350.0, "carrier": "AI"},
     "spider": {"low": 500.0, "high": 95000.0, "fee": 300.0, "carrier": None},
 }
+# Of RPC pages and of metasearch sites, what names a carrier, in order of precedence; words for direct flights; the time of a text without a clock, by site.
+RPC_NAMES = {"6E": "6E", "INDIGO": "6E", "AI": "AI", "AIR INDIA": "AI", "SG": "SG", "SPICEJET": "SG", "QP": "QP", "AKASA": "QP", "IX": "IX", "AIR INDIA EXPRESS": "IX"}
+SITE_NAMES = {"INDIGO": "6E", "6E": "6E", "AIR INDIA": "AI", "AI": "AI", "SPICEJET": "SG", "SG": "SG", "AKASA": "QP", "QP": "QP", "AIR INDIA EXPRESS": "IX", "IX": "IX"}
+RPC_DIRECT, RPC_TIME = ["nonstop", "non-stop", "0 stop"], "09:30 AM"
+SITE_DIRECT = {"makemytrip": ["non stop", "non-stop", "0 stop"], "goibibo": ["non stop", "non-stop", "0 stop"], "cleartrip": ["non stop", "non-stop", "0 stop"], "skyscanner": ["direct", "non-stop", "0 stop"]}
+SITE_TIME = {"makemytrip": "08:00", "goibibo": "09:00", "cleartrip": "10:00", "skyscanner": "12:00"}
 #: Blanks of any kind that cards have between parts: ASCII ones, no-break and narrow no-break spaces.
 BLANK = r"[\s\u00A0\u202F]"
 
@@ -31,9 +34,9 @@ def amount(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\d.]", "").try_cast("double")
 
 
-def _carrier(text: Column) -> Column:
+def _carrier(text: Column, names: dict[str, str] = CARRIERS) -> Column:
     code = F.lit(None)
-    for name, value in reversed(CARRIERS.items()):
+    for name, value in reversed(names.items()):
         code = F.when(F.contains(F.upper(text), F.lit(name)), value).otherwise(code)
     return code
 
@@ -105,7 +108,7 @@ def ota_cards(df: DataFrame, text_col: str, origin_col: str, dest_col: str, at_c
 
 
 def price_clusters(df: DataFrame, text_col: str, around: int = 4) -> DataFrame:
-    """A row for each line with a rupee sign: `at`, and `block`, that line with `around` lines before and behind it."""
+    """A row for each line of a text with a rupee sign: `at`, and `block`, that line with `around` lines before and behind it."""
     lines = F.split(F.coalesce(text_col, F.lit("")), "\n")
     found = df.select("*", lines.alias("_lines")).select("*", F.posexplode("_lines").alias("at", "_line")).filter(F.contains("_line", F.lit("₹")))
     first = F.greatest(F.col("at") - around, F.lit(0))
@@ -113,6 +116,42 @@ def price_clusters(df: DataFrame, text_col: str, around: int = 4) -> DataFrame:
     return found.withColumn("block", block).drop("_lines", "_line")
 
 
+def rpc_quotes(df: DataFrame, html_col: str, page_col: str, origin_col: str, dest_col: str) -> DataFrame:
+    """Quotes of RPC pages: of offer cards, or of the lines around each price where a page has none.
+
+    Windows of neighbouring prices overlap and read the same first price; of equal flight, time and fare the first
+    of a page stays. Blocks without a known carrier or a fare from 600 to 90,000 give none. A text without a
+    clock has RPC_TIME. Every flight number is made of carrier, route and time.
+    """
+    each = page_blocks(df, html_col)
+    text = F.col("block")
+    times = F.regexp_extract_all(text, F.lit(rf"(\d{{1,2}}:\d{{2}}{BLANK}*[AP]M)"), F.lit(1))
+    clock = lambda i: F.replace(F.get(times, F.lit(i)), F.lit("\u202f"), F.lit(" "))
+    found = each.select(
+        *[c for c in df.columns if c != html_col], "at", _carrier(text, RPC_NAMES).alias("carrier"), _digits(F.regexp_extract(text, rf"₹{BLANK}*([\d,]+)", 1)).alias("fare"),
+        F.coalesce(clock(0), F.lit(RPC_TIME)).alias("dep_time"), clock(1).alias("arr_time"), F.when(F.lower(text).rlike("|".join(RPC_DIRECT)), 0).otherwise(1).alias("stops"), F.lit(None).cast("string").alias("number"),
+    ).filter(F.col("carrier").isNotNull() & F.col("fare").between(600, 90000))
+    return _quoted(found, origin_col, dest_col, 300.0, "at", [page_col, "flight", "dep_time", "fare"])
+
+
+def site_quotes(df: DataFrame, text_col: str, site: str, page_col: str, origin_col: str, dest_col: str, at_col: str) -> DataFrame:
+    """Quotes of a metasearch site's cards: PRESETS["metasearch"], the site's words for direct flights and its time for cards without a clock.
+
+    A flight number in the text counts; it may be of another carrier than the card's name, as on shared flights.
+    """
+    text, own = F.col(text_col), PRESETS["metasearch"]
+    number = F.regexp_extract(F.upper(text), r"(6E|AI|SG|QP|IX)[-\s]?(\d{3,4})", 2)
+    code = F.regexp_extract(F.upper(text), r"(6E|AI|SG|QP|IX)[-\s]?(\d{3,4})", 1)
+    time = F.nullif(F.regexp_extract(text, r"(\d{1,2}:\d{2})", 1), F.lit(""))
+    found = df.select(
+        "*", _carrier(text, SITE_NAMES).alias("carrier"), _digits(F.regexp_extract(text, rf"₹{BLANK}*([\d,]+)", 1)).alias("fare"), F.coalesce(time, F.lit(SITE_TIME[site])).alias("dep_time"),
+        F.when(F.lower(text).rlike("|".join(SITE_DIRECT[site])), 0).otherwise(1).alias("stops"), F.nullif(number, F.lit("")).alias("number"), code.alias("_code"),
+    ).filter(F.col("carrier").isNotNull() & F.col("fare").between(own["low"], own["high"]))
+    told = found.withColumn("carrier_shown", F.col("carrier")).withColumn("carrier", F.when(F.col("number").isNotNull(), F.col("_code")).otherwise(F.col("carrier"))).drop("_code")
+    quoted = _quoted(told, origin_col, dest_col, own["fee"], at_col, [page_col, "flight", "dep_time", "fare"])
+    return quoted.withColumn("carrier", F.col("carrier_shown")).drop("carrier_shown")
+
+
 #: An offer payload, as far as it is read.
 OFFERS = """struct<data: array<struct<id: string, numberOfBookableSeats: int, validatingAirlineCodes: array<string>,
   price: struct<currency: string, total: string, grandTotal: string, base: string>,
@@ -149,53 +188,9 @@ def fixture_scan(df: DataFrame, json_col: str, origin: str, dest: str, horizon:
     return kept.select(F.upper(F.trim("airline_code")).alias("carrier"), F.col("fare_total").alias("fare"), cabin(F.col("cabin")).alias("cabin"), F.coalesce("stops", F.lit(0)).alias("stops"))
 
 
-def _of_class(part: Column, name: str) -> Column:
-    """Text of the first element of a class."""
-    return F.nullif(F.trim(F.regexp_extract(part, rf"""class=["'][^"']*\b{name}\b[^"']*["'][^>]*>([^<]*)<""", 1)), F.lit(""))
-
-
-def _money(part: Column, name: str) -> Column:
-    data = F.nullif(F.regexp_extract(part, rf"""<[^>]*class=["'][^"']*\b{name}\b[^>]*data-amount=["']([^"']*)["']""", 1), F.lit(""))
-    return amount(F.coalesce(data, _of_class(part, name)))
-
-
-def _attribute(part: Column, name: str) -> Column:
-    return F.regexp_extract(part, rf"""\b{name}=["']([^"']*)["']""", 1)
-
-
 def result_pages(df: DataFrame, html_col: str) -> DataFrame:
-    """df with `state` and `quotes` of each page.
-
-    ERROR, CAPTCHA and NO_RESULTS pages have no quotes; cards come before table rows. A quote
-    whose base and taxes miss its total by more than 2 is left out; a page that keeps none for
-    such reasons has drifted.
-    """
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    low = F.lower(html)
-    card = F.split(html, r"""(?=<div[^>]*class=["']flight-card\b)""")
-    card = F.filter(card, lambda x: x.rlike(r"""^<div[^>]*class=["']flight-card\b"""))
-    row = F.filter(F.split(html, r"""(?=<tr[^>]*class=["']flight-row\b)"""), lambda x: x.rlike(r"""^<tr[^>]*class=["']flight-row\b"""))
-
-    def quote(x: Column, tabular: bool) -> Column:
-        name = (lambda c, a: _attribute(x, a)) if tabular else (lambda c, a: _of_class(x, c))
-        return F.struct(
-            name("airline-code", "data-airline-code").alias("carrier"), name("airline-name", "data-airline").alias("airline"), name("flight-number", "data-flight-number").alias("flight"),
-            _money(x, "fare-total").alias("fare"), _money(x, "fare-base").alias("base"), _money(x, "fare-taxes").alias("taxes"), _of_class(x, "dep-time").alias("dep_time"), _of_class(x, "arr-time").alias("arr_time"),
-        )
-
-    def good(q: Column) -> Column:
-        adds_up = q["base"].isNull() | q["taxes"].isNull() | (F.abs(q["base"] + q["taxes"] - q["fare"]) <= 2.0)
-        return F.coalesce(q["fare"] > 0, F.lit(False)) & adds_up
-
-    of_cards = F.filter(F.transform(card, lambda x: quote(x, False)), good)
-    of_rows = F.filter(F.transform(row, lambda x: quote(x, True)), good)
-    quotes = F.when(F.size(of_cards) > 0, of_cards).otherwise(of_rows)
-    state = (
-        F.when(html.rlike(r"""<div[^>]*class=["']error-container\b""") | html.rlike("(?s)<h1[^>]*>[^<]*500"), "ERROR")
-        .when(html.rlike("""id=["']cf-challenge""") | F.contains(low, F.lit("please verify you are a human")), "CAPTCHA_CHALLENGE")
-        .when(html.rlike(r"""<div[^>]*class=["'](sold-out-banner|empty-state)\b""") | low.rlike("all flights sold out|no flights found"), "NO_RESULTS")
-    )
-    pages = df.withColumn("_state", state).withColumn("_quotes", F.when(F.col("_state").isNull(), quotes))
-    drift = F.when(F.size(card) + F.size(row) > 0, "SELECTOR_DRIFT").otherwise("NO_RESULTS")
-    final = F.coalesce("_state", F.when(F.size("_quotes") > 0, "SUCCESS").otherwise(drift))
-    return pages.withColumn("state", final).withColumn("quotes", F.coalesce("_quotes", F.array())).drop("_state", "_quotes")
+    """df with `state` and `quotes` of each page: page_quotes, with a page's quotes in one array. Pages are told apart by all columns of df; a page's own quotes are all that a row holds."""
+    each = page_quotes(df.withColumn("_page", F.monotonically_increasing_id()), html_col)
+    quote = F.struct("place", "carrier", "airline", "flight", "fare", "base", "taxes", "dep_time", "arr_time")
+    found = each.groupBy("_page").agg(*[F.first(c).alias(c) for c in df.columns], F.first("state").alias("state"), F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), quote))).alias("quotes"))
+    return found.drop("_page")

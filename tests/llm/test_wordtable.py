@@ -22,7 +22,10 @@ def plain(rows):
 
 
 def found(df):
-    return [tuple(r) for r in wordtable.digest(wordtable.decode(wordtable.encode(df, PATH), PATH)).collect()]
+    apart, at_once = wordtable.decode(wordtable.encode(df, PATH), PATH), wordtable.encode(df, PATH, with_text=True)
+    rows = [tuple(r) for r in wordtable.digest(at_once).collect()]
+    same([tuple(r) for r in wordtable.digest(apart).collect()], rows)
+    return rows
 
 
 @pytest.mark.parametrize("size", [wordtable.CHUNK_BYTES, 300])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -127,6 +128,14 @@ def map_chunks(df: DataFrame, text_col: str, schema: str, work: Callable[[pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Hands memory that a task no longer holds back to the system: its worker lives on, and others need room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes in one array, and the offsets of its texts (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -71,8 +71,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = wordtable.encode(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
-    return wordtable.digest(wordtable.decode(encoded, WORD_TOKENIZER))
+    return wordtable.digest(wordtable.encode(table(spark, sf_dir, "documents"), WORD_TOKENIZER, with_text=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

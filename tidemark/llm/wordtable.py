@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -10,19 +11,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import hashing
-from tidemark.llm.common import BLANKS, chunks, n_ranges, shared_dir, ship, text_of, utf8
+from tidemark.llm.common import BLANKS, chunks, give_back, n_ranges, shared_dir, ship, text_of, utf8
 from tidemark.llm.tokens import _open
 
 #: Bytes of text that share one list of distinct words. A longer text has its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes of text for each bucket of words. The distinct words of a bucket are held by one task at a time.
 BUCKET_BYTES = 32 << 20
 #: Words and ids that a task encodes or joins at once.
-STEP = 1 << 14
+STEP = 1 << 11
 
 _BLANK = np.isin(np.arange(256), np.frombuffer(BLANKS.encode(), np.uint8))
 
@@ -37,16 +39,21 @@ def split_words(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     starts[1:] &= ~solid[:-1] | edge[1:-1]
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    spelled = np.concatenate([[0], np.cumsum(ends - starts)])
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(spelled), pa.py_buffer(data[solid]))
-    return words.dictionary_encode(), np.searchsorted(starts, offsets)
+    starts = np.flatnonzero(starts)
+    firsts = np.searchsorted(starts, offsets)
+    spelled = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.flatnonzero(ends) + 1 - starts, out=spelled[1:])
+    del starts, ends, edge
+    words = pa.LargeStringArray.from_buffers(len(spelled) - 1, pa.py_buffer(spelled), pa.py_buffer(data[solid]))
+    return words.dictionary_encode(), firsts
 
 
 def _buckets(words: pa.Array, n: int) -> np.ndarray:
-    data, offsets = utf8(words)
-    p = hashing.prefix(hashing.TABLE[data])
-    return (hashing.ranges(p, offsets[:-1], offsets[1:]) % np.uint64(n)).astype(np.int64)
+    out = np.empty(len(words), np.int32)
+    for i in range(0, len(words), 8 * STEP):
+        data, offsets = utf8(words.slice(i, 8 * STEP))
+        out[i : i + 8 * STEP] = hashing.ranges(hashing.prefix(hashing.TABLE[data]), offsets[:-1], offsets[1:]) % np.uint64(n)
+    return out
 
 
 def _deal(words: pa.DictionaryArray, n: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +62,7 @@ def _deal(words: pa.DictionaryArray, n: int) -> tuple[pa.Array, np.ndarray, np.n
     bucket = _buckets(distinct, n)
     order = pc.sort_indices(pa.table({"b": bucket, "w": distinct}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
     by_count = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
-    rank, place = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+    rank, place = np.empty(len(distinct), np.int32), np.empty(len(distinct), np.int32)
     rank[by_count], place[order] = np.arange(len(distinct)), np.arange(len(distinct))
     return distinct.take(pa.array(order)), bucket[order], rank[codes], place[by_count]
 
@@ -65,11 +72,26 @@ def _lists(ends: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 _POSITIONS = ["id", "ranks"]
+_libraries: dict[str, object] = {}
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _library(path: str):
+    """The worker's tokenizer for a file: without threads of its own, whose memory would stay with each of them."""
+    if path not in _libraries:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _libraries[path] = Tokenizer.from_file(path)
+        _libraries[path].no_truncation()
+        _libraries[path].no_padding()
+    return _libraries[path]
+
+
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row of docs its id column and `ids`: binary, the ids as little-endian unsigned 32-bit integers, without special tokens.
 
+    with_text: and `decoded`, as decode() has it; the tasks that put ids together join them with their pieces as well.
+
     Ids are those of the tokenizers library for the whole text. That holds for tokenizers
     whose pieces hold no blank, as when white space is dropped; others are refused.
 
@@ -96,6 +118,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     to = shared_dir(spark, "word-positions")
     wide = tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
     kind = "<u4" if wide else "<u2"
+    sent = _send_pieces(spark, tokenizer_path) if with_text else None
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, out, group = f"{to}/{uuid.uuid4().hex}.parquet", None, 0
@@ -117,20 +140,20 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     names=["path", "part", "bucket", "words"],
                 )
                 group += 1
+                del words, firsts, spelled, bucket, ranks, places, ids, table, rows
+                give_back()
         if out is not None:
             out.close()
             stream.close()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        at, known = None, {}
+        tokenizer, at, known = _library(tokenizer_path), None, {}
         for batch in batches:
             for row in range(batch.num_rows):
                 path, part, bucket, words = (batch.column(x)[row].as_py() for x in ("path", "part", "bucket", "words"))
                 if bucket != at:
                     at, known = bucket, {}
+                    give_back()
                 words = words.split("\n") if words else []
                 new = [x for x in words if x not in known]
                 for i in range(0, len(new), STEP):
@@ -138,9 +161,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     known.update(zip(step, (np.array(x.ids, kind).tobytes() for x in tokenizer.encode_batch(step, add_special_tokens=False))))
                 ids = [known[x] for x in words]
                 sizes = np.fromiter(map(len, ids), "<u4", len(ids)) // np.dtype(kind).itemsize
+                short = not len(sizes) or sizes.max() < 256
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([part], pa.int32()), pa.array([bucket], pa.int32()), pa.array([sizes.astype("<u4").tobytes()], pa.binary()), pa.array([b"".join(ids)], pa.binary())],
-                    names=["path", "part", "bucket", "sizes", "ids"],
+                    [pa.array([path]), pa.array([part], pa.int32()), pa.array([bucket], pa.int32()), pa.array([short]), pa.array([sizes.astype("<u1" if short else "<u4").tobytes()], pa.binary()), pa.array([b"".join(ids)], pa.binary())],
+                    names=["path", "part", "bucket", "short", "sizes", "ids"],
                 )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +176,13 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     yield from _texts(at, held)
                     held = []
                 at = key
-                held.append((batch.column("sizes")[row].as_py(), batch.column("ids")[row].as_py()))
+                sizes = np.frombuffer(batch.column("sizes")[row].as_py(), "<u1" if batch.column("short")[row].as_py() else "<u4")
+                held.append((sizes.astype(np.int64), batch.column("ids")[row].as_py()))
         if held:
             yield from _texts(at, held)
 
-    def _texts(key: tuple[str, int], held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        sizes = np.frombuffer(b"".join(x[0] for x in held), "<u4").astype(np.int64)
+    def _texts(key: tuple[str, int], held: list[tuple[np.ndarray, bytes]]) -> Iterator[pa.RecordBatch]:
+        sizes = np.concatenate([x[0] for x in held])
         ids = np.frombuffer(b"".join(x[1] for x in held), kind).astype("<u4")
         starts = np.cumsum(sizes) - sizes
         with _open(key[0], "r") as file:
@@ -173,15 +198,46 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             found = ids[np.repeat(starts[at] - n_ids[:-1], sizes[at]) + np.arange(n_ids[-1])]
             cuts = n_ids[ends[row : to + 1] - ends[row]]
             values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - row, [None, pa.py_buffer(4 * cuts), pa.py_buffer(found)])
-            yield pa.RecordBatch.from_arrays([table.column("id").chunk(0).slice(row, to - row), values.cast(pa.binary())], names=["id", "ids"])
+            columns = [table.column("id").chunk(0).slice(row, to - row), values.cast(pa.binary())]
+            if with_text:
+                columns.append(_spelled(_pieces(sent, tokenizer_path), found, cuts))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][: len(columns)])
             row = to
+        give_back()
 
     ship(spark)
     id_type = slim.schema["id"].dataType.simpleString()
-    lists = slim.mapInArrow(positions, "path string, part int, bucket int, words string").repartition(n, "bucket").sortWithinPartitions("bucket")
-    known = lists.mapInArrow(encoded, "path string, part int, bucket int, sizes binary, ids binary")
+    lists = slim.mapInArrow(positions, "path string, part int, bucket int, words string").repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket")
+    known = lists.mapInArrow(encoded, "path string, part int, bucket int, short boolean, sizes binary, ids binary")
     back = known.repartition(n, "path", "part").sortWithinPartitions("path", "part", "bucket")
-    return back.mapInArrow(joined, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
+    return back.mapInArrow(joined, f"id {id_type}, ids binary" + ", decoded string" * with_text).withColumnRenamed("id", id_col)
+
+
+def _send_pieces(spark: SparkSession, tokenizer_path: str) -> Broadcast:
+    """The piece table for every task, as long as the vocabulary. The last piece stands for ids beyond it."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        if json.load(file).get("decoder"):
+            raise ValueError("this tokenizer's file names a decoder; only plain pieces are joined")
+    return spark.sparkContext.broadcast([*pieces(tokenizer_path), None])
+
+
+_tables: dict[str, pa.Array] = {}
+
+
+def _pieces(sent: Broadcast, tokenizer_path: str) -> pa.Array:
+    """The pieces as bytes with a blank behind each; those of no id are empty."""
+    if tokenizer_path not in _tables:
+        _tables[tokenizer_path] = pa.array([b"" if x is None else x.encode() + b" " for x in sent.value], pa.large_binary())
+    return _tables[tokenizer_path]
+
+
+def _spelled(table: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Texts of ids[cuts[i]:cuts[i + 1]]: each id's piece, joined by blanks."""
+    found = table.take(pa.array(np.minimum(ids, len(table) - 1).astype(np.int64)))
+    ends = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] if len(found) else np.zeros(1, np.int64)
+    data = memoryview(found.buffers()[2]) if len(found) and found.buffers()[2] is not None else b""
+    edges = ends[cuts].tolist()
+    return pa.array([str(data[a : b - 1], "utf-8") if b > a else "" for a, b in zip(edges, edges[1:])], pa.string())
 
 
 def pieces(tokenizer_path: str) -> list[str | None]:
@@ -204,30 +260,20 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", to_col
     blank between pieces; others are refused. Ids that the vocabulary lacks are left out, as the library
     does. Null ids give an empty text. A column of the name to_col is replaced.
     """
-    with open(tokenizer_path, encoding="utf-8") as file:
-        if json.load(file).get("decoder"):
-            raise ValueError("this tokenizer's file names a decoder; only plain pieces are joined")
-    spark = encoded.sparkSession
-    sent = spark.sparkContext.broadcast([*pieces(tokenizer_path), None])  # the last stands for ids beyond the vocabulary
+    sent = _send_pieces(encoded.sparkSession, tokenizer_path)
     names = [c for c in encoded.columns if c != to_col]
     schema = encoded.select(*names).schema.add(to_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        spelled = pa.array([b"" if x is None else x.encode() + b" " for x in known], pa.large_binary())
         for batch in batches:
             for part in chunks(batch, ids_col):
                 column = part.column(ids_col).cast(pa.large_binary()).fill_null(b"")
                 cuts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
-                ids = np.frombuffer(column.buffers()[2] or b"", "<u4")[cuts[0] : cuts[-1]] if cuts[-1] > cuts[0] else np.zeros(0, "<u4")
-                found = spelled.take(pa.array(np.minimum(ids, len(known) - 1).astype(np.int64)))
-                ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
-                data = found.buffers()[2].to_pybytes() if len(found) else b""
-                edges = ends[cuts - cuts[0]].tolist()
-                texts = [data[a : b - 1].decode() if b > a else "" for a, b in zip(edges, edges[1:])]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(texts, pa.string())], names=[*names, to_col])
+                ids = np.frombuffer(column.buffers()[2], "<u4")[cuts[0] : cuts[-1]] if cuts[-1] > cuts[0] else np.zeros(0, "<u4")
+                texts = _spelled(_pieces(sent, tokenizer_path), ids, cuts - cuts[0])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], texts], names=[*names, to_col])
 
-    ship(spark)
+    ship(encoded.sparkSession)
     return encoded.mapInArrow(run, schema)
 
 

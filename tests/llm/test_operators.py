@@ -306,6 +306,20 @@ def test_encoder_equals_library():
         assert enc.encode(text) == ids_of(text, 0)[:-1].tobytes(), repr(text)
 
 
+def test_encoder_equals_library_on_every_character():
+    enc = tokens.Encoder(queries.TOKENIZER)
+    of = lambda c: f"a{c}'s{c}1 {c}"
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = [c for c in every if enc.odd.search(c)]
+    assert odd and all(enc.encode(of(c)) == ids_of(of(c), 0)[:-1].tobytes() for c in odd)
+    plain = [c for c in every if not enc.odd.search(c)]
+    for i in range(0, len(plain), 4096):
+        text = "\n".join(map(of, plain[i : i + 4096]))
+        assert enc.encode(text) == ids_of(text, 0)[:-1].tobytes(), hex(ord(plain[i]))
+    for text in ("end\u0558's", "a\u088f's done", "x\ua7ce't"):
+        assert enc.encode(text) == ids_of(text, 0)[:-1].tobytes()
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 21, 32])
 def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 999, dtype=np.uint64).astype("<u4")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import chunks, n_ranges, row_key, ship, stage
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import doubtful, encoder
 
 DIMENSIONS, ORDER = 4, 12
 #: Ids of a piece that is dealt and sorted as one row: long documents weigh by their length.
@@ -97,12 +97,12 @@ def pack(
     """
     k1, k2 = row_key(docs, id_col, text_col)
     slim = docs.select(docs[id_col].alias("_id"), k1, k2, docs[text_col].cast("string").alias("_text"))
-    kind = dict(slim.dtypes)["_id"]
+    kind, odd = dict(slim.dtypes)["_id"], doubtful(tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, directions = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), _directions(1 << 14)
+        enc, end, directions = encoder(tokenizer_path, odd), np.array([end_id], "<u4").tobytes(), _directions(1 << 14)
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in chunks(batch, "_text"):

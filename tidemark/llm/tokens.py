@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import uuid
@@ -22,9 +23,6 @@ from tidemark.llm.common import chunks, n_ranges, shared_dir, ship, stage, text_
 CACHE_WORDS = 300_000
 
 _BLANK_RUNS = re.compile(r"(\s\s+)")
-#: Blanks for Python's patterns but not for the tokenizer's.
-_DOUBTFUL = re.compile("[\x1c-\x1f]")
-
 
 # Fixed values of byte-level tokenizers: the pattern of their pieces, and the characters that stand for bytes.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -32,6 +30,43 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _STAND_INS = dict(zip(_PLAIN, _PLAIN)) | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 
 
+def _by_word(spec: dict) -> bool:
+    pre = spec.get("pre_tokenizer") or {}
+    return pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+
+
+@functools.lru_cache(maxsize=8)
+def doubtful(path: str) -> str:
+    """The characters that a byte-level tokenizers file takes for another class than the patterns here do, as ranges of a character class.
+
+    Letters, numbers, blanks and the rest: the library's tables are of another version of Unicode than Python's and the regex
+    module's, and which characters differ changes with what is installed. So the library itself is asked, about all of
+    them, once: those that the patterns take for one class stand in one text, which the library splits where it disagrees.
+    Takes about three seconds; done on the driver and sent to the tasks.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        if not _by_word(json.load(file)):
+            return ""
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    alone = lambda text: len(split(text)) == 1
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    blanks = {c for pattern in (re.compile(r"\s"), regex.compile(r"\s")) for c in pattern.findall(every)}
+    odd = {c for c in blanks if not re.match(r"\s", c) or not regex.match(r"\s", c) or any(alone(x + c) for x in "a1!") or not alone(c + c)}
+    rest = every.translate(dict.fromkeys(map(ord, blanks)))
+    for pattern, known in ((r"\p{L}+", "a"), (r"\p{N}+", "1"), (r"[^\p{L}\p{N}]+", "!")):
+        own = "".join(regex.findall(pattern, rest))
+        for _, (start, end) in split(own):
+            if not alone(known + own[start]):
+                odd.update(own[start:end])
+    odd.update(c for c in rest if c.isalpha() and not regex.match(r"\p{L}", c))
+    codes = np.array(sorted(map(ord, odd)), np.int64)
+    first = np.flatnonzero(np.diff(codes, prepend=-2) > 1)
+    last = np.append(first[1:] - 1, len(codes) - 1)
+    return "".join(f"\\U{codes[a]:08x}-\\U{codes[b]:08x}" for a, b in zip(first, last)) if len(codes) else ""
+
+
 class _Words(dict):
     """Ids of words as little-endian 32-bit bytes. Full, it becomes the old half and a new one starts."""
 
@@ -56,19 +91,18 @@ class Encoder:
     feed between non-blanks; of a longer run of blanks it splits off the last one, and that
     joins the next word if it is a space. So words and runs can be split into pieces by
     themselves, and the tokenizer's model encodes each new piece. Texts with an added token's
-    string are encoded in one call; so are all texts for tokenizers of another kind.
+    string or a character of `odd` (see doubtful) are encoded in one call; so are all texts for tokenizers of another kind.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: str | None = None):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = (
-            pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        )
+        self.by_word = _by_word(spec)
+        odd = doubtful(path) if odd is None else odd
+        self.odd = re.compile(f"[{odd}]") if odd else re.compile(r"(?!)")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.first, self.later = _Words(self._word, ""), _Words(self._word, " ")
 
@@ -93,7 +127,7 @@ class Encoder:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.by_word or _DOUBTFUL.search(text) or any(x in text for x in self.added):
+        if not self.by_word or self.odd.search(text) or any(x in text for x in self.added):
             return self.whole(text)
         first, out, lead = self.first, [], False
         parts = _BLANK_RUNS.split(text)
@@ -126,10 +160,10 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, odd: str) -> Encoder:
     """The worker's encoder for a file; its words stay for the next tasks."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, odd)
     return _encoders[path]
 
 
@@ -270,13 +304,14 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     bits = max(1, int(max(vocabulary_size(tokenizer_path) - 1, end_id)).bit_length())
     kind = "long" if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint") else "string"
     slim = docs.select(docs[id_col].cast(kind).alias("_id"), text_of(docs, text_col).alias("_text"))
+    odd = doubtful(tokenizer_path)
     # rows of one id are dealt by the text's first characters, which keep the order of texts
     dealt = slim.repartitionByRange(n_ranges(slim, F.octet_length("_text")), "_id", F.substring("_text", 1, 64)).sortWithinPartitions("_id", "_text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, enc, out = TaskContext.get().partitionId(), encoder(tokenizer_path), None
+        shard, enc, out = TaskContext.get().partitionId(), encoder(tokenizer_path, odd), None
         path = f"{to}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.ids"
         end = np.array([end_id], "<u4")
         for batch in batches:

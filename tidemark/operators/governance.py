@@ -73,14 +73,47 @@ def provenance_guard(df: DataFrame, by: list[str], type_col: str, method_col: st
     return found.withColumn("refusal", mixed)
 
 
-def registry_errors(registry: DataFrame) -> DataFrame:
-    """A row for each fault of each registered source: name, fault."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+# How sources may be acquired and what permission they may have, in the order that messages name them; those that need a budget and a contact.
+METHODS = ["API", "OFFLINE_FIXTURE", "SIMULATED", "WEB_SCRAPE"]
+STATUSES = ["APPROVED", "AVAILABLE_AFTER_FREE_REGISTRATION", "EXPIRED", "NON_EMPIRICAL", "PENDING", "PENDING_FORMAL_REVIEW", "PROHIBITED_WITHOUT_PERMISSION"]
+LIVE_STATUSES = ["APPROVED", "AVAILABLE_AFTER_FREE_REGISTRATION"]
+REGISTRY = """struct<registry_version: string, sources: array<struct<source_id: string, display_name: string, operator: string, acquisition_method: string, permission_status: string,
+  maximum_requests_per_day: double, contact: string>>>"""
+
+
+def registry_errors(documents: DataFrame, text_col: str) -> DataFrame:
+    """A row for each fault of each registry document (JSON): documents' other columns, `at` (the source's place, null for faults of the whole) and `error`.
+
+    A document that is no object has that fault alone; one without sources has no faults of sources. A row of the
+    registry is one source, so a document's sources are exploded, not held. Empty texts are missing ones, as nulls are.
+    """
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
+    shown = lambda c: F.coalesce(c, F.lit("None"))
+    named = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    keys = [c for c in documents.columns if c != text_col]
+    # what is no JSON object is no dictionary
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text_col)).startswith("OBJECT"), F.lit(False))
+    doc = documents.select(*keys, is_object.alias("_object"), F.from_json(text_col, REGISTRY, {"mode": "PERMISSIVE"}).alias("_doc"))
+    empty = F.coalesce(F.size("_doc.sources"), F.lit(0)) <= 0
+    root = F.when(~F.col("_object"), F.array(F.lit("Registry root must be a YAML dictionary"))).otherwise(
+        F.array_compact(F.array(F.when(none(F.col("_doc.registry_version")), "Missing required 'registry_version'"), F.when(empty, "Registry must contain a non-empty 'sources' list")))
+    )
+    of_root = doc.select(*keys, F.lit(None).cast("int").alias("at"), F.explode(root).alias("error"))
+    each = doc.filter("_object").select(*keys, F.posexplode("_doc.sources").alias("at", "_s"))
+    s = lambda c: F.col("_s")[c]
+    prefix = F.concat(F.lit("sources["), F.col("at").cast("string"), F.lit("]"))
+    own = lambda *parts: F.concat(prefix, F.lit(" ("), shown(s("source_id")), F.lit("): "), *parts)
+    budget = F.coalesce(s("maximum_requests_per_day"), F.lit(0.0))
+    live = (budget >= 0) & F.coalesce(s("permission_status").isin(LIVE_STATUSES), F.lit(False))
+    wrong = lambda c, known: F.when(~F.coalesce(s(c).isin(known), F.lit(False)), own(F.lit(f"invalid {c} '"), shown(s(c)), F.lit(f"', must be one of {named(known)}")))
     faults = F.array_compact(F.array(
-        F.when(blank("name"), "name is missing"), F.when(~F.coalesce(F.col("source_type").isin("live", "offline", "simulated"), F.lit(False)), "unknown source_type"),
-        F.when(F.coalesce(F.col("per_day"), F.lit(-1)) < 0, "per_day is negative or missing"), F.when((F.col("source_type") == "live") & blank("contact"), "live source without contact"),
+        *[F.when(none(s(c)), F.concat(prefix, F.lit(f": missing '{c}'"))) for c in ("source_id", "display_name", "operator")],
+        wrong("acquisition_method", METHODS), wrong("permission_status", STATUSES),
+        F.when(budget < 0, own(F.lit("maximum_requests_per_day cannot be negative"))),
+        F.when(live & (budget <= 0), own(F.lit("maximum_requests_per_day must be > 0"))),
+        F.when(live & none(s("contact")), own(F.lit("contact information is required"))),
     ))
-    return registry.select("name", F.explode(faults).alias("fault"))
+    return of_root.unionByName(each.select(*keys, "at", F.explode(faults).alias("error")))
 
 
 def run_status(attempts: DataFrame, by: list[str]) -> DataFrame:

@@ -157,8 +157,8 @@ ORACLE = {
     "price_clusters": """WITH c AS (SELECT p_partkey AS k, ['DEL', 'BOM', 'CCU'][p_partkey % 3 + 1] AS origin, p_partkey // 50 AS page,
     concat_ws(chr(10), ['IndiGo', 'Air India Express', 'Air India', 'SpiceJet', 'Vistara', 'Akasa Air', 'Nobody'][p_partkey % 7 + 1], format('{}:{:02d}', p_partkey % 12 + 1, p_partkey % 60) || chr(8239) || ['AM', 'PM'][p_partkey % 2 + 1],
       '2 hr', ['Nonstop', '1 stop', 'non-stop'][p_partkey % 3 + 1], '₹' || chr(160) || format('{:,}', floor(p_retailprice)::BIGINT * [1, 4, 90, 5][p_partkey % 4 + 1])) AS card FROM part),
-  t AS (SELECT origin, page, string_split(string_agg(card, chr(10) ORDER BY k), chr(10)) AS lines FROM c GROUP BY ALL), l AS (SELECT *, unnest(range(len(lines))) AS at FROM t)
-  SELECT origin, page, at::INTEGER AS at, array_to_string(lines[greatest(at - 3, 1):at + 5], chr(10)) AS block FROM l WHERE contains(lines[at + 1], '₹')""",
+  t AS (SELECT origin, page, string_split(string_agg(card, chr(10) ORDER BY k), chr(10)) AS lines FROM c GROUP BY ALL), l AS (SELECT *, unnest(range(len(lines))) AS i FROM t)
+  SELECT origin, page, i::INTEGER AS "at", array_to_string(lines[greatest(i - 3, 1):i + 5], chr(10)) AS block FROM l WHERE contains(lines[i + 1], '₹')""",
     "rpc_quotes": """WITH p AS (SELECT p_partkey AS k, ['DEL', 'BOM', 'CCU'][p_partkey % 3 + 1] AS origin, ['DEL', 'BOM', 'CCU'][p_partkey % 3 + 1] || '-' || (p_partkey // 50) AS page, (p_partkey // 50) % 3 = 0 AS cards,
     ['6E', 'AI', 'SG', 'AI', NULL, 'QP'][p_partkey % 6 + 1] AS carrier, (floor(p_retailprice)::BIGINT * [1, 4, 90, 5][p_partkey % 4 + 1])::DOUBLE AS fare, ['Nonstop', '1 stop', 'non stop'][p_partkey % 3 + 1] AS told,
     format('{}:{:02d} AM', p_partkey % 12 + 1, p_partkey % 60) AS dep_time, format('{}:{:02d} PM', (p_partkey + 3) % 12 + 1, p_partkey % 60) AS arr_time FROM part

@@ -23,14 +23,6 @@ def provenance_guard(spark, d):
     return gov.provenance_guard(quotes(spark, d), ["route_id", "horizon", "product"], "source_type", "method")
 
 
-def registry_validation(spark, d):
-    s = read(spark, d, "supplier")
-    key = F.col("s_suppkey")
-    kind = F.element_at(F.array(F.lit("live"), F.lit("offline"), F.lit("other")), (key % 3 + 1).cast("int"))
-    name = F.when(key % 5 == 0, " ").otherwise(F.col("s_name"))
-    return gov.registry_errors(s.select(name.alias("name"), kind.alias("source_type"), (key % 7 - 1).alias("per_day"), F.when(key % 4 != 0, "mail").alias("contact"))).groupBy("fault").agg(F.count("*").alias("n"))
-
-
 def observation_scan(spark, d):
     found = observations(quotes(spark, d), "1996-02-01", "1997-06-30", [1, 2, 3, 8], [7, 30], True, "N")
     return found.select(*SEEN).withColumn("fare", F.round("fare", 6))
@@ -217,7 +209,7 @@ def envelopes(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        provenance_guard, registry_validation, observation_scan, observation_latest, headline_rows, national_latest, national_changes, uncertainty_bands, match_quality, route_extremes,
+        provenance_guard, observation_scan, observation_latest, headline_rows, national_latest, national_changes, uncertainty_bands, match_quality, route_extremes,
         routes_by_weight, route_search, series_span, value_before, runs_newest, runs_tail, run_counters, usable_by_route, anomaly_counts, corridor_benchmark, seasonal_passthrough, bulletin,
         normalized_fares, reject_summary, text_helpers, host_spacing, validator_state, captured_pages, envelopes,
     )
@@ -233,9 +225,6 @@ ORACLE = {
     "provenance_guard": f"""WITH {QUOTES_SQL}, g AS (SELECT route_id, horizon, product, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS source_type,
   string_agg(DISTINCT method, ',' ORDER BY method) AS method FROM quotes GROUP BY ALL)
   SELECT *, CASE WHEN source_type LIKE '%,%' THEN 'mixed_provenance' WHEN method LIKE '%,%' THEN 'MIXED_ACQUISITION_METHODS' END AS refusal FROM g""",
-    "registry_validation": """WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT fault, count(*) AS n FROM (
-  SELECT 'name is missing' AS fault FROM s WHERE k % 5 = 0 UNION ALL SELECT 'unknown source_type' FROM s WHERE k % 3 = 2
-  UNION ALL SELECT 'per_day is negative or missing' FROM s WHERE k % 7 = 0 UNION ALL SELECT 'live source without contact' FROM s WHERE k % 3 = 0 AND k % 4 = 0) GROUP BY fault""",
     "observation_scan": f"""WITH {QUOTES_SQL} SELECT route_id, horizon, day, round(fare, 6) AS fare, order_id, line_no FROM valid
   WHERE day BETWEEN '1996-02-01' AND '1997-06-30' AND route_id IN (1, 2, 3, 8) AND horizon IN (7, 30) AND source_type = 'N'""",
     "observation_latest": f"WITH {QUOTES_SQL} SELECT route_id, horizon, day, round(fare, 6) AS fare, order_id, line_no FROM valid ORDER BY day DESC, order_id DESC, line_no DESC, valid.fare DESC LIMIT 50",

@@ -143,9 +143,9 @@ SELECT batch, route_id, day, previous, level AS new, CASE WHEN previous IS NULL
   HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY FROM events)""",
     "rate_limit_recursive": """WITH RECURSIVE line AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
   walk AS (
-    SELECT 0::BIGINT AS k, user_id, NULL::BIGINT AS event_id, false AS admitted, []::BIGINT[] AS held FROM line WHERE k = 1
+    SELECT 0::BIGINT AS k, user_id, NULL::BIGINT AS event_id, false AS admitted, 0::BIGINT AS retry_after, []::BIGINT[] AS held FROM line WHERE k = 1
     UNION ALL
-    SELECT k, user_id, event_id, len(near) < 3, CASE WHEN len(near) < 3 THEN list_append(near, t) ELSE near END FROM (
+    SELECT k, user_id, event_id, len(near) < 3, CASE WHEN len(near) < 3 THEN 0 ELSE greatest(1, CAST(ceil((near[1] + 86400000000 - t) / 1000000) AS BIGINT)) END, CASE WHEN len(near) < 3 THEN list_append(near, t) ELSE near END FROM (
       SELECT line.k, line.user_id, line.event_id, line.t, list_filter(walk.held, lambda x: x > line.t - 86400000000) AS near FROM walk JOIN line ON line.user_id = walk.user_id AND line.k = walk.k + 1)
-  ) SELECT event_id, user_id, admitted FROM walk WHERE k > 0""",
+  ) SELECT event_id, user_id, admitted, retry_after FROM walk WHERE k > 0""",
 }

@@ -162,7 +162,9 @@ def fenced(events: DataFrame, key: str = "event_type", value: str = "value", eve
 def limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Batch admission by a trailing window where rejected events take no slot: each verdict depends on those before it.
 
-    Rows are sorted by Spark; a task holds the admitted times of its current user, `limit` at most.
+    `retry_after`: whole seconds, one at least, until the oldest slot is free again; 0 for the admitted. A limit or window
+    that is not positive admits nothing and says to come back in a minute. Rows are sorted by Spark; a task holds
+    the admitted times of its current user, `limit` at most.
     """
     dealt = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
 
@@ -171,15 +173,16 @@ def limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 
         current, taken = None, deque()
         for frame in frames:
-            out = []
+            out, waits = [], []
             for user, at in zip(frame["user_id"], frame["at"]):
                 if user != current:
                     current, taken = user, deque()
                 while taken and taken[0] <= at - seconds * 1_000_000:
                     taken.popleft()
-                out.append(len(taken) < limit)
+                out.append(len(taken) < limit and seconds > 0)
                 if out[-1]:
                     taken.append(at)
-            yield frame.assign(admitted=out)[["event_id", "user_id", "admitted"]]
+                waits.append(0 if out[-1] else 60 if limit <= 0 or seconds <= 0 else max(1, -((at - taken[0] - seconds * 1_000_000) // 1_000_000)))
+            yield frame.assign(admitted=out, retry_after=waits)[["event_id", "user_id", "admitted", "retry_after"]]
 
-    return dealt.mapInPandas(run, "event_id long, user_id long, admitted boolean")
+    return dealt.mapInPandas(run, "event_id long, user_id long, admitted boolean, retry_after long")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import analytics, cleaning, governance, index, listings, pages, reads, records, streams
+from tidemark.plans import analytics, cleaning, governance, index, listings, pages, reads, records, stores, streams
 
-_PLANS = (index, cleaning, analytics, governance, reads, records, pages, streams, listings)
+_PLANS = (index, cleaning, analytics, governance, reads, records, pages, streams, listings, stores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

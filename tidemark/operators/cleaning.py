@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import medians
 from tidemark.sources.store import ship
 
 FARE_MIN, FARE_MAX, MAX_CHANGE_PCT = 500.0, 80000.0, 300.0
@@ -52,8 +53,8 @@ def exclusion(fare: Column) -> Column:
 
 def prior_day_medians(df: DataFrame, key: list[str], day: str, value: str) -> DataFrame:
     """Per key and day: the median, and that of the latest earlier day."""
-    medians = df.groupBy(*key, day).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count("*").alias("n"))
-    return medians.withColumn("prior_median", F.lag("median").over(Window.partitionBy(*key).orderBy(day)))
+    middle = medians(df, [*key, day], value)
+    return middle.withColumn("prior_median", F.lag("median").over(Window.partitionBy(*key).orderBy(day)))
 
 
 def change_flag(value: Column, prior: Column, limit: float = MAX_CHANGE_PCT) -> Column:
@@ -155,7 +156,7 @@ def diagnostics(state: DataFrame) -> DataFrame:
     return state.agg(F.count("*").alias("n_keys"), F.count_if(F.size("held") >= FENCE_LEAST).alias("n_ready"), F.coalesce(F.sum("withheld"), F.lit(0)).alias("n_withheld"))
 
 
-def newest_days(medians: DataFrame, key: list[str], day: str, most: int = DAYS_KEPT) -> DataFrame:
+def newest_days(levels: DataFrame, key: list[str], day: str, most: int = DAYS_KEPT) -> DataFrame:
     """Daily reference levels of each key's newest `most` days."""
     age = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(day)))
-    return medians.withColumn("_age", age).filter(F.col("_age") <= most).drop("_age")
+    return levels.withColumn("_age", age).filter(F.col("_age") <= most).drop("_age")

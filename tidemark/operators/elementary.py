@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import quantiles
+
 CELL = ["route_id", "horizon", "period"]
 CLIP_LOW, CLIP_HIGH = 0.1, 10.0
 WINSOR_LOW, WINSOR_HIGH, WINSOR_LEAST = 0.01, 0.99, 10
@@ -52,11 +54,13 @@ def clip(relative: Column) -> Column:
     return F.least(F.greatest(relative, F.lit(CLIP_LOW)), F.lit(CLIP_HIGH))
 
 
-def winsorized(pairs: DataFrame, by: list[str] = CELL, value: str = "relative") -> DataFrame:
-    """pairs with `value` held between its cell's 1st and 99th percentile where the cell has WINSOR_LEAST values."""
-    bounds = pairs.groupBy(*by).agg(
-        F.count("*").alias("n"), F.percentile(value, F.lit(WINSOR_LOW)).alias("_lo"), F.percentile(value, F.lit(WINSOR_HIGH)).alias("_hi")
-    )
+def winsorized(pairs: DataFrame, by: list[str] = CELL, value: str = "relative", grain: float = 0.001) -> DataFrame:
+    """pairs with `value` held between its cell's 1st and 99th percentile where the cell has WINSOR_LEAST values.
+
+    The percentiles come from counts (see order_statistics; grain is the width of its parts), so that a
+    cell of any size is spread over tasks.
+    """
+    bounds = quantiles(pairs, by, value, {"_lo": WINSOR_LOW, "_hi": WINSOR_HIGH}, grain)
     held = F.when(F.col("n") >= WINSOR_LEAST, F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))).otherwise(F.col(value))
     return pairs.join(bounds, by).withColumn(value, held).drop("_lo", "_hi")
 
@@ -88,7 +92,7 @@ def dutot(pairs: DataFrame, least: int = MIN_MATCHED) -> DataFrame:
 
 def geomean_ratio(prices: DataFrame, base: int, least: int = MIN_MATCHED) -> DataFrame:
     """The unmatched alternative: the ratio of geometric mean levels, each side winsorized by itself."""
-    levels = winsorized(prices, CELL, "price").groupBy(*CELL).agg(F.count("*").alias("n"), geomean(F.col("price")).alias("level"))
+    levels = winsorized(prices, CELL, "price", 1.0).groupBy(*CELL).agg(F.count("*").alias("n"), geomean(F.col("price")).alias("level"))
     old = levels.filter(F.col("period") == base).select("route_id", "horizon", F.col("n").alias("n_base"), F.col("level").alias("base_level"))
     new = levels.filter(F.col("period") > base)
     return new.join(old, ["route_id", "horizon"]).filter((F.col("n") >= least) & (F.col("n_base") >= least)).select(*CELL, "n", "n_base", (F.col("level") / F.col("base_level")).alias("index"))

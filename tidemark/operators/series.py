@@ -86,14 +86,14 @@ def latest_before(series: DataFrame, asked: DataFrame, key: list[str]) -> DataFr
     return seen.select(*key, "day", F.col("_hit.day").alias("found_day"), F.col("_hit.value").alias("found"))
 
 
-def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict) -> DataFrame:
+def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict, grain: float = 1.0) -> DataFrame:
     """Per group: `n` (rows with a value) and the values at ranks, each a function of the column n, counted from 0.
 
-    Rows are counted by distinct value, map-side first; the values' whole parts are summed up to
-    find where each rank lies, and only the values with that whole part are ordered: no task gets
+    Rows are counted by distinct value, map-side first; counts are summed up by parts of width `grain` to
+    find where each rank lies, and only the values of that part are ordered: no task gets
     a group's values whole.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c")).withColumn("_part", F.floor(value))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c")).withColumn("_part", F.floor(F.col(value) / grain))
     of = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     parts = counts.groupBy(*by, "_part").agg(F.sum("_c").alias("_t"))
     parts = parts.withColumn("_before", F.sum("_t").over(of.orderBy("_part")) - F.col("_t")).withColumn("n", F.sum("_t").over(of))
@@ -105,6 +105,16 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict) -> D
     return hit.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in ranks])
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float], grain: float = 1.0) -> DataFrame:
+    """Per group: `n` and the exact quantiles named in points, between the two nearest values in proportion."""
+    ranks = {}
+    for name, p in points.items():
+        ranks |= {f"_lo_{name}": lambda n, p=p: F.floor(p * (n - 1)), f"_hi_{name}": lambda n, p=p: F.ceil(p * (n - 1))}
+    found = order_statistics(df, by, value, ranks, grain)
+    between = lambda name, p: F.col(f"_lo_{name}") + (p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1))) * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
+    return found.select(*by, "n", *[between(name, p).alias(name) for name, p in points.items()])
+
+
 def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per group: `n` and the exact `median`, between the two middle values if there are two."""
     found = order_statistics(df, by, value, {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.ceil((n - 1) / 2)})

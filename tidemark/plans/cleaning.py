@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fares as fn
 from tidemark.operators import cleaning as cl
+from tidemark.sources.store import computed_once
 from tidemark.sources.tables import QUOTES_SQL, quotes, read
 
 FINGERPRINT = ["product", "month"]
@@ -52,8 +53,9 @@ def validated(spark, d):
     fare = F.when(F.col("order_id") % 7 == 0, F.col("fare") / 10).when(F.col("order_id") % 11 == 0, F.col("fare") * 20).otherwise(F.col("fare"))
     q = q.withColumn("fare", F.round(fare, 4))
     q = q.withColumn("base", F.round(F.col("fare") * (1 - F.col("discount") * 6), 4)).withColumn("taxes", F.round(F.col("fare") - F.col("base") + F.when(F.col("line_no") == 2, 1.5).otherwise(0.0), 4))
+    q = computed_once(q, ["fare", "base", "taxes"])
     flags = cl.rule_flags(F.col("fare"), F.col("base"), F.col("taxes"), F.col("horizon"), F.col("stops") == 1)
-    return q.withColumn("excluded", cl.exclusion(F.col("fare"))).withColumn("flags", flags)
+    return computed_once(q.withColumn("excluded", cl.exclusion(F.col("fare"))).withColumn("flags", flags), ["excluded", "flags"])
 
 
 def validate_rules(spark, d):
@@ -71,10 +73,6 @@ def flag_histogram(spark, d):
     return flags.join(F.broadcast(total), F.lit(True))
 
 
-def events(spark, d):
-    return read(spark, d, "events").withColumn("day", F.to_date("ts"))
-
-
 def prior_day_change(spark, d):
     """Valid fares by route and horizon against the median of the latest earlier day; each 19th quote is off by a factor."""
     factor = F.when(F.col("order_id") % 19 == 0, F.when(F.col("line_no") % 2 == 0, 6.0).otherwise(0.02)).otherwise(1.0)

@@ -30,6 +30,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with columns last, each computed once a row: what comes later, filters too, is not rewritten with their expressions in place of their names."""
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*columns))))
+
+
 def shared(spark: SparkSession) -> str:
     """The shared folder; a local one if none is set, which is an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -117,6 +122,18 @@ def register(known: DataFrame | None, told: DataFrame, key: str, at: str) -> Dat
     return every.groupBy(key).agg(F.min("first_seen").alias("first_seen"), F.max("last_updated").alias("last_updated"), latest).select(key, "_row.*", "first_seen", "last_updated")
 
 
+def publish_quotes(quotes: DataFrame, name: str, partition: str, keys: list[str], buckets: int) -> DataFrame:
+    """Stores quotes as table `name` in the shared folder, partitioned by a column and bucketed and sorted by keys, and reads it.
+
+    Scans skip the partitions that a filter, or a join with a small table of them, leaves out; joins and
+    groups on the keys need no shuffle. Each bucket is written by one task: a file a partition and bucket.
+    """
+    spark = quotes.sparkSession
+    dealt = quotes.repartition(buckets, *keys).sortWithinPartitions(partition, *keys)
+    dealt.write.mode("overwrite").option("path", f"{shared(spark)}/tables/{name}").partitionBy(partition).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def upsert(df: DataFrame, path: str, key: str, at: str) -> DataFrame:
     """The latest row of each key over the store and df; the store is to be replaced by it."""
     spark = df.sparkSession

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import cleaning as cl
 from tidemark.operators import elementary as el
 from tidemark.operators import series as sr
 from tidemark.plans import stores
@@ -56,6 +57,20 @@ def test_quantiles_by_counts(spark, grain):
         assert got[g].n == x.n and all(got[g][k] == pytest.approx(x[k], abs=1e-12) for k in points)
 
 
+@pytest.mark.parametrize("rows_a_block", [7, 40, 10**6])
+def test_fence_in_blocks_is_that_of_one_pass(spark, monkeypatch, rows_a_block):
+    """One key has more rows than a line holds; days are ties that the id breaks; blocks are smaller and larger than a line."""
+    monkeypatch.setattr(cl, "BLOCK_ROWS", rows_a_block)
+    r = random.Random(8)
+    made = [(r.choice(["hot"] * 8 + ["b", None]), i // 3, i, r.choice([None, float("nan")]) if r.random() < 0.05 else round(r.gauss(100, 3) * r.choice([1] * 15 + [2]), 1)) for i in range(900)]
+    df = spark.createDataFrame(made, "k string, day int, id int, v double").repartition(5)
+    told = lambda found: {x.id: (x.n_past, x.outlier) for x in found.collect()}
+    expected = told(cl.recursive_fence(df, ["k"], ["day", "id"], "v", keep_outliers=True))
+    assert told(cl.windowed_fence(df, ["k"], ["day", "id"], "v")) == expected
+    assert sum(o for _, o in expected.values()) > 10 and max(n for n, _ in expected.values()) == cl.FENCE_WINDOW
+    assert cl.windowed_fence(df.limit(0), ["k"], ["day", "id"], "v").count() == 0
+
+
 def test_columns_computed_once(spark):
     df = spark.range(5).withColumn("a", F.col("id") * 2)
     made = store.computed_once(df.withColumn("b", F.col("a") + 1), ["a", "b"]).filter("b > 3 and a < 8")

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import medians
-from tidemark.sources.store import ship
+from tidemark.sources.store import settle, ship
 
 FARE_MIN, FARE_MAX, MAX_CHANGE_PCT = 500.0, 80000.0, 300.0
 FENCE_K, FENCE_LEAST, FENCE_WINDOW = 3.0, 10, 500
 STATE_VERSION, DAYS_KEPT = 2, 90
+#: Rows of a block of a fence that keeps outliers.
+BLOCK_ROWS = 1_000_000
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -97,19 +99,8 @@ class Fence:
         bisect.insort(self.sorted, value)
 
 
-def recursive_fence(df: DataFrame, key: list[str], order: list[str], value: str, keep_outliers: bool = False, state: DataFrame | None = None) -> DataFrame:
-    """df with `n_past` and `outlier`: each value against the last clean values of its key before it.
-
-    Each verdict depends on those before it. With keep_outliers, outliers stay in later fences.
-    Rows of a key are sorted by Spark and streamed through one pass; a task holds the fence of
-    its current key, FENCE_WINDOW values, not the key's rows. Rows without a value are no
-    outliers. A key is judged by one task. Fences start from `state` (see export_fences) where it
-    has the key; state of another version is left out, and those fences start empty.
-    """
-    seeds = df.withColumn("_seed", F.lit(None).cast("int"))
-    if state is not None:
-        held = state.filter(F.col("version") == STATE_VERSION).select(*key, F.posexplode("held").alias("_seed", value))
-        seeds = seeds.unionByName(held, allowMissingColumns=True)
+def _judged(seeds: DataFrame, columns: list[tuple[str, str]], key: list[str], order: list[str], value: str, keep_outliers: bool) -> DataFrame:
+    """Rows without `_seed` judged in order after the key's seeds, which only fill its line."""
     dealt = seeds.repartition(*key).sortWithinPartitions(*key, F.col("_seed").asc_nulls_last(), *order)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,9 +117,51 @@ def recursive_fence(df: DataFrame, key: list[str], order: list[str], value: str,
                 out.append(fence.judge(x))
             yield frame[fresh].assign(n_past=past, outlier=out)
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", n_past long, outlier boolean"
-    ship(df.sparkSession)
-    return dealt.mapInPandas(run, schema)
+    ship(seeds.sparkSession)
+    return dealt.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in columns) + ", n_past long, outlier boolean")
+
+
+def windowed_fence(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
+    """recursive_fence with keep_outliers, where a verdict needs no earlier one: a key's line is cut into blocks that are judged apart.
+
+    Rows are dealt by range of key and order, BLOCK_ROWS a range about, and each block of a key in a range is
+    given the FENCE_WINDOW values before it, from the blocks that hold them. A key of any size spreads over
+    tasks. order must end in columns that tell rows apart; rows that it does not are in one range.
+    """
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BLOCK_ROWS))
+    dealt = df.repartitionByRange(ranges, *key, *order).sortWithinPartitions(*key, *order)
+    rows = settle(dealt.withColumn("_range", F.spark_partition_id()), "fence-blocks")
+    block = [*key, "_range"]
+    known = F.col(value).isNotNull() & ~F.isnan(value)
+    upto = F.sum("_n").over(Window.partitionBy(*key).orderBy("_range"))
+    counts = settle(rows.groupBy(*block).agg(F.count(F.when(known, 1)).alias("_n")).withColumn("_upto", upto), "fence-counts")  # a row a block
+    newest = F.row_number().over(Window.partitionBy(*block).orderBy(*[F.desc(c) for c in order]))
+    ends = rows.filter(known).withColumn("_back", newest).filter(F.col("_back") <= FENCE_WINDOW).drop("_back")
+    here = counts.select(*[F.col(c).alias(f"_own_{c}") for c in key], F.col("_range").alias("_to"), (F.col("_upto") - F.col("_n")).alias("_before"))
+    same = [F.col(f"_own_{c}").eqNullSafe(F.col(c)) for c in key]
+    # blocks whose values are not all pushed out by later ones before the block begins
+    given = counts.join(here, [*same, F.col("_range") < F.col("_to"), F.col("_before") - F.col("_upto") < FENCE_WINDOW]).select(*block, "_to")
+    pairs = given.select(*[F.col(c).alias(f"_own_{c}") for c in block], "_to")
+    held = ends.join(pairs, [F.col(f"_own_{c}").eqNullSafe(F.col(c)) for c in block]).drop(*[f"_own_{c}" for c in block])
+    seeds = held.drop("_range").withColumnRenamed("_to", "_range").withColumn("_seed", F.lit(0)).select(*rows.columns, "_seed")
+    found = _judged(rows.withColumn("_seed", F.lit(None).cast("int")).unionByName(seeds), rows.dtypes, block, order, value, True)
+    return found.drop("_range")
+
+
+def recursive_fence(df: DataFrame, key: list[str], order: list[str], value: str, keep_outliers: bool = False, state: DataFrame | None = None) -> DataFrame:
+    """df with `n_past` and `outlier`: each value against the last clean values of its key before it.
+
+    Each verdict depends on those before it. With keep_outliers, outliers stay in later fences.
+    Rows of a key are sorted by Spark and streamed through one pass; a task holds the fence of
+    its current key, FENCE_WINDOW values, not the key's rows. Rows without a value are no
+    outliers. A key is judged by one task. Fences start from `state` (see export_fences) where it
+    has the key; state of another version is left out, and those fences start empty.
+    """
+    seeds = df.withColumn("_seed", F.lit(None).cast("int"))
+    if state is not None:
+        held = state.filter(F.col("version") == STATE_VERSION).select(*key, F.posexplode("held").alias("_seed", value))
+        seeds = seeds.unionByName(held, allowMissingColumns=True)
+    return _judged(seeds, df.dtypes, key, order, value, keep_outliers)
 
 
 def export_fences(judged: DataFrame, key: list[str], order: list[str], value: str, state: DataFrame | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ def fence_quotes(spark, d):
 
 
 def iqr_window_fence(spark, d):
-    found = cl.recursive_fence(fence_quotes(spark, d), ["route_id", "horizon"], ["day", "order_id", "line_no", "fare"], "fare", keep_outliers=True)
+    found = cl.windowed_fence(fence_quotes(spark, d), ["route_id", "horizon"], ["day", "order_id", "line_no", "fare"], "fare")
     return found.select("order_id", "line_no", "route_id", "horizon", "n_past", "outlier")
 
 

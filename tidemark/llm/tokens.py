@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import chunks, n_ranges, shared_dir, ship, stage, text_of
 
 #: Entries of the young half of a worker's word cache; at most twice as many are held (about 250 bytes each).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 _BLANK_RUNS = re.compile(r"(\s\s+)")
 
@@ -67,20 +67,30 @@ def doubtful(path: str) -> str:
     return "".join(f"\\U{codes[a]:08x}-\\U{codes[b]:08x}" for a, b in zip(first, last)) if len(codes) else ""
 
 
-class _Words(dict):
+class _Words:
     """Ids of words as little-endian 32-bit bytes. Full, it becomes the old half and a new one starts."""
 
     def __init__(self, encode, lead: str):
-        self.encode, self.lead, self.old = encode, lead, {}
+        self.encode, self.lead, self.young, self.old = encode, lead, {}, {}
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
+    def one(self, word: str) -> bytes:
+        found = self.young.get(word)
         if found is None:
-            found = self.encode(self.lead + word)
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
+            found = self.old.get(word)
+            if found is None:
+                found = self.encode(self.lead + word)
+            if len(self.young) >= CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
+        return found
+
+    def all(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, words))
+        if None in found:
+            one = self.one
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = one(words[i])
         return found
 
 
@@ -103,6 +113,10 @@ class Encoder:
         self.by_word = _by_word(spec)
         odd = doubtful(path) if odd is None else odd
         self.odd = re.compile(f"[{odd}]") if odd else re.compile(r"(?!)")
+        self.odd_ones = frozenset(chr(c) for x, y in re.findall(r"\\U(.{8})-\\U(.{8})", odd) for c in range(int(x, 16), int(y, 16) + 1))
+        # two ranges are quick to look for, and most texts have nothing in them
+        low, high = "".join(sorted(c for c in self.odd_ones if c < "\x80")), min((c for c in self.odd_ones if c >= "\x80"), default="")
+        self.may_be_odd = re.compile("[" + re.escape(low) + (f"{high}-\U0010ffff" if high else "") + "]") if odd else self.odd
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.first, self.later = _Words(self._word, ""), _Words(self._word, " ")
 
@@ -121,15 +135,15 @@ class Encoder:
         if len(pieces) == 1:
             return self._piece(word)
         # a word and its comma: the word may be known without it
-        return b"".join([self.later[x[1:]] if x[0] == " " and len(x) > 1 else self.first[x] for x in pieces])
+        return b"".join([self.later.one(x[1:]) if x[0] == " " and len(x) > 1 else self.first.one(x) for x in pieces])
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.by_word or self.odd.search(text) or any(x in text for x in self.added):
+        if not self.by_word or not self.odd_ones.isdisjoint(self.may_be_odd.findall(text)) or any(x in text for x in self.added):
             return self.whole(text)
-        first, out, lead = self.first, [], False
+        first, out, lead = self.first.one, [], False
         parts = _BLANK_RUNS.split(text)
         for i in range(0, len(parts), 2):
             if parts[i]:
@@ -137,24 +151,24 @@ class Encoder:
             if i + 1 < len(parts):
                 run, rest = parts[i + 1], parts[i + 2]
                 if not rest:  # the text ends in blanks
-                    out.append(first[run])
+                    out.append(first(run))
                     break
-                out.append(first[run[:-1]])
+                out.append(first(run[:-1]))
                 lead = run[-1] == " "
                 if not lead:
-                    out.append(first[run[-1]])
+                    out.append(first(run[-1]))
         return b"".join(out)
 
     def _body(self, body: str, lead: bool, out: list[bytes]) -> None:
         """Text without two blanks in a row; lead: a space stands before it."""
-        later, first, feed = self.later, self.first, self.first["\n"]
+        later, feed = self.later.all, self.first.one("\n")
         for i, line in enumerate(body.split("\n")):
             if i:
                 out.append(feed)
             head, *rest = line.split(" ")
             if head:
-                out.append(later[head] if lead and not i else first[head])
-            out += [later[word] for word in rest]
+                out.append((self.later if lead and not i else self.first).one(head))
+            out += later(rest)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -279,6 +279,16 @@ def test_language(spark):
     assert language.identify(table, train.limit(0)).filter("lang is null").count() == len(pages)
 
 
+def test_language_of_hot_hosts_and_suffixes(spark, monkeypatch):
+    train = spark.createDataFrame([("the cat and the dog", "en"), ("el gato y la casa", "es")], "text string, lang string")
+    r = random.Random(4)
+    pages = [(i, f"http://h{i % 37 if i % 3 else 0}.{'com' if i % 5 else 'es'}/", "<p>" + " ".join(r.choice(["the", "cat", "el", "gato", "casa"]) for _ in range(i % 7))) for i in range(200)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    plain = [tuple(x) for x in language.identify(table, train).collect()]
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    same([tuple(x) for x in language.identify(table, train).collect()], plain)
+
+
 def test_language_keeps_every_language(spark):
     names = [f"{a}{b}" for a in "abcdefghij" for b in "abcdefghijklm"]  # 130, the last ones in one document each
     rows = [(f"{x}word {x}term {x}name", x) for i, x in enumerate(names) for _ in range(2 if i < 100 else 1)] + [(None, "zz")]
@@ -425,6 +435,26 @@ def plain_groups(prints, radius=4):
     return {p: find(p) for p in distinct}
 
 
+@pytest.mark.parametrize("hot", [2000, 4])
+def test_hot_fingerprints_and_roots(spark, monkeypatch, hot):
+    """A third of the rows are one text, another third one group; with HOT_KEYS small, both are broadcast."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    r = random.Random(9)
+    words_ = [f"w{i}" for i in range(60)]
+    base = [r.choice(words_) for _ in range(400)]
+    near = lambda: " ".join(x if r.random() > 0.004 else "odd" for x in base)
+    texts = [""] * 60 + [near() for _ in range(60)] + [" ".join(r.choice(words_) for _ in range(200)) for _ in range(60)]
+    found = simhash.digest(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6))).collect()
+    prints = [plain_print(t) for t in texts]
+    group, least = plain_groups(prints), {}
+    for i, p in enumerate(prints):
+        least.setdefault(group[p], i)
+    same([tuple(x) for x in found], [(i, f"{p:016x}", least[group[p]]) for i, p in enumerate(prints)])
+    star = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(40)]
+    joined = {x._node: x._root for x in simhash.components(spark.createDataFrame(star, "_u long, _v long")).collect()}
+    assert len({joined[i] for i in range(200)}) == 1 and len({joined[1000 + i] for i in range(41)}) == 1 and len(joined) == 241
+
+
 def test_simhash(docs, rows, empty):
     prints = [plain_print(x[1]) for x in rows]
     group = plain_groups(prints)

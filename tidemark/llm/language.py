@@ -154,7 +154,10 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     one = F.struct("_top", "_n")
     suffixes = with_words.groupBy("suffix", "_top").agg(F.sum("_n").alias("_n")).groupBy("suffix").agg(F.collect_list(one).alias("_s"))
     hosts = counted.groupBy("host", "suffix").agg(F.collect_list(F.when(F.col("_top").isNotNull(), one)).alias("_h"), F.sum("_n").alias("_pages"))
-    priors = hosts.join(suffixes, "suffix", "left").select("host", "suffix", "_pages", "_h._top", F.col("_h._n").alias("_hn"), F.col("_s._top").alias("_st"), F.col("_s._n").alias("_sn"))
+    hosts = stage(hosts, "page-host-counts")
+    # most hosts may share one suffix
+    held_suffixes = stage(hosts.groupBy("suffix").agg(F.count("*").alias("_hosts")).join(suffixes, "suffix", "left"), "page-suffixes")
+    priors = meet(hosts, held_suffixes, ["suffix"], "_hosts").select("host", "suffix", "_pages", "_h._top", F.col("_h._n").alias("_hn"), F.col("_s._top").alias("_st"), F.col("_s._n").alias("_sn"))
     priors = stage(priors.withColumnRenamed("_top", "_ht"), "page-priors")
     return meet(seen, priors, ["host", "suffix"], "_pages").select(
         "_id", "host", "suffix", "declared", "_top", "_nos", "_scores", "_ht", "_hn", "_st", "_sn"

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_chunks, nest, row_key, ship, stage, unnest, utf8
+from tidemark.llm.common import map_chunks, meet, nest, row_key, ship, stage, unnest, utf8
 
 TILE = 8192
 BLOCK = 256
@@ -215,7 +215,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hooks every node to its neighbour of the least hashed name, halves the paths,
     renames the ends of the links and drops those inside a group, so that links and nodes shrink
-    together; a node of many links is reduced map-side. Hashed names are in no order along any
+    together; a node of many links is reduced map-side, and looked up by broadcast where many links or nodes
+    name it. Hashed names are in no order along any
     path, so that each round leaves a fraction of the nodes, whatever their names: rounds follow
     the logarithm of the longest path.
     """
@@ -224,17 +225,19 @@ def components(links: DataFrame) -> DataFrame:
     names = None
     while not edges.isEmpty():
         both = edges.select("_u", "_v").union(edges.select("_v", "_u"))
-        hook = both.groupBy("_u").agg(F.min(hashed("_v")).alias("_v")).select(F.col("_u").alias("_n"), F.least(hashed("_u"), F.col("_v"))["x"].alias("_p"))
-        hook = stage(hook, "hooks")
-        up = hook.select(F.col("_n").alias("_p"), F.col("_p").alias("_pp"))
-        hook = stage(hook.join(up, "_p").select("_n", F.col("_pp").alias("_p")), "hooks")
-        to = lambda a: hook.select(F.col("_n").alias(a), F.col("_p").alias(f"{a}p"))
+        hook = both.groupBy("_u").agg(F.min(hashed("_v")).alias("_v"), F.count("*").alias("_links"))
+        hook = stage(hook.select(F.col("_u").alias("_n"), F.least(hashed("_u"), F.col("_v"))["x"].alias("_p"), "_links"), "hooks")
+        pointed = hook.groupBy("_p").agg(F.count("*").alias("_w"))
+        up = stage(hook.select(F.col("_n").alias("_p"), F.col("_p").alias("_pp")).join(pointed, "_p"), "hook-ends")
+        hook = stage(meet(hook, up, ["_p"], "_w").select("_n", F.col("_pp").alias("_p"), "_links"), "hooks")
+        to = lambda a: hook.select(F.col("_n").alias(a), F.col("_p").alias(f"{a}p"), "_links")
         if names is None:
             names = hook.select(F.col("_n").alias("_node"), F.col("_p").alias("_root"))
         else:
-            names = names.join(to("_root"), "_root", "left").select("_node", F.coalesce("_rootp", "_root").alias("_root"))
+            used = stage(to("_root").drop("_links").join(names.groupBy("_root").agg(F.count("*").alias("_w")), "_root"), "roots")
+            names = meet(names, used, ["_root"], "_w", "left").select("_node", F.coalesce("_rootp", "_root").alias("_root"))
         names = stage(names, "groups")
-        edges = edges.join(to("_u"), "_u").join(to("_v"), "_v").filter("_up <> _vp")
+        edges = meet(meet(edges, to("_u"), ["_u"], "_links").drop("_links"), to("_v"), ["_v"], "_links").filter("_up <> _vp")
         edges = stage(edges.select(F.least("_up", "_vp").alias("_u"), F.greatest("_up", "_vp").alias("_v")).distinct(), "links")
     return edges.select(F.col("_u").alias("_node"), F.col("_v").alias("_root")) if names is None else names
 
@@ -253,15 +256,17 @@ def near_duplicates(
     An empty table gives an empty table.
     """
     prints = stage(fingerprints(docs, id_col, text_col, n_words, seed), "fingerprints")
-    smallest = stage(prints.groupBy("_fp").agg(F.min("_id").alias("_least")), "distinct")
+    smallest = stage(prints.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_copies")), "distinct")
     n = smallest.count()
     groups = components(near_links(smallest.select("_fp"), n, radius, tile))
     rooted = smallest.join(groups.withColumnRenamed("_node", "_fp"), "_fp", "left").select(
-        "_fp", "_least", F.coalesce("_root", "_fp").alias("_root")
+        "_fp", "_least", "_copies", F.coalesce("_root", "_fp").alias("_root")
     )
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = rooted.join(least, "_root").select("_fp", "_root", "component_id")
-    return prints.join(named, "_fp", "left").select(
+    rooted = stage(rooted, "rooted")
+    least = stage(rooted.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_members")), "least")
+    named = stage(meet(rooted, least, ["_root"], "_members").select("_fp", "_root", "component_id", "_copies"), "named")
+    # copies, empty texts among them, share a fingerprint; members of a large group its root
+    return meet(prints, named, ["_fp"], "_copies").select(
         F.col("_id").alias(id_col), "_k1", "_k2", _hex("_fp").alias("fingerprint"), F.col("_root").alias("_group"), "component_id"
     )
 

@@ -54,6 +54,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has staged. Results that read it must have been written or collected."""
+    folder = shared_dir(spark, "x").rsplit("/", 1)[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def n_ranges(df: DataFrame, size: Column, each: int | None = None) -> int:
     """Ranges to deal df in, so that a task gets about `each` bytes (RANGE_BYTES) however large df is; the session's partition count at least."""
     total = df.agg(F.sum(size.cast("long"))).first()[0] or 0

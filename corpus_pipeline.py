@@ -17,7 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; kept ones are unchanged."""
+    """Rejected documents go; kept ones are unchanged.
+
+    Null and empty texts have too few words and go; rows without an id are judged like others, as not trusted.
+    Repeated rows stay or go together. An empty table gives an empty one.
+    """
     return quality.score(docs, trusted(spark, sf_dir)).filter("kept").select(*docs.columns)
 
 
@@ -34,17 +38,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
+    """One document of each group of near-duplicates stays, unchanged: that of the smallest id, of equal ids the one of the smallest key.
+
+    Null, empty and blank texts are one group. Rows that agree in id and text are copies: one stays. An empty table
+    gives an empty one.
+    """
     return simhash.keep_one(docs, n_words=4, radius=4, seed=42)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; the others are unchanged."""
+    """Contaminated documents go; the others are unchanged, repeated rows and null or empty texts, which have no words, among them.
+
+    Null and empty items are in no document. An empty table gives an empty one.
+    """
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents left, as pieces of sequences of 2048 ids, with the ids of each piece."""
+    """The documents left, as pieces of sequences of 2048 ids, with the ids of each piece.
+
+    Null and empty texts are the end id alone. Repeated rows are packed once each; ties on the curve go by id
+    and content. An empty table gives no pieces.
+    """
     return packing.pack(docs, TOKENIZER, end_id=1, length=2048, with_ids=True)
 
 

@@ -134,3 +134,27 @@ def test_redaction(spark):
     got = df.select(fn.redact_url(F.col("url")).alias("u"), fn.redact_text(F.col("text")).alias("t"), fn.redact_headers(F.col("headers")).alias("h")).collect()
     assert tuple(got[0]) == ("https://x.in/?Auth=[REDACTED]&b=2&SESSIONID=[REDACTED]#f", 'Bearer [REDACTED] ok "access_token":"[REDACTED]"', {"COOKIE": "[REDACTED]", "Host": "h"})
     assert tuple(got[1]) == (None, None, None)
+
+
+@pytest.mark.parametrize(
+    ("parse", "body", "expected"),
+    [
+        (reg.official, {"monthly_benchmarks": [{"month": "2026-01", "airfare_item_index": 1, "transport_index": 2, "cpi_combined": 3}]}, ("2026-01", 1.0, 2.0, 3.0, None, "FINAL", None)),
+        (reg.official, {"monthly_benchmarks": [{"month": "2026-13", "airfare_item_index": 1, "transport_index": 2, "cpi_combined": 3}]}, (*[None] * 6, "month missing or malformed")),
+        (reg.official, {"monthly_benchmarks": [{"month": "2026-01", "airfare_item_index": 1, "transport_index": 2, "cpi_combined": 3}] * 2}, (*[None] * 6, "duplicate month")),
+        (reg.official, {"monthly_benchmarks": [{"month": "2026-01", "airfare_item_index": 0, "transport_index": 2, "cpi_combined": 3}]}, (*[None] * 6, "airfare_item_index missing or not positive")),
+        (reg.official, {"months": []}, (*[None] * 6, "no points")),
+        (reg.official, "{cut", (*[None] * 6, "not a JSON series")),
+        (reg.benchmark, {"daily_benchmarks": [{"date": "2026-01-05", "dgca_benchmark_index": 101.5}]}, (dt.date(2026, 1, 5), 101.5, 4.5, None)),
+        (reg.benchmark, {"daily_benchmarks": [{"date": "5 Jan", "dgca_benchmark_index": 101.5}]}, (None, None, None, "date missing or malformed")),
+    ],
+)
+def test_series_documents(spark, parse, body, expected):
+    text = body if isinstance(body, str) else json.dumps(body)
+    assert [tuple(x) for x in parse(spark.createDataFrame([(text,)], "text string"), "text").collect()] == [expected]
+
+
+def test_error_details(spark):
+    bodies = {'{"errors": [{"title": "T", "detail": "d"}, {"title": "U"}]}': "T: d", '{"errors": [{"detail": "only"}]}': "only", '{"errors": [{"title": "T:"}]}': "T", '{"errors": [{}]}': "(unspecified error)", "[]": "(unspecified error)", "<p>": "(no parseable error body)"}
+    df = spark.createDataFrame([(b,) for b in bodies], "b string")
+    assert {x.b: x.t for x in df.select("b", fn.error_detail(F.col("b")).alias("t")).collect()} == bodies

@@ -75,3 +75,14 @@ def test_columns_computed_once(spark):
     df = spark.range(5).withColumn("a", F.col("id") * 2)
     made = store.computed_once(df.withColumn("b", F.col("a") + 1), ["a", "b"]).filter("b > 3 and a < 8")
     assert [(x.id, x.a, x.b) for x in made.orderBy("id").collect()] == [(2, 4, 5), (3, 6, 7)]
+
+
+def test_latest_rows_are_saved_over_the_store_that_they_come_from(spark, tmp_path):
+    at = f"file://{tmp_path}/latest"
+    df = lambda *rows: spark.createDataFrame(rows, "name string, n int, seen int")
+    store.save_latest(df(("a", 1, 1), ("b", 2, 1)), at, "name", "seen")
+    store.save_latest(df(("a", 5, 3), ("c", 9, 2)), at, "name", "seen")
+    store.save_latest(df(("a", 4, 2)), at, "name", "seen")  # an older row changes nothing
+    assert sorted(map(tuple, spark.read.parquet(at).collect())) == [("a", 5, 3), ("b", 2, 1), ("c", 9, 2)]
+    store.clear(spark)
+    assert spark.read.parquet(at).count() == 3

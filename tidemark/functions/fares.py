@@ -201,6 +201,15 @@ def without_query(url: Column) -> Column:
     return F.split_part(url, F.lit("?"), F.lit(1))
 
 
+def error_detail(body: Column) -> Column:
+    """Title and detail of the first error that a reply's body tells, and no more of the body."""
+    errors = F.from_json(body, "struct<errors: array<struct<title: string, detail: string>>>")["errors"]
+    first = F.get(errors, F.lit(0))
+    told = F.concat(F.coalesce(first["title"], F.lit("")), F.lit(": "), F.coalesce(first["detail"], F.lit("")))
+    told = F.nullif(F.regexp_replace(told, "^[: ]+|[: ]+$", ""), F.lit(""))
+    return F.when(F.try_parse_json(body).isNull(), "(no parseable error body)").otherwise(F.coalesce(F.when(F.size(errors) > 0, told), F.lit("(unspecified error)")))
+
+
 def valid_horizons(asked: Column, policy: list[int]) -> tuple[Column, Column]:
     """The asked horizons in order, each once, and those that the policy does not have."""
     once = F.array_distinct(asked)

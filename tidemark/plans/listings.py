@@ -98,6 +98,17 @@ def horizon_listing(spark, d):
     return se.listing(rows, [F.desc("period"), F.col("route_id"), F.col("horizon")], 500)
 
 
+def horizon_analysis(spark, d):
+    """Fares of each horizon, and of its index cells in the newest period the mean and the products matched."""
+    q = valid_quotes(spark, d).select("horizon", "fare")
+    levels = q.groupBy("horizon").agg(F.count("*").alias("n"), *[F.round(f("fare"), 6).alias(name) for name, f in (("mean", F.avg), ("least", F.min), ("most", F.max))])
+    middle = sr.medians(q, ["horizon"], "fare").select("horizon", F.round("median", 6).alias("median"))
+    c = settle(index.cells(spark, d), "cells")
+    newest = c.join(F.broadcast(c.agg(F.max("period").alias("period"))), "period")
+    indexed = newest.groupBy("horizon").agg(F.count("*").alias("n_routes"), F.round(100 * F.avg("index"), 4).alias("mean_index"), F.sum("n_matched").alias("n_matched"))
+    return levels.join(middle, "horizon").join(indexed, "horizon", "left")
+
+
 def anomalies(spark, d):
     """A row for each flag of a quote that may be used, with the state of its review."""
     status = F.when(F.col("order_id") % 5 == 0, "confirmed_genuine").when(F.col("order_id") % 5 == 1, "confirmed_error").otherwise("open")
@@ -173,7 +184,7 @@ def bulletin_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (sql_functions, route_finder, route_facets, registry_faults, registry_validation, horizon_listing, anomaly_list, observation_search, index_changes, bulletin_report)
+    for f in (sql_functions, route_finder, route_facets, registry_faults, registry_validation, horizon_listing, horizon_analysis, anomaly_list, observation_search, index_changes, bulletin_report)
 }
 
 _FEES = "CASE airport WHEN 'DEL' THEN 320 WHEN 'BOM' THEN 340 WHEN 'GOX' THEN 350 ELSE 220 END::DOUBLE"
@@ -227,6 +238,10 @@ ORACLE = {
     "registry_faults": _REGISTRY + ' SELECT registry, "at", error FROM e',
     "registry_validation": _REGISTRY + r""" SELECT regexp_replace(regexp_replace(error, '^sources\[\d+\]( \([^)]*\))?: ', ''), ' ''[^'']*'', must be.*', '') AS fault, count(*) AS n FROM e GROUP BY 1""",
     "horizon_listing": index.CELLS + " SELECT route_id, horizon, period, round(100 * index, 4) AS index_100, n_matched, method FROM cells ORDER BY period DESC, route_id, horizon LIMIT 500",
+    "horizon_analysis": index.CELLS
+    + """, l AS (SELECT horizon, count(*) AS n, round(avg(fare), 6) AS mean, round(min(fare), 6) AS least, round(max(fare), 6) AS most, round(quantile_cont(fare, 0.5), 6) AS median FROM valid GROUP BY 1),
+  i AS (SELECT horizon, count(*) AS n_routes, round(100 * avg(index), 4) AS mean_index, sum(n_matched)::BIGINT AS n_matched FROM cells WHERE period = (SELECT max(period) FROM cells) GROUP BY 1)
+  SELECT l.*, n_routes, mean_index, n_matched FROM l LEFT JOIN i USING (horizon)""",
     "anomaly_list": _ANOMALIES
     + """ SELECT *, 'open' AS asked FROM (SELECT * FROM a WHERE status = 'open' ORDER BY day DESC, order_id DESC, line_no DESC LIMIT 50)
   UNION ALL SELECT *, 'route' FROM (SELECT * FROM a WHERE route_id = 7 ORDER BY day DESC, order_id DESC, line_no DESC LIMIT 50)""",

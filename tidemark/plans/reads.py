@@ -171,7 +171,7 @@ def text_helpers(spark, d):
     asked = F.array((key % 3).cast("int"), F.lit(7), (key % 50).cast("int"), F.lit(7))
     once, unknown = fn.valid_horizons(asked, agg.HORIZONS)
     mark = fn.dedupe_fingerprint(F.lit("DEL"), F.lit("BOM"), F.to_date("o_orderdate"), F.lit("6E"), F.when(key % 2 == 0, F.concat(F.lit("6E-"), key)), F.lit("ECONOMY"), F.nullif(F.col("o_orderstatus"), F.lit("O")), key % 3, F.lit(7), F.to_date("o_orderdate"))
-    url = F.concat(F.lit("https://a.in/x"), F.when(key % 2 == 0, "?token=q&b=1").otherwise(""))
+    url = F.concat(F.lit("https://a.in/x/"), (key % 100).cast("string"), F.when(key % 2 == 0, "?token=q&b=1").otherwise(""))
     return o.select(
         "o_orderkey", fn.payload_hash(F.when(key % 4 == 0, "").otherwise(F.col("o_orderpriority"))).alias("payload"), mark.alias("fingerprint"), fn.retry_delay((key % 9 + 2)).alias("delay"),
         fn.titleized(F.concat(F.col("o_orderpriority"), F.lit("  CLASS"))).alias("title"), fn.without_query(url).alias("path"), F.array_join(once, ",").alias("horizons"), F.array_join(unknown, ",").alias("unknown"),
@@ -201,9 +201,12 @@ def captured_pages(spark, d):
 
 
 def envelopes(spark, d):
-    """Route indices as JSON envelopes."""
-    r = index.route_index(spark, d).select("route_id", "period", F.round("index", 4).alias("index"), "publishable")
-    return r.select("route_id", "period", F.get_json_object(F.to_json(F.struct(F.lit("ok").alias("status"), F.struct("index", "publishable").alias("data"))), "$.data.publishable").alias("publishable"))
+    """Route indices as JSON envelopes, read again by a client: every field must have come through, those that are null too."""
+    r = index.route_index(spark, d)
+    data = F.struct(F.round("index", 4).alias("index"), "publishable", F.split("horizons_included", ",").alias("horizons"), F.when(~F.col("publishable"), "insufficient_horizons").alias("suppressed"))
+    text = F.to_json(F.struct(F.lit("ok").alias("status"), data.alias("data"), F.struct(F.col("n_horizons").alias("count"), "period").alias("meta")))
+    got = F.from_json(text, "status string, data struct<index: double, publishable: boolean, horizons: array<string>, suppressed: string>, meta struct<count: long, period: int>")
+    return r.select("route_id", got.alias("e")).select("route_id", "e.status", "e.data.index", "e.data.publishable", F.array_join("e.data.horizons", "+").alias("horizons"), "e.data.suppressed", "e.meta.count", "e.meta.period")
 
 
 QUERIES = {
@@ -274,12 +277,13 @@ ORACLE = {
   SELECT o_orderkey, CASE WHEN k % 4 <> 0 THEN sha256(o_orderpriority) END AS payload,
     substr(sha256(concat_ws('|', 'DEL', 'BOM', CAST(day AS VARCHAR), '6E', CASE WHEN k % 2 = 0 THEN '6E-' || k ELSE 'NOFLIGHT' END, 'ECONOMY', coalesce(nullif(o_orderstatus, 'O'), 'UNSPECIFIED'), CAST(k % 3 AS VARCHAR), 'H7', CAST(day AS VARCHAR))), 1, 32) AS fingerprint,
     least(pow(2.0, k % 9), 30.0)::DOUBLE AS delay, array_to_string(list_transform(string_split(o_orderpriority || ' CLASS', ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS title,
-    'https://a.in/x' AS path, array_to_string(once, ',') AS horizons, array_to_string(list_filter(once, lambda x: NOT list_contains([1, 7, 15, 30, 45], x)), ',') AS unknown FROM h""",
+    'https://a.in/x/' || (k % 100) AS path, array_to_string(once, ',') AS horizons, array_to_string(list_filter(once, lambda x: NOT list_contains([1, 7, 15, 30, 45], x)), ',') AS unknown FROM h""",
     "host_spacing": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
   walk AS (SELECT event_id, user_id, k, t AS start, t FROM e WHERE k = 1 UNION ALL
     SELECT e.event_id, e.user_id, e.k, greatest(e.t, walk.start + 7200000000), e.t FROM walk JOIN e ON e.user_id = walk.user_id AND e.k = walk.k + 1)
   SELECT event_id, user_id, start - t AS waits FROM walk""",
     "validator_state": cleaning.FENCE.replace("SELECT order_id, line_no, route_id, horizon, n_past, coalesce(outlier, false) AS outlier FROM walk WHERE k > 0", "SELECT route_id, horizon, len(held) AS n, round(list_sum(held), 4) AS total FROM walk QUALIFY row_number() OVER (PARTITION BY route_id, horizon ORDER BY k DESC) = 1"),
     "captured_pages": "SELECT page_id, url || '?token=[REDACTED]' AS url, sha256(html) AS sha256, substr(sha256(html), 1, 2) AS bucket FROM pages",
-    "envelopes": "SELECT route_id, period, CAST(publishable AS VARCHAR) AS publishable FROM (" + index.ORACLE["route_index"] + ")",
+    "envelopes": "SELECT route_id, 'ok' AS status, round(index, 4) AS index, publishable, replace(horizons_included, ',', '+') AS horizons, CASE WHEN NOT publishable THEN 'insufficient_horizons' END AS suppressed, n_horizons AS count, period FROM ("
+    + index.ORACLE["route_index"] + ")",
 }

@@ -67,7 +67,49 @@ def base_window_index(spark, d):
 
 
 def source_capabilities(spark, d):
-    return reg.ranked_sources(reg.capabilities(spark))
+    """The capability table in its order, with how many suppliers name each source and how many quotes they gave."""
+    table = reg.ranked_sources(reg.capabilities(spark))
+    names = F.array(*[F.lit(c[0]) for c in reg.CAPABILITIES])
+    named = read(spark, d, "supplier").select("s_suppkey", F.element_at(names, (F.col("s_suppkey") % len(reg.CAPABILITIES) + 1).cast("int")).alias("name"))
+    sold = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
+    seen = named.join(sold, "s_suppkey", "left").groupBy("name").agg(F.count("*").alias("n_suppliers"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_quotes"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return seen.join(F.broadcast(table), "name", "right").select("name", "source_type", "enabled", "requires_credentials", "place", none("n_suppliers"), none("n_quotes"))
+
+
+def official_documents(spark, d):
+    """An official series in JSON for each year of orders; a year has a month twice, one a value that is missing, one is cut."""
+    month = F.trunc("o_orderdate", "month")
+    m = read(spark, d, "orders").groupBy(month.alias("m")).agg(F.round(F.avg("o_totalprice") / 1000, 8).alias("v"), F.count("*").alias("n"))
+    year = F.year("m")
+    label = F.when((year == 1993) & (F.month("m") == 2), "1993-01").otherwise(F.date_format("m", "yyyy-MM"))
+    point = F.struct(
+        label.alias("month"), F.when((year != 1994) | (F.month("m") > 1), F.col("v")).alias("airfare_item_index"), (F.col("v") + 1).alias("transport_index"), (F.col("n") / 1.0).alias("cpi_combined"),
+        F.when(F.month("m") % 2 == 0, F.date_format(F.last_day("m"), "yyyy-MM-dd")).alias("mospi_release_date"), F.when(F.month("m") == 12, "PROVISIONAL").alias("status"),
+    )
+    made = m.groupBy(year.alias("year")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(point)).alias("monthly_benchmarks"))).alias("text"))  # twelve points
+    return made.select("year", F.when(F.col("year") == 1996, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("text"))
+
+
+def official_load(spark, d):
+    return reg.official(official_documents(spark, d), "text")
+
+
+def benchmark_load(spark, d):
+    """A benchmark in JSON for each month of orders, with and without a yield; those of every February have a day that is none."""
+    o = read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice") / 1000, 8).alias("v"))
+    label = F.when((F.month("day") == 2) & (F.dayofmonth("day") == 1), "soon").otherwise(F.date_format("day", "yyyy-MM-dd"))
+    point = F.struct(label.alias("date"), F.col("v").alias("dgca_benchmark_index"), F.when(F.dayofmonth("day") % 2 == 0, F.col("v") / 100).alias("observed_yield_rpkm"))
+    made = o.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(point)).alias("daily_benchmarks"))).alias("text"))
+    return reg.benchmark(made, "text").withColumn("yield_rpkm", F.round("yield_rpkm", 6))
+
+
+def error_details(spark, d):
+    """What is shown of replies' errors: bodies with and without a title, a detail or a list, and no JSON."""
+    k = F.col("o_orderkey")
+    error = F.struct(F.when(k % 3 != 0, F.concat(F.lit("E"), k.cast("string"))).alias("title"), F.when(k % 4 != 0, F.col("o_orderpriority")).alias("detail"), F.lit("hidden").alias("source"))
+    body = F.when(k % 7 == 0, "<html>").when(k % 7 == 1, '{"errors": []}').when(k % 7 == 2, '{"error": "x"}').otherwise(F.to_json(F.struct(F.array(error, error).alias("errors"))))
+    return read(spark, d, "orders").select("o_orderkey", fn.error_detail(body).alias("told"))
 
 
 def festive_windows(spark, d):
@@ -227,7 +269,7 @@ def revisions_newest(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        basket_load, policy_load, weighted_horizon_index, base_window_index, source_capabilities, festive_windows, spider_items, redact_capture, counts_by_method, scheduled_cells,
+        basket_load, policy_load, weighted_horizon_index, base_window_index, source_capabilities, official_load, benchmark_load, error_details, festive_windows, spider_items, redact_capture, counts_by_method, scheduled_cells,
         budget_evaluation, run_outcomes, source_register, reviewed_observations, reviewed_revisions, fence_restored, fence_export, fence_diagnostics, reference_days, late_recompute,
         latest_computed, history_window, newest_movers, revisions_newest,
     )
@@ -260,9 +302,19 @@ ORACLE = {
     + f""" SELECT route_id, period, round(sum({_ALPHA} * index) / sum({_ALPHA}), 6) AS index, count(*) AS n_horizons, round(sum({_ALPHA}), 6) AS weight_present, CAST(sum(n_matched) AS BIGINT) AS n_matched, count(*) >= 2 AS publishable
   FROM cells WHERE n_matched >= 3 GROUP BY route_id, period""",
     "base_window_index": MONTHS + index._jevons_sql("exact", "exact_pairs", 1) + " SELECT route_id, horizon, period, n_matched, n_clipped, round(index, 6) AS index FROM exact",
-    "source_capabilities": "SELECT *, row_number() OVER (ORDER BY source_type, name) AS place FROM (VALUES "
-    + ", ".join(f"('{n}', '{t}', {e}, {c})" for n, t, e, c in reg.CAPABILITIES)
-    + ") s(name, source_type, enabled, requires_credentials)",
+    "source_capabilities": "WITH c AS (SELECT *, row_number() OVER (ORDER BY source_type, name) AS place FROM (VALUES "
+    + ", ".join(f"({i}, '{n}', '{t}', {e}, {c})" for i, (n, t, e, c) in enumerate(reg.CAPABILITIES))
+    + f""") s(i, name, source_type, enabled, requires_credentials)), q AS (SELECT s_suppkey, s_suppkey % {len(reg.CAPABILITIES)} AS i, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS n FROM supplier)
+  SELECT name, source_type, enabled, requires_credentials, place, count(s_suppkey) AS n_suppliers, coalesce(sum(n), 0)::BIGINT AS n_quotes FROM c LEFT JOIN q USING (i) GROUP BY ALL""",
+    "official_load": """WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, round(avg(o_totalprice) / 1000, 8) AS v, count(*) AS n FROM orders GROUP BY 1), y AS (SELECT *, CAST(year(m) AS INTEGER) AS year FROM m)
+  SELECT year, strftime(m, '%Y-%m') AS month, v AS airfare_item_index, v + 1 AS transport_index, n::DOUBLE AS cpi_combined, CASE WHEN month(m) % 2 = 0 THEN last_day(m) END AS release_date, CASE WHEN month(m) = 12 THEN 'PROVISIONAL' ELSE 'FINAL' END AS status, NULL AS fault
+    FROM y WHERE year NOT IN (1993, 1994, 1996)
+  UNION ALL SELECT DISTINCT year, NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DATE, NULL, CASE year WHEN 1993 THEN 'duplicate month' WHEN 1994 THEN 'airfare_item_index missing or not positive' ELSE 'not a JSON series' END FROM y WHERE year IN (1993, 1994, 1996)""",
+    "benchmark_load": """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) / 1000, 8) AS v FROM orders GROUP BY 1), m AS (SELECT *, strftime(day, '%Y-%m') AS month FROM o), f AS (SELECT month, bool_or(month(day) = 2 AND day(day) = 1) AS wrong FROM m GROUP BY 1)
+  SELECT month, day, v AS index, round(CASE WHEN day(day) % 2 = 0 THEN v / 100 ELSE 4.5 END, 6) AS yield_rpkm, NULL AS fault FROM m JOIN f USING (month) WHERE NOT wrong
+  UNION ALL SELECT month, NULL, NULL, NULL, 'date missing or malformed' FROM f WHERE wrong""",
+    "error_details": """WITH e AS (SELECT o_orderkey, o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN 'E' || o_orderkey ELSE '' END || ': ' || CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority ELSE '' END AS t FROM orders)
+  SELECT o_orderkey, CASE WHEN k % 7 = 0 THEN '(no parseable error body)' WHEN k % 7 < 3 OR trim(t, ': ') = '' THEN '(unspecified error)' ELSE trim(t, ': ') END AS told FROM e""",
     "festive_windows": f"""WITH c(festival, first_day, last_day, surge_pct, severity) AS (VALUES {_CALENDAR}), o AS (SELECT CAST(o_orderdate + INTERVAL 30 YEAR AS DATE) AS day, o_totalprice AS p FROM orders)
   SELECT festival, first_day, last_day, surge_pct, severity, count(*) AS n, round(avg(p), 6) AS mean, round(100 * (avg(p) / (SELECT avg(p) FROM o) - 1), 6) AS observed_pct FROM o JOIN c ON day BETWEEN first_day AND last_day GROUP BY ALL""",
     "spider_items": """WITH t AS (SELECT o_orderkey, round(o_totalprice / 3, 0) AS total FROM orders), b AS (

@@ -35,9 +35,9 @@ def capabilities(spark: SparkSession) -> DataFrame:
 
 def calendar(spark: SparkSession) -> DataFrame:
     """A row for each festival and season: twelve."""
-    c = spark.createDataFrame(CALENDAR, "festival string, a string, b string, c string, d string, surge_pct double, index_peak double, severity string")
+    c = spark.createDataFrame([(f, *days, surge, severity) for f, *days, surge, _, severity in CALENDAR], "festival string, a string, b string, c string, d string, surge_pct double, severity string")
     seasons = F.array(*[F.struct(F.to_date(a).alias("first_day"), F.to_date(b).alias("last_day")) for a, b in (("a", "b"), ("c", "d"))])
-    return c.select("festival", "surge_pct", "index_peak", "severity", F.inline(seasons))
+    return c.select("festival", "surge_pct", "severity", F.inline(seasons))
 
 
 def baskets(texts: DataFrame, text_col: str) -> DataFrame:
@@ -78,6 +78,41 @@ def policies(texts: DataFrame, text_col: str) -> DataFrame:
     )
 
 
+OFFICIAL = """struct<monthly_benchmarks: array<struct<month: string, airfare_item_index: double, transport_index: double, cpi_combined: double, mospi_release_date: string, status: string>>>"""
+BENCHMARK = """struct<daily_benchmarks: array<struct<date: string, dgca_benchmark_index: double, observed_yield_rpkm: double>>>"""
+
+
+def _series(texts: DataFrame, text_col: str, schema: str, field: str, at: str, pattern: str, values: list[str], kind: str) -> DataFrame:
+    """Documents' points exploded, `_p` and `fault`: a document at fault is one row without a point."""
+    doc = texts.withColumn("_doc", F.from_json(text_col, schema, {"mode": "PERMISSIVE"}))
+    points = F.col("_doc")[field]
+    lacks = lambda v: F.exists(points, lambda p: ~F.coalesce(p[v] > 0, F.lit(False)))
+    fault = F.coalesce(
+        F.when(F.try_parse_json(text_col).isNull(), f"not a JSON {kind}"), F.when(points.isNull() | (F.size(points) == 0), "no points"),
+        F.when(F.exists(points, lambda p: ~F.coalesce(p[at].rlike(pattern), F.lit(False))), f"{at} missing or malformed"),
+        F.when(F.size(F.array_distinct(points[at])) < F.size(points), f"duplicate {at}"),
+        *[F.when(lacks(v), f"{v} missing or not positive") for v in values],
+    )
+    judged = doc.withColumn("fault", fault)
+    return judged.select(*[c for c in texts.columns if c != text_col], F.explode_outer(F.when(F.col("fault").isNull(), points)).alias("_p"), "fault")
+
+
+def official(texts: DataFrame, text_col: str) -> DataFrame:
+    """A row for each month of each document of an official series; a document that may not be used is one row with its `fault`."""
+    found = _series(texts, text_col, OFFICIAL, "monthly_benchmarks", "month", r"^\d{4}-(0[1-9]|1[0-2])$", ["airfare_item_index", "transport_index", "cpi_combined"], "series")
+    keys = [c for c in texts.columns if c != text_col]
+    status = F.when(F.col("_p").isNotNull(), F.coalesce("_p.status", F.lit("FINAL")))
+    return found.select(*keys, "_p.month", *[F.col(f"_p.{c}").alias(c) for c in ("airfare_item_index", "transport_index", "cpi_combined")], F.col("_p.mospi_release_date").try_cast("date").alias("release_date"), status.alias("status"), "fault")
+
+
+def benchmark(texts: DataFrame, text_col: str) -> DataFrame:
+    """A row for each day of each benchmark document, with the yield that is assumed where none is told; else its `fault`."""
+    found = _series(texts, text_col, BENCHMARK, "daily_benchmarks", "date", r"^\d{4}-\d{2}-\d{2}$", ["dgca_benchmark_index"], "benchmark")
+    keys = [c for c in texts.columns if c != text_col]
+    rpkm = F.when(F.col("_p").isNotNull(), F.coalesce("_p.observed_yield_rpkm", F.lit(4.5)))
+    return found.select(*keys, F.col("_p.date").try_cast("date").alias("day"), F.col("_p.dgca_benchmark_index").alias("index"), rpkm.alias("yield_rpkm"), "fault")
+
+
 def load(spark: SparkSession, path: str, parse: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The rows of one document, by `baskets` or `policies`; an error if the document is at fault."""
     rows = parse(spark.read.text(path, wholetext=True), "value")

@@ -25,9 +25,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written in the folder that the cluster shares (spark.checkpoint.dir) and read again: what several steps need is computed once."""
-    path = f"{shared(df.sparkSession)}/settled/{name}-{uuid.uuid4().hex[:12]}"
+    spark = df.sparkSession
+    path = f"{shared(spark)}/settled/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what settle has written for this application. Results that read it must have been written or collected."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared(spark)}/settled/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -135,12 +142,17 @@ def publish_quotes(quotes: DataFrame, name: str, partition: str, keys: list[str]
 
 
 def upsert(df: DataFrame, path: str, key: str, at: str) -> DataFrame:
-    """The latest row of each key over the store and df; the store is to be replaced by it."""
+    """The latest row of each key over the store and df. save_latest replaces the store by it."""
     spark = df.sparkSession
     every = spark.read.parquet(path).unionByName(df) if exists(spark, path) else df
     return every.groupBy(key).agg(F.max_by(F.struct(*df.columns), at).alias("_row")).select("_row.*")
 
 
+def save_latest(df: DataFrame, path: str, key: str, at: str) -> None:
+    """The store brought up to date: what upsert gives is written apart first, as it reads the store that it replaces."""
+    settle(upsert(df, path, key, at), "latest").write.mode("overwrite").parquet(path)
+
+
 def persist_run(judged: DataFrame, path: str, run_id: str) -> None:
     """A run's tables: all observations, their verdicts, those that an index may use, and the flagged ones as anomalies.
 

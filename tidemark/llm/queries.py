@@ -96,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": lines.ORACLE_SQL,
         "op7_decontamination": decontaminate.ORACLE_SQL,
+        "op11_prefix_trie": trie.ORACLE_SQL,
     }

@@ -227,3 +227,32 @@ def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     return whole.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256")
     )
+
+
+#: The same rows in DuckDB's SQL: the checksum byte by byte over its table, prefixes as hashes of all turns so far, subtrees by joining each node with the prefixes of its smallest member.
+ORACLE_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), counted AS (SELECT conv_id, count(*) AS n, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS codes FROM turns GROUP BY conv_id),
+summed AS (SELECT conv_id, n, xor(list_reduce(list_concat([4294967295::BIGINT], codes), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295::BIGINT) % 4 AS h FROM counted, tab),
+convs AS (SELECT c.conv_id, c.n, c.h, least(c.h, coalesce(b.n, 0)) AS borrowed FROM summed c LEFT JOIN counted b ON b.conv_id = c.conv_id - c.conv_id % 20),
+rebuilt AS (
+  SELECT c.conv_id, t.place AS d, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.place <= c.borrowed
+  UNION ALL SELECT c.conv_id, t.place - c.h + c.borrowed, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h
+), keyed AS (
+  SELECT conv_id, d, sha256(string_agg(sha256(role || chr(0) || text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt
+), lines AS (
+  SELECT conv_id, d, key, lag(key, 1, '') OVER (PARTITION BY conv_id ORDER BY d) AS parent, words FROM keyed UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM convs
+), nodes AS (SELECT key, min(conv_id) AS conv_id, max(d) AS depth, count(*) AS n_convs, max(parent) AS parent, max(words) AS words FROM lines GROUP BY key),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (key)),
+sums AS (
+  SELECT l.key, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.words)::BIGINT AS saved_tokens FROM whole w JOIN lines l ON l.conv_id = w.conv_id AND l.d <= w.depth GROUP BY l.key
+), ends AS (
+  SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT conv_id, arg_max(key, d) AS key FROM lines GROUP BY conv_id) GROUP BY key
+)
+SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM whole w JOIN sums USING (key) LEFT JOIN ends USING (key) LEFT JOIN nodes p ON p.key = w.parent AND w.depth > 0
+"""

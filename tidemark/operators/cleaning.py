@@ -128,6 +128,7 @@ def windowed_fence(df: DataFrame, key: list[str], order: list[str], value: str)
     given the FENCE_WINDOW values before it, from the blocks that hold them. A key of any size spreads over
     tasks. order must end in columns that tell rows apart; rows that it does not are in one range.
     """
+    df = settle(df, "fence-rows")  # counted, sampled and dealt
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BLOCK_ROWS))
     dealt = df.repartitionByRange(ranges, *key, *order).sortWithinPartitions(*key, *order)
     rows = settle(dealt.withColumn("_range", F.spark_partition_id()), "fence-blocks")

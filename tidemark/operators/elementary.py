@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import quantiles
+from tidemark.sources.store import settle
 
 CELL = ["route_id", "horizon", "period"]
 CLIP_LOW, CLIP_HIGH = 0.1, 10.0
@@ -60,6 +61,7 @@ def winsorized(pairs: DataFrame, by: list[str] = CELL, value: str = "relative",
     The percentiles come from counts (see order_statistics; grain is the width of its parts), so that a
     cell of any size is spread over tasks.
     """
+    pairs = settle(pairs, "winsorized")  # counted, looked through and held: read three times
     bounds = quantiles(pairs, by, value, {"_lo": WINSOR_LOW, "_hi": WINSOR_HIGH}, grain)
     held = F.when(F.col("n") >= WINSOR_LEAST, F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))).otherwise(F.col(value))
     return pairs.join(bounds, by).withColumn(value, held).drop("_lo", "_hi")

@@ -19,6 +19,12 @@ def prices(spark, d, **scope):
     return el.product_prices(index_quotes(spark, d, **(NAMED | scope)))
 
 
+def brand_prices(spark, d):
+    """Prices with a brand as the product: so wide that every cell matches several."""
+    q = index_quotes(spark, d, **NAMED).withColumns({"product": F.col("carrier"), "spec": F.col("carrier")})
+    return el.product_prices(q)
+
+
 def cells(spark, d, **scope):
     """Elementary cells of direct flights. Prices serve both matchings, and are written once."""
     return el.exact_or_spec(settle(prices(spark, d, **scope), "prices"), BASE)
@@ -37,15 +43,15 @@ def base_price_set(spark, d):
 
 
 def jevons_elementary(spark, d):
-    return rounded(el.jevons(el.matched(prices(spark, d), "product", BASE)).drop("log_sd"), "index")
+    return rounded(el.jevons(el.matched(brand_prices(spark, d), "product", BASE)).drop("log_sd"), "index")
 
 
 def carli_elementary(spark, d):
-    return rounded(el.carli(el.matched(prices(spark, d), "product", BASE)), "index")
+    return rounded(el.carli(el.matched(brand_prices(spark, d), "product", BASE)), "index")
 
 
 def dutot_elementary(spark, d):
-    return rounded(el.dutot(el.matched(prices(spark, d), "product", BASE)), "index")
+    return rounded(el.dutot(el.matched(brand_prices(spark, d), "product", BASE)), "index")
 
 
 def gm_ratio_elementary(spark, d):
@@ -173,6 +179,7 @@ def _jevons_sql(name: str, pairs: str, least: int) -> str:
 )"""
 
 
+BRANDS = PRICES.replace("period, product, spec, exp(avg(ln(fare))) AS price", "period, carrier AS product, carrier AS spec, exp(avg(ln(fare))) AS price")
 EXACT = PRICES + _jevons_sql("exact", "exact_pairs", 3)
 CELLS = (
     EXACT
@@ -223,9 +230,9 @@ QUERIES = {
 ORACLE = {
     "product_geomean_prices": PRICES + " SELECT route_id, horizon, period, product, round(price, 7) AS price, n_quotes FROM prices",
     "base_price_set": PRICES + f" SELECT route_id, horizon, product, round(price, 7) AS price, n_quotes FROM prices WHERE period = {BASE}",
-    "jevons_elementary": EXACT + " SELECT route_id, horizon, period, n_matched, n_clipped, round(index, 6) AS index FROM exact",
-    "carli_elementary": PRICES + " SELECT route_id, horizon, period, count(*) AS n_matched, round(avg(price / base_price), 6) AS index FROM exact_pairs GROUP BY ALL HAVING count(*) >= 3",
-    "dutot_elementary": PRICES + " SELECT route_id, horizon, period, count(*) AS n_matched, round(avg(price) / avg(base_price), 6) AS index FROM exact_pairs GROUP BY ALL HAVING count(*) >= 3",
+    "jevons_elementary": BRANDS + _jevons_sql("exact", "exact_pairs", 3) + " SELECT route_id, horizon, period, n_matched, n_clipped, round(index, 6) AS index FROM exact",
+    "carli_elementary": BRANDS + " SELECT route_id, horizon, period, count(*) AS n_matched, round(avg(price / base_price), 6) AS index FROM exact_pairs GROUP BY ALL HAVING count(*) >= 3",
+    "dutot_elementary": BRANDS + " SELECT route_id, horizon, period, count(*) AS n_matched, round(avg(price) / avg(base_price), 6) AS index FROM exact_pairs GROUP BY ALL HAVING count(*) >= 3",
     "gm_ratio_elementary": PRICES
     + f""", bound AS (
   SELECT route_id, horizon, period, count(*) AS n, quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM prices GROUP BY ALL

@@ -185,7 +185,8 @@ def change_text(pct: Column, status: Column, label: str) -> Column:
     """A change with its sign, or plainly why there is none: never zero in its place."""
     short = f"Not available — the collected series is too short for a {label} comparison"
     why = F.when(status == "insufficient_history", short).when(status == "invalid_comparison_base", "Not available — the comparison period's index is not usable")
-    return F.when(pct.isNotNull(), F.format_string("%+.2f%%", pct)).otherwise(why)
+    told = F.replace(F.format_number(pct, 2), F.lit(","), F.lit(""))  # rounds the double itself, as the reference does; format_string rounds its shortest digits
+    return F.when(pct.isNotNull(), F.concat(F.when(F.startswith(told, F.lit("-")), "").otherwise("+"), told, F.lit("%"))).otherwise(why)
 
 
 def retry_delay(attempt: Column, base: float = 1.0, most: float = 30.0) -> Column:

@@ -94,7 +94,7 @@ def registry_validation(spark, d):
 
 def horizon_listing(spark, d):
     """Index cells, newest period first, then by route and horizon: five hundred rows at most."""
-    rows = index.cells(spark, d).select(*el.CELL, F.round(100 * F.col("index"), 4).alias("index_100"), "n_matched", "method")
+    rows = index.cells(spark, d, **index.NAMED).select(*el.CELL, F.round(100 * F.col("index"), 4).alias("index_100"), "n_matched", "method")
     return se.listing(rows, [F.desc("period"), F.col("route_id"), F.col("horizon")], 500)
 
 
@@ -103,7 +103,7 @@ def horizon_analysis(spark, d):
     q = valid_quotes(spark, d).select("horizon", "fare")
     levels = q.groupBy("horizon").agg(F.count("*").alias("n"), *[F.round(f("fare"), 6).alias(name) for name, f in (("mean", F.avg), ("least", F.min), ("most", F.max))])
     middle = sr.medians(q, ["horizon"], "fare").select("horizon", F.round("median", 6).alias("median"))
-    c = settle(index.cells(spark, d), "cells")
+    c = settle(index.cells(spark, d, **index.NAMED), "cells")
     newest = c.join(F.broadcast(c.agg(F.max("period").alias("period"))), "period")
     indexed = newest.groupBy("horizon").agg(F.count("*").alias("n_routes"), F.round(100 * F.avg("index"), 4).alias("mean_index"), F.sum("n_matched").alias("n_matched"))
     return levels.join(middle, "horizon").join(indexed, "horizon", "left")
@@ -160,7 +160,7 @@ def index_changes(spark, d):
 
 def bulletin_report(spark, d):
     """The newest period's figures in one row: index, coverage, quality, the five highest and lowest routes, horizons, what is missing and open."""
-    c = settle(index.cells(spark, d), "cells")
+    c = settle(index.cells(spark, d, **index.NAMED), "cells")
     w = agg.weights(basket(spark, d))
     r = settle(agg.route_indices(c).filter("publishable"), "routes")
     newest = r.agg(F.max("period").alias("period"))
@@ -237,8 +237,8 @@ ORACLE = {
   UNION ALL SELECT 'origin_state', origin_state, count(*) FROM h GROUP BY origin_state UNION ALL SELECT 'dest_state', dest_state, count(*) FROM h GROUP BY dest_state UNION ALL SELECT 'all', NULL, count(*) FROM h""",
     "registry_faults": _REGISTRY + ' SELECT registry, "at", error FROM e',
     "registry_validation": _REGISTRY + r""" SELECT regexp_replace(regexp_replace(error, '^sources\[\d+\]( \([^)]*\))?: ', ''), ' ''[^'']*'', must be.*', '') AS fault, count(*) AS n FROM e GROUP BY 1""",
-    "horizon_listing": index.CELLS + " SELECT route_id, horizon, period, round(100 * index, 4) AS index_100, n_matched, method FROM cells ORDER BY period DESC, route_id, horizon LIMIT 500",
-    "horizon_analysis": index.CELLS
+    "horizon_listing": index.named(index.CELLS) + " SELECT route_id, horizon, period, round(100 * index, 4) AS index_100, n_matched, method FROM cells ORDER BY period DESC, route_id, horizon LIMIT 500",
+    "horizon_analysis": index.named(index.CELLS)
     + """, l AS (SELECT horizon, count(*) AS n, round(avg(fare), 6) AS mean, round(min(fare), 6) AS least, round(max(fare), 6) AS most, round(quantile_cont(fare, 0.5), 6) AS median FROM valid GROUP BY 1),
   i AS (SELECT horizon, count(*) AS n_routes, round(100 * avg(index), 4) AS mean_index, sum(n_matched)::BIGINT AS n_matched FROM cells WHERE period = (SELECT max(period) FROM cells) GROUP BY 1)
   SELECT l.*, n_routes, mean_index, n_matched FROM l LEFT JOIN i USING (horizon)""",
@@ -253,7 +253,7 @@ ORACLE = {
     QUALIFY row_number() OVER (PARTITION BY m.kind, m.day ORDER BY abs(p.day - anchor), p.day) = 1)
   SELECT kind, day, round(value, 6) AS value, matched_day, round(100 * (value / previous - 1), 4) AS change_pct, CASE WHEN previous IS NULL THEN 'insufficient_history' ELSE 'available' END AS status,
     CASE WHEN previous IS NULL THEN 'Not available — the collected series is too short for a ' || CASE kind WHEN 'mom' THEN 'monthly' ELSE 'yearly' END || ' comparison' ELSE format('{:+.2f}%', round(100 * (value / previous - 1), 4)) END AS told FROM f""",
-    "bulletin_report": index.ROUTES.replace(f"WITH {QUOTES_SQL}", cleaning.VALIDATED, 1)
+    "bulletin_report": index.named(index.ROUTES).replace(f"WITH {QUOTES_SQL}", cleaning.VALIDATED, 1)
     + """, newest AS (SELECT max(period) AS period FROM routes WHERE publishable), own AS (SELECT * FROM routes WHERE publishable AND period = (SELECT period FROM newest)),
   ranked AS (SELECT route_id, round(index, 6) AS v, row_number() OVER (ORDER BY round(own.index, 6) DESC, route_id) AS top, row_number() OVER (ORDER BY round(own.index, 6), route_id) AS low FROM own),
   hz AS (SELECT horizon, count(*) AS n, avg(index) AS mean, sum(n_matched)::BIGINT AS matched FROM cells WHERE period = (SELECT period FROM newest) GROUP BY horizon),

@@ -202,7 +202,7 @@ def captured_pages(spark, d):
 
 def envelopes(spark, d):
     """Route indices as JSON envelopes, read again by a client: every field must have come through, those that are null too."""
-    r = index.route_index(spark, d)
+    r = index.route_index(spark, d, **index.NAMED)
     data = F.struct(F.round("index", 4).alias("index"), "publishable", F.split("horizons_included", ",").alias("horizons"), F.when(~F.col("publishable"), "insufficient_horizons").alias("suppressed"))
     text = F.to_json(F.struct(F.lit("ok").alias("status"), data.alias("data"), F.struct(F.col("n_horizons").alias("count"), "period").alias("meta")))
     got = F.from_json(text, "status string, data struct<index: double, publishable: boolean, horizons: array<string>, suppressed: string>, meta struct<count: long, period: int>")
@@ -285,5 +285,5 @@ ORACLE = {
     "validator_state": cleaning.FENCE.replace("SELECT order_id, line_no, route_id, horizon, n_past, coalesce(outlier, false) AS outlier FROM walk WHERE k > 0", "SELECT route_id, horizon, len(held) AS n, round(list_sum(held), 4) AS total FROM walk QUALIFY row_number() OVER (PARTITION BY route_id, horizon ORDER BY k DESC) = 1"),
     "captured_pages": "SELECT page_id, url || '?token=[REDACTED]' AS url, sha256(html) AS sha256, substr(sha256(html), 1, 2) AS bucket FROM pages",
     "envelopes": "SELECT route_id, 'ok' AS status, round(index, 4) AS index, publishable, replace(horizons_included, ',', '+') AS horizons, CASE WHEN NOT publishable THEN 'insufficient_horizons' END AS suppressed, n_horizons AS count, period FROM ("
-    + index.ORACLE["route_index"] + ")",
+    + index.named(index.ORACLE["route_index"]) + ")",
 }

@@ -9,6 +9,7 @@ from tidemark import catalog
 
 WHOLE = [
     "national_index",
+    "product_geomean_prices",
 ]
 
 

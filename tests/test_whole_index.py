@@ -10,6 +10,7 @@ from tidemark import catalog
 WHOLE = [
     "national_index",
     "product_geomean_prices",
+    "base_price_set",
 ]
 
 

@@ -11,6 +11,7 @@ WHOLE = [
     "national_index",
     "product_geomean_prices",
     "base_price_set",
+    "jevons_elementary",
 ]
 
 

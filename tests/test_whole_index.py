@@ -12,6 +12,7 @@ WHOLE = [
     "product_geomean_prices",
     "base_price_set",
     "jevons_elementary",
+    "dutot_elementary",
 ]
 
 

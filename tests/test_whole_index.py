@@ -13,6 +13,7 @@ WHOLE = [
     "base_price_set",
     "jevons_elementary",
     "dutot_elementary",
+    "gm_ratio_elementary",
 ]
 
 

@@ -14,6 +14,7 @@ WHOLE = [
     "jevons_elementary",
     "dutot_elementary",
     "gm_ratio_elementary",
+    "jevons_time_reversal",
 ]
 
 

@@ -15,6 +15,7 @@ WHOLE = [
     "dutot_elementary",
     "gm_ratio_elementary",
     "jevons_time_reversal",
+    "product_churn",
 ]
 
 

@@ -16,6 +16,7 @@ WHOLE = [
     "gm_ratio_elementary",
     "jevons_time_reversal",
     "product_churn",
+    "reappeared_products",
 ]
 
 

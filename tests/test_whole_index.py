@@ -17,6 +17,7 @@ WHOLE = [
     "jevons_time_reversal",
     "product_churn",
     "reappeared_products",
+    "spec_fallback_index",
 ]
 
 

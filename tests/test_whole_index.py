@@ -18,6 +18,7 @@ WHOLE = [
     "product_churn",
     "reappeared_products",
     "spec_fallback_index",
+    "elementary_uncertainty",
 ]
 
 

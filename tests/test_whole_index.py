@@ -19,6 +19,7 @@ WHOLE = [
     "reappeared_products",
     "spec_fallback_index",
     "elementary_uncertainty",
+    "route_index",
 ]
 
 

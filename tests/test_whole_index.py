@@ -20,6 +20,7 @@ WHOLE = [
     "spec_fallback_index",
     "elementary_uncertainty",
     "route_index",
+    "national_by_horizon",
 ]
 
 

@@ -21,6 +21,7 @@ WHOLE = [
     "elementary_uncertainty",
     "route_index",
     "national_by_horizon",
+    "national_contributions",
 ]
 
 

@@ -22,6 +22,7 @@ WHOLE = [
     "route_index",
     "national_by_horizon",
     "national_contributions",
+    "missing_routes",
 ]
 
 

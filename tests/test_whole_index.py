@@ -23,6 +23,7 @@ WHOLE = [
     "national_by_horizon",
     "national_contributions",
     "missing_routes",
+    "change_decomposition",
 ]
 
 

@@ -24,6 +24,7 @@ WHOLE = [
     "national_contributions",
     "missing_routes",
     "change_decomposition",
+    "national_uncertainty",
 ]
 
 

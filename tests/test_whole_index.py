@@ -25,6 +25,7 @@ WHOLE = [
     "missing_routes",
     "change_decomposition",
     "national_uncertainty",
+    "national_index_with_connections",
 ]
 
 

@@ -26,6 +26,7 @@ WHOLE = [
     "change_decomposition",
     "national_uncertainty",
     "national_index_with_connections",
+    "headline_rows",
 ]
 
 

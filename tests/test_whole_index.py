@@ -27,6 +27,7 @@ WHOLE = [
     "national_uncertainty",
     "national_index_with_connections",
     "headline_rows",
+    "national_latest",
 ]
 
 

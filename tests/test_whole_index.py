@@ -28,6 +28,7 @@ WHOLE = [
     "national_index_with_connections",
     "headline_rows",
     "national_latest",
+    "national_changes",
 ]
 
 

@@ -29,6 +29,7 @@ WHOLE = [
     "headline_rows",
     "national_latest",
     "national_changes",
+    "uncertainty_bands",
 ]
 
 

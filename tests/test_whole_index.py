@@ -30,6 +30,7 @@ WHOLE = [
     "national_latest",
     "national_changes",
     "uncertainty_bands",
+    "match_quality",
 ]
 
 

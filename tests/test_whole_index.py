@@ -31,6 +31,7 @@ WHOLE = [
     "national_changes",
     "uncertainty_bands",
     "match_quality",
+    "route_extremes",
 ]
 
 

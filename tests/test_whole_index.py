@@ -32,6 +32,7 @@ WHOLE = [
     "uncertainty_bands",
     "match_quality",
     "route_extremes",
+    "weighted_horizon_index",
 ]
 
 

@@ -33,6 +33,7 @@ WHOLE = [
     "match_quality",
     "route_extremes",
     "weighted_horizon_index",
+    "base_window_index",
 ]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fares import cabin, flight_number, time_band, unbundle
 from tidemark.sources.markup import page_blocks, page_quotes
+from tidemark.sources.store import computed_once
 
 # Carrier names as cards show them, in order of precedence, with their codes; codes that merged into others.
 CARRIERS = {"INDIGO": "6E", "AIR INDIA EXPRESS": "IX", "AIR INDIA": "AI", "AKASA AIR": "QP", "AKASA": "QP", "SPICEJET": "SG", "VISTARA": "AI"}
@@ -45,6 +46,13 @@ def _digits(x: Column) -> Column:
     return F.replace(F.nullif(x, F.lit("")), F.lit(","), F.lit("")).try_cast("double")
 
 
+def _read(df: DataFrame, text_col: str, **columns: Column) -> DataFrame:
+    """df beside columns told of a text, each computed once a row: a filter on them does not read the text again, nor make it again from what it is made of."""
+    once = computed_once(df, [text_col])
+    told = computed_once(once.select("*", *[c.alias(n) for n, c in columns.items()]), list(columns))
+    return told.select(*df.columns, *columns)
+
+
 def _first_of(df: DataFrame, key: list[str], at: str) -> DataFrame:
     """The first row of each key by place on its page."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(at))).filter("_rank = 1").drop("_rank")
@@ -69,9 +77,9 @@ def cards(df: DataFrame, text_col: str, origin_col: str, dest_col: str, at_col:
     text = F.col(text_col)
     times = F.regexp_extract_all(text, F.lit(rf"(\d{{1,2}}:\d{{2}}{BLANK}*[AP]M)"), F.lit(1))
     clock = lambda i: F.regexp_replace(F.get(times, F.lit(i)), f"{BLANK}+", " ")
-    found = df.select(
-        "*", (_carrier(text) if carrier is None else F.lit(carrier)).alias("carrier"), _digits(F.regexp_extract(text, rf"₹{BLANK}*([\d,]+)", 1)).alias("fare"), clock(0).alias("dep_time"),
-        clock(1).alias("arr_time"), F.when(F.lower(text).rlike("|".join(DIRECT)), 0).otherwise(1).alias("stops"), F.lit(None).cast("string").alias("number"),
+    found = _read(
+        df, text_col, carrier=_carrier(text) if carrier is None else F.lit(carrier), fare=_digits(F.regexp_extract(text, rf"₹{BLANK}*([\d,]+)", 1)), dep_time=clock(0),
+        arr_time=clock(1), stops=F.when(F.lower(text).rlike("|".join(DIRECT)), 0).otherwise(1), number=F.lit(None).cast("string"),
     ).filter(F.col("carrier").isNotNull() & F.col("fare").between(low, high))
     return _quoted(found, origin_col, dest_col, fee, at_col, ["flight"])
 
@@ -143,9 +151,9 @@ def site_quotes(df: DataFrame, text_col: str, site: str, page_col: str, origin_c
     number = F.regexp_extract(F.upper(text), r"(6E|AI|SG|QP|IX)[-\s]?(\d{3,4})", 2)
     code = F.regexp_extract(F.upper(text), r"(6E|AI|SG|QP|IX)[-\s]?(\d{3,4})", 1)
     time = F.nullif(F.regexp_extract(text, r"(\d{1,2}:\d{2})", 1), F.lit(""))
-    found = df.select(
-        "*", _carrier(text, SITE_NAMES).alias("carrier"), _digits(F.regexp_extract(text, rf"₹{BLANK}*([\d,]+)", 1)).alias("fare"), F.coalesce(time, F.lit(SITE_TIME[site])).alias("dep_time"),
-        F.when(F.lower(text).rlike("|".join(SITE_DIRECT[site])), 0).otherwise(1).alias("stops"), F.nullif(number, F.lit("")).alias("number"), code.alias("_code"),
+    found = _read(
+        df, text_col, carrier=_carrier(text, SITE_NAMES), fare=_digits(F.regexp_extract(text, rf"₹{BLANK}*([\d,]+)", 1)), dep_time=F.coalesce(time, F.lit(SITE_TIME[site])),
+        stops=F.when(F.lower(text).rlike("|".join(SITE_DIRECT[site])), 0).otherwise(1), number=F.nullif(number, F.lit("")), _code=code,
     ).filter(F.col("carrier").isNotNull() & F.col("fare").between(own["low"], own["high"]))
     told = found.withColumn("carrier_shown", F.col("carrier")).withColumn("carrier", F.when(F.col("number").isNotNull(), F.col("_code")).otherwise(F.col("carrier"))).drop("_code")
     quoted = _quoted(told, origin_col, dest_col, own["fee"], at_col, [page_col, "flight", "dep_time", "fare"])
